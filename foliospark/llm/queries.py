@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.exact_dedup import exact_dedup
+from foliospark.llm.mixing import mix
 from foliospark.llm.pii import find_pii, pii_digest
+from foliospark.llm.warc import archive_pages, page_index, read_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +20,23 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_index(read_warc(spark, archive_pages(table(spark, sf_dir, "pages"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op4_mix": op4_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
