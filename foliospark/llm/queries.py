@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.mixing import mix
 from foliospark.llm.pii import find_pii, pii_digest
+from foliospark.llm.simhash import fingerprint_hex, simhash_groups
 from foliospark.llm.warc import archive_pages, page_index, read_warc
 
 
@@ -28,6 +29,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_index(read_warc(spark, archive_pages(table(spark, sf_dir, "pages"))))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_mix": op4_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
 }
 
