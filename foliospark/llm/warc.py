@@ -71,6 +71,8 @@ class WarcWriter(DataSourceArrowWriter):
         kind = row.get("warc_type") or "resource"
         block = _HTTP + payload if kind == "response" else _HTTP if kind == "revisit" else payload
         head = {field: row[col] for col, field in FIELDS.items() if row.get(col)}
+        if (digest := head.get(FIELDS["payload_digest"], "")).startswith("sha1:") and len(digest) == 45:  # hex, as Spark gives it
+            head[FIELDS["payload_digest"]] = f"sha1:{base64.b32encode(bytes.fromhex(digest[5:])).decode()}"
         head |= {k: v for k, v in (row.get("headers") or []) if v is not None}
         head |= {"Content-Type": "application/http; msgtype=response" if kind in ("response", "revisit") else "application/octet-stream", "Content-Length": str(len(block))}
         lines = "".join(f"{_clean(k)}: {_clean(v)}\r\n" for k, v in head.items())
@@ -288,21 +290,11 @@ def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T0
     return placed.select(
         urn(F.col("page_id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("warc_type"),
         F.coalesce(F.col("url"), urn(F.col("page_id"))).alias("target_uri"), F.lit(date).alias("warc_date"),
-        F.concat(F.lit("sha1:"), _base32(F.sha1("payload"))).alias("payload_digest"), F.when(again, urn(F.col("first"))).alias("refers_to"),
+        F.concat(F.lit("sha1:"), F.sha1("payload")).alias("payload_digest"), F.when(again, urn(F.col("first"))).alias("refers_to"),
         head.alias("headers"), F.when(~again, F.col("payload")).alias("payload"),
     )
 
 
-def _base32(hexed):
-    """Base32 of a hex digest, five bits at a time."""
-    bits = F.lpad(F.conv(F.substring(hexed, 1, 10), 16, 2), 40, "0")
-    for i in (11, 21, 31):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(hexed, i, 10), 16, 2), 40, "0"))
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    digit = lambda i: F.substring(alphabet, F.conv(F.substring(bits, i * 5 + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
-
-
 def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
     """Write a record for every page; returns the archive's path, by default a new one in the shared folder."""
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
