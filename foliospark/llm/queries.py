@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliospark.llm import langid, quality, toxicity
+from foliospark.llm.common import bucket
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.mixing import mix
 from foliospark.llm.pii import find_pii, pii_digest
@@ -21,10 +24,32 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def _judged(scored: DataFrame, held) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), bucket("doc_id", 4) == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return _judged(quality.score_quality(docs.select("doc_id", "text"), model), held)
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), bucket("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return _judged(toxicity.score_toxicity(docs, model), held)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), bucket("doc_id", 5) == 0
+    model = langid.fit(docs.filter(~held))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,7 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op4_mix": op4_mix,
+    "op5_toxicity": op5_toxicity,
+    "op6_langid": op6_langid,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
