@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.llm import langid, quality, toxicity
 from foliospark.llm.common import bucket
 from foliospark.llm.exact_dedup import exact_dedup
+from foliospark.llm.line_dedup import dedup_lines
 from foliospark.llm.mixing import mix
 from foliospark.llm.pii import find_pii, pii_digest
 from foliospark.llm.simhash import fingerprint_hex, simhash_groups
@@ -34,6 +35,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score_quality(docs.select("doc_id", "text"), model), held)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), F.length("text").alias("n_chars"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -65,6 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mix": op4_mix,
     "op5_toxicity": op5_toxicity,
     "op6_langid": op6_langid,
