@@ -53,7 +53,7 @@ class Mixture:
     def likelihoods(self, text: str) -> np.ndarray:
         """Log likelihood of each word under each language, less the word's best."""
         ids, starts = words_of(text)
-        if not len(ids):
+        if not len(ids) or not self.langs:
             return np.zeros((0, len(self.langs)))
         s = np.add.reduceat(self.table[ids], starts, axis=0).astype(np.float64)
         return s - s.max(axis=1, keepdims=True)

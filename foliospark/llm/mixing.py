@@ -63,31 +63,46 @@ def _cutoffs(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(np.argmin(np.abs(sums - due)))
         carry = due - sums[k]
         rows.append((int(part["rank"].iloc[0]), int(kind), int(part["step"].iloc[k - 1]) if k else -1))
-    return pd.DataFrame(rows, columns=["rank", "class", "upto"])
+    return pd.DataFrame(rows, columns=["__rank", "__class", "__upto"])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row of ``docs``; other columns are not read.
+def _ranked(base: DataFrame, targets: DataFrame, seed: int, cap: float) -> DataFrame:
+    """``base`` with certain copies and the chance of one more; where there is a chance, also class of size and step of rank."""
+    rate = F.when(F.col("__all") > 0, F.least(F.col("__target") / F.col("__all"), F.lit(cap))).otherwise(0.0)
+    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("__id"), F.lit(0)), F.col("__id").isNull(), "__size")
+    u, chance = F.col("__u"), F.col("__chance")
+    # random odds over inclusion odds, brought from (0, inf) to (0, 1)
+    order = u * (1 - chance) / (u * (1 - chance) + chance * (1 - u))
+    drawn = (chance > 0) & (F.col("__size") > 0)
+    out = base.join(sized(targets), base["__source"].eqNullSafe(targets["__of"]))
+    out = out.withColumns({"__rate": rate, "__u": (F.shiftrightunsigned(draw, 11) + 0.5) / float(1 << 53)})
+    out = out.withColumns({"__whole": F.floor("__rate"), "__chance": F.col("__rate") - F.floor("__rate")})
+    return out.withColumns({
+        "__class": F.when(drawn, F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1)))).cast("int")),
+        "__step": F.when(drawn, F.least(F.floor(order * STEPS), F.lit(STEPS - 1)).cast("int")),
+    })
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, keep: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row of ``docs``; other columns are not read.
+
+    With ``keep`` all columns of ``docs``, and size to taken in place of columns of those names.
 
     Null texts have no words and are taken 0 times their 0 words. Null sources are one source, the last.
     Null ids are one id. Draws depend on id, size and seed only: reruns agree, and rows that share them
     are drawn or left together. An empty table gives no rows.
     """
-    narrow = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    targets = cut(source_targets(narrow, weights, share, cap).withColumn("rank", F.xxhash64("source", F.col("source").isNull())), "mix-targets")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "size"), 11) + 0.5) / float(1 << 53)
-    ranked = narrow.join(sized(targets), narrow["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    ranked = ranked.withColumns({"rate": rate, "u": u})
-    ranked = ranked.withColumns({"whole": F.floor("rate"), "chance": F.col("rate") - F.floor("rate")})
-    # random odds over inclusion odds, brought from (0, inf) to (0, 1)
-    order = F.col("u") * (1 - F.col("chance")) / (F.col("u") * (1 - F.col("chance")) + F.col("chance") * (1 - F.col("u")))
-    step = F.least(F.floor(order * STEPS), F.lit(STEPS - 1)).cast("int")
-    size_class = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int")
-    drawn = (F.col("chance") > 0) & (F.col("size") > 0)
-    ranked = ranked.withColumns({"class": F.when(drawn, size_class), "step": F.when(drawn, step)})
-    words = ranked.filter(drawn).groupBy("rank", "class", "step").agg(F.sum("size").alias("words"), F.first("chance").alias("chance"))
-    upto = cut(words.groupBy("rank").applyInPandas(_cutoffs, "rank long, class int, upto int"), "mix-cutoffs")
-    placed = ranked.join(sized(upto), ["rank", "class"], "left")
-    copies = F.col("whole") + F.when(F.col("step") <= F.col("upto"), 1).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "source")
+    fields = {"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(F.col(text_col))}
+    narrow = cut(docs.select(*[c.alias(k) for k, c in fields.items()]), "mix-sizes")
+    targets = source_targets(narrow.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, share, cap)
+    targets = cut(targets.select(F.col("source").alias("__of"), F.col("source_size").alias("__all"), F.col("target").alias("__target"), F.xxhash64("source", F.col("source").isNull()).alias("__rank")), "mix-targets")
+    words = _ranked(narrow, targets, seed, cap).filter("__class IS NOT NULL").groupBy("__rank", "__class", "__step").agg(F.sum("__size").alias("words"), F.first("__chance").alias("chance"))
+    words = words.withColumnsRenamed({"__rank": "rank", "__class": "class", "__step": "step"})
+    upto = cut(words.groupBy("rank").applyInPandas(_cutoffs, "__rank long, __class int, __upto int"), "mix-cutoffs")
+    # a row's draw follows from its source, class and step, so whole documents meet small tables and are not shuffled
+    base = docs.withColumns(fields) if keep else narrow
+    placed = _ranked(base, targets, seed, cap).join(sized(upto), ["__rank", "__class"], "left")
+    copies = F.col("__whole") + F.when(F.col("__step") <= F.col("__upto"), 1).otherwise(0)
+    made = {"size": F.col("__size"), "source_size": F.col("__all"), "target": F.col("__target"), "copies": copies.cast("int"), "taken": (copies * F.col("__size")).cast("long")}
+    first = [F.col(f"`{c}`") for c in docs.columns if c not in made] if keep else [F.col("__id").alias("doc_id"), F.col("__source").alias("source")]
+    return placed.select(*first, *[c.alias(k) for k, c in made.items()])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import langid, quality, toxicity
 from foliospark.llm.common import bucket
+from foliospark.llm.decontaminate import contamination
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.line_dedup import dedup_lines
 from foliospark.llm.mixing import mix
@@ -56,6 +57,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
     "op5_toxicity": op5_toxicity,
     "op6_langid": op6_langid,
+    "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,

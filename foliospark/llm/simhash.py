@@ -264,6 +264,18 @@ def simhash_groups(
     return marked.join(named, "node").select("doc_id", "fp", "component_id")
 
 
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which each group of near-duplicates keeps one: the one with the smallest id.
+
+    Groups are those of ``simhash_groups`` with ``similarity``. Ids name documents: rows that share one stay or
+    go together, and go if any of them has a smaller id in its group. Null is one id, and the largest.
+    """
+    groups = simhash_groups(docs, words, similarity=similarity, width=width, id_col=id_col, text_col=text_col)
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = sized(cut(gone, "simhash-gone"))
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+
+
 def fingerprint_hex(fp):
     """16 lowercase hex digits, most significant first."""
     digits = F.lower(F.hex(fp))
