@@ -27,12 +27,22 @@ NARROW_ROWS = 500_000
 _SEED = 42
 
 
-_SPACES = {c: " " for c in range(9, 14)}
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def _squeeze(line: str) -> str:
     """Whitespace runs of the contract's kind as one space, none at the ends."""
-    return " ".join(p for p in line.translate(_SPACES).split(" ") if p)
+    line = line.strip(_BLANK)
+    if "  " in line or "\t" in line or "\r" in line or "\x0b" in line or "\x0c" in line:
+        for c in _BLANK[1:]:
+            line = line.replace(c, " ")
+        line = " ".join(p for p in line.split(" ") if p)
+    return line
+
+
+def squeezed_line(line: Column) -> Column:
+    """The same as a column."""
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -132,46 +142,32 @@ def _lines(batch, least: int):
                     yield doc, mark, pos, line
 
 
-def _occurrences(batches):
-    for b in batches:
-        rows = [(doc, mark, pos, *_id(line)) for doc, mark, pos, line in _lines(b, LEAST_CHARS)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        columns = zip(*rows, strict=True) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "mark", "pos", "id", "more"])
+_SEEN = "doc_id long, mark long, pos int, id long, more long, keys array<long>"
 
 
-def _keyed(batches, edits: int):
-    """(key, id) of all lines long enough for edits; a worker skips lines that it has just seen."""
+def _occurrences(batches, edits: int):
+    """A row for each line; with its keys if it is long enough for edits and the worker hasn't just seen it."""
     keys, seen = _Keys(edits), set()
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     for b in batches:
-        k, ids = [], []
-        for _, _, _, line in _lines(b, NEAR_CHARS):
-            own = _id(line)[0]
-            if own in seen:
-                continue
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.add(own)
-            found = keys.of(line)
-            k += found
-            ids += [own] * len(found)
-        columns = pa.array(np.array(k, np.uint64).view(np.int64), pa.int64()), pa.array(ids, pa.int64())
-        for at in range(0, len(ids), 50_000):
-            yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=["key", "id"])
-
-
-def _texts(batches):
-    seen = set()
-    for b in batches:
-        rows = []
-        for _, _, _, line in _lines(b, NEAR_CHARS):
-            own = _id(line)[0]
-            if own not in seen:
+        rows, found, sizes = [], [], []
+        for doc, mark, pos, line in _lines(b, LEAST_CHARS):
+            own = _id(line)
+            rows.append((doc, mark, pos, *own))
+            if len(line) >= NEAR_CHARS and own not in seen:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(own)
-                rows.append((own, line))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "line"])
+                found += (k := keys.of(line))
+                sizes.append(len(k))
+            else:
+                sizes.append(0)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.array(found, np.uint64).view(np.int64), pa.int64()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=False)]
+        whole = pa.RecordBatch.from_arrays([*columns, lists], names=["doc_id", "mark", "pos", "id", "more", "keys"])
+        for at in range(0, max(1, len(rows)), 5000):
+            yield whole.slice(at, 5000)
 
 
 def _verify(batches, edits: int):
@@ -212,21 +208,26 @@ def _compare(batches, edits: int):
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def near_lines(base: DataFrame, edits: int = EDITS) -> DataFrame:
-    """u, v (ids of lines): links that connect all lines of ``base`` (doc_id, text, mark) within ``edits`` of each other.
+def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """u, v (ids of lines): links that connect all lines within ``edits`` of each other.
 
+    ``base``: doc_id, text, mark; ``seen``: its lines with keys; ``lines``: distinct lines with their first place.
     Most keys that lines meet under hold two lines, which an aggregate finds without moving rows twice. Those
-    that hold more are gathered with their lines, in pairs of blocks of bounded size.
+    that hold more are gathered, in pairs of blocks of bounded size. Only lines that met are read again.
     """
-    keyed = base.mapInArrow(lambda it: _keyed(it, edits), "key long, id long")
+    keyed = seen.select("id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n")).filter("u <> v")
     met = cut(met, "lines-met")
     pairs = met.filter("n = 2").select("u", "v").distinct()
     crowds = sized(cut(met.filter("n > 2").select("key", "n"), "lines-crowds"), NARROW_ROWS)
     crowded = cut(keyed.join(crowds, "key").distinct(), "lines-crowded")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("id")).distinct()
-    ids = sized(cut(ids, "lines-candidates"), NARROW_ROWS)
-    texts = cut(base.mapInArrow(_texts, "id long, line string").join(ids, "id", "left_semi").dropDuplicates(["id"]), "lines-texts")
+    wanted = lines.join(sized(cut(ids, "lines-candidates"), NARROW_ROWS), "id", "left_semi")
+    wanted = wanted.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.pos", "id")).alias("wanted"))
+    wanted = sized(cut(wanted.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "wanted"), "lines-wanted"))
+    read = base.join(wanted, base["doc_id"].eqNullSafe(wanted["d"]) & (base["mark"] == wanted["m"])).select(F.split("text", "\n", -1).alias("parts"), "wanted")
+    read = read.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get(F.col("parts"), w["pos"]).alias("line")))).alias("x"))
+    texts = cut(read.select("x.id", squeezed_line(F.col("x.line")).alias("line")).dropDuplicates(["id"]), "lines-texts")
     x, y = (texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}")) for end in "uv")
     links = pairs.join(x, "u").join(y, "v").select("u", "v", "line_u", "line_v").mapInArrow(lambda it: _verify(it, edits), "u long, v long")
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -241,15 +242,15 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", t
     """doc_id, mark (XXH64 of the text), gone (positions): the lines of each document that repeat an earlier one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    seen = cut(base.mapInArrow(_occurrences, "doc_id long, mark long, pos int, id long, more long"), "lines-seen")
+    seen = cut(base.mapInArrow(lambda it: _occurrences(it, edits), _SEEN), "lines-seen")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "mark")
-    lines = seen.groupBy("id", "more").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = cut(components(near_lines(base, edits)), "lines-classes")
+    lines = cut(seen.groupBy("id", "more").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines-distinct")
+    classes = cut(components(near_lines(base, seen, lines, edits)), "lines-classes")
     near = lines.join(sized(classes.withColumnRenamed("node", "id"), NARROW_ROWS), "id", "left")
     near = cut(near.filter("n > 1 OR root IS NOT NULL").select("id", "more", "first", "root"), "lines-repeated")
     heads = near.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("head"))
     kept = near.join(heads, "root", "left").select("id", "more", F.coalesce("head", "first").alias("kept"))
-    gone = seen.join(sized(cut(kept, "lines-kept")), ["id", "more"]).filter(~place.eqNullSafe(F.col("kept")))
+    gone = seen.select("doc_id", "mark", "pos", "id", "more").join(sized(cut(kept, "lines-kept")), ["id", "more"]).filter(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
