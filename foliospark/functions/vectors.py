@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_c
 
         def run(batches, ids=ids, matrix=matrix):
             for b in batches:
-                keep = np.flatnonzero([v is not None and len(v) == matrix.shape[1] for v in b.column(1)])
+                keep = np.flatnonzero(pc.fill_null(pc.list_value_length(b.column(1)), -1).to_numpy(zero_copy_only=False) == matrix.shape[1])
                 if not len(keep):
                     continue
                 rows = b.take(pa.array(keep))
