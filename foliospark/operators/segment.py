@@ -6,6 +6,9 @@ are as large as one document; segments are grouped by locator with their lines i
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +91,83 @@ def segment_sections(docs: DataFrame, key: str = "doc_id", prefix: str = "WCF")
     return rows.withColumn("body", body).groupBy(key, "locator").agg(_joined("\n", "body").alias("text"))
 
 
+ROMAN_CHAPTER = r"^CHAPTER\s+([IVXLC]+)\b"
+
+
+def segment_roman_sections(docs: DataFrame, key: str = "doc_id", prefix: str = "WCF") -> DataFrame:
+    """As ``segment_sections``, where chapters have Roman numbers."""
+    rows = lines(docs, key)
+    number = t.roman(F.regexp_extract("line", ROMAN_CHAPTER, 1)).cast("string")
+    line = F.when(F.col("line").rlike(ROMAN_CHAPTER), F.concat(F.lit("CHAPTER "), number)).otherwise(F.col("line"))
+    return segment_sections(rows.withColumn("line", line).groupBy(key).agg(_joined("\n").alias("text")), key, prefix)
+
+
+_BOOK, _PLAIN_CHAPTER, _OPENER = re.compile(r"BOOK (\d+)$"), re.compile(r"CHAPTER (\d+)\b"), re.compile(r"(\d+)\. +(\S.*)$")
+
+
+def _run(found: list[tuple[int, int]], after: int) -> list[int]:
+    """Places of the numbers 1, 2, 3 as far as they go on, beyond ``after``."""
+    out: list[int] = []
+    for at, number in found:
+        if at > after and number == len(out) + 1:
+            out.append(at)
+    return out
+
+
+def _book_paragraphs(text: str) -> list[tuple[str, str]]:
+    """A chapter may list its sections before setting them out: of two runs of the same numbers the second is the body."""
+    rows = [x.strip() for x in text.split("\n")]
+    heads, book = [], 0
+    for at, row in enumerate(rows):
+        if m := _BOOK.match(row):
+            book = int(m[1])
+        elif m := _PLAIN_CHAPTER.match(row):
+            heads.append((at, book, int(m[1])))
+    out = []
+    for (begin, book, chapter), (end, _, _) in zip(heads, [*heads[1:], (len(rows), 0, 0)], strict=True):
+        end = next((i for i in range(begin + 1, end) if _BOOK.match(rows[i])), end)
+        found = [(i, int(m[1])) for i in range(begin + 1, end) if (m := _OPENER.match(rows[i]))]
+        first = _run(found, begin)
+        second = _run(found, first[-1]) if first else []
+        body = second if second and len(second) == len(first) else first
+        for number, (lo, hi) in enumerate(zip(body, [*body[1:], end], strict=True), 1):
+            parts = [" ".join(p.split()) for p in re.split(r"\n\s*\n", "\n".join(rows[lo:hi])) if p.strip()]
+            parts[0] = _OPENER.match(parts[0])[2]
+            out += [(f"{book}.{chapter}.{number}.p{i}", p) for i, p in enumerate(parts, 1)]
+    return out
+
+
+def segment_books(docs: DataFrame, key: str = "doc_id", prefix: str = "Inst.") -> DataFrame:
+    """key, locator, text: paragraphs under book, chapter and section. The choice between two runs of numbers is no window; documents are parsed one at a time."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, f"{prefix} {loc}", text) for k, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for loc, text in _book_paragraphs(doc or "")]
+            kinds = (b.column(0).type, pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[key, "locator", "text"])
+
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, locator string, text string")
+
+
+def page_lines(pages: DataFrame, start: str, end: str, running: str, divider: str, resume: str, key: str = "doc_id") -> DataFrame:
+    """key, text: lines of page texts (key, page_no, text) from after the line matching ``start`` to that matching ``end``.
+
+    Running heads are dropped, and so is everything from a divider to the next line matching ``resume``.
+    """
+    rows = pages.select(key, "page_no", F.posexplode(F.split("text", r"\r?\n", -1)).alias("pos", "line"))
+    rows = rows.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).filter("line <> ''")
+    w = Window.partitionBy(key).orderBy("page_no", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.max(F.col("line").rlike(start).cast("int")).over(w)
+    rows = rows.withColumn("begun", begun).withColumn("ended", F.max(((F.col("begun") == 1) & F.col("line").rlike(end)).cast("int")).over(w))
+    inside = F.when(F.col("line").rlike(divider), True).when(F.col("line").rlike(resume), False)
+    rows = rows.withColumn("dividing", F.coalesce(F.last(inside, True).over(w), F.lit(False)))
+    before = Window.partitionBy(key).orderBy("page_no", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("was", F.coalesce(F.max("begun").over(before), F.lit(0)))
+    kept = rows.filter((F.col("was") == 1) & (F.col("ended") == 0) & ~F.col("dividing") & ~F.col("line").rlike(running))
+    place = F.array_sort(F.collect_list(F.struct("page_no", "pos", "line")))
+    return kept.groupBy(key).agg(F.array_join(F.transform(place, lambda x: x["line"]), "\n").alias("text"))
+
+
 def segment_paragraphs(docs: DataFrame, key: str = "doc_id", prefix: str = "BCO") -> DataFrame:
     """key, locator, text: paragraphs numbered chapter-paragraph; lines before the first are structure."""
     locator = F.concat(F.lit(f"{prefix} "), F.regexp_extract("line", PARAGRAPH, 1), F.lit("-"), F.regexp_extract("line", PARAGRAPH, 2))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.functions import vectors
-from foliospark.operators import corpus, ingest, retrieve, segment, trace, verify
+from foliospark.operators import corpus, ingest, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
 from foliospark.sources import files
 
@@ -591,6 +591,17 @@ def profile_violations(x):
     return x.spark.createDataFrame(trace.profile_violations(_PROFILE, known), "rule string, subject string")
 
 
+@query(with_tables("""SELECT answer_id, CASE WHEN answer_id % 10 = 3 THEN 1 WHEN answer_id % 10 = 4 THEN 4 WHEN reason <> '' THEN 5
+    ELSE CASE WHEN position <> '' THEN 3 ELSE 0 END + CASE WHEN cited_arguments + bare > 0 THEN 2 + 2 * (cited_arguments + bare) ELSE 0 END + CASE WHEN n_descriptions > 0 THEN 2 + 2 * n_descriptions ELSE 0 END + CASE WHEN n_contrary > 0 THEN 2 + 2 * n_contrary ELSE 0 END
+        + CASE WHEN is_contested THEN 2 + (debate <> '')::int ELSE 0 END + 2 + (SELECT count(*) * 2 + count(w.corpus_id) FROM cited c LEFT JOIN works w ON w.corpus_id = c.corpus_id WHERE c.answer_id = f.answer_id AND (c.slot <> 'contested' OR f.is_contested)) END AS lines FROM answer_facts f""", "answer_facts", "works"))
+def render_answer(x):
+    """Lines of each answer; every tenth turn is a failed generation, every tenth degraded."""
+    i = F.col("answer_id") % 10
+    turns = x.answers.select("answer_id", "answer", F.when(i == 3, "generation-failed").when(i == 4, "degraded").otherwise("verified").alias("outcome"))
+    sources = [r.asDict() | {"edition": "first"} for r in x.works.select("corpus_id", "work").limit(10_000).collect()]
+    return render.render_answers(turns, sources, "answer_id").groupBy("answer_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
 # --- segmentation and pages -----------------------------------------------------------------
 
 _LINES = r"SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents"
@@ -665,6 +676,32 @@ def page_links(x):
     return files.page_links(x.read("pages"))
 
 
+@query(f"""WITH l AS ({_LINES}) SELECT doc_id, 'WCF ' || (line_no // 7 + 1) || '.' || CASE WHEN line_no % 7 <= 3 THEN 1 ELSE 2 END AS locator, string_agg(CASE WHEN line_no % 7 IN (1, 4) THEN 'x' ELSE 'y' END || line, chr(10) ORDER BY line_no) AS text FROM l WHERE line_no % 7 <> 0 AND line_no < 63 GROUP BY 1, 2""")
+def segment_roman_sections(x):
+    rows = segment.lines(x.read("documents")).filter("line_no < 63")
+    chapter = "element_at(array('I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'), cast(floor(line_no / 7) AS int) + 1)"
+    rows = rows.withColumn("line", F.expr(_STRUCTURE.replace("(line_no // 7 + 1)", chapter)))
+    made = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    return segment.segment_roman_sections(made)
+
+
+@query(f"""WITH l AS ({_LINES}) SELECT doc_id, 'Inst. 1.1.' || (line_no + 1) || '.p1' AS locator, 'x' || trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM l""")
+def segment_books(x):
+    """One chapter of each document, its sections listed by number before they are set out."""
+    rows = segment.lines(x.read("documents")).select("doc_id", "line_no", F.concat((F.col("line_no") + 1).cast("string"), F.lit(". x"), "line").alias("line"), F.concat((F.col("line_no") + 1).cast("string"), F.lit(". title")).alias("title"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", c))), lambda r: r[c]), "\n")
+    made = rows.groupBy("doc_id").agg(F.concat(F.lit("BOOK 1\nCHAPTER 1\n"), joined("title"), F.lit("\n\n"), joined("line")).alias("text"))
+    return segment.segment_books(made)
+
+
+@query("SELECT conv_id AS doc_id, string_agg('line ' || turn, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn > 0 AND turn % 3 <> 2 GROUP BY 1")
+def page_lines(x):
+    """Each turn is a page: a running head, its line, and on every third page a divider before it."""
+    line = F.concat(F.lit("RUNNING HEAD\n"), F.when(F.col("turn") % 3 == 2, F.concat(F.lit("DIVIDER\nnot this "), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("CHAPTER\nline "), F.col("turn").cast("string"))))
+    pages = x.read("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.when(F.col("turn") == 0, "front\nPART I").otherwise(line).alias("text"))
+    return segment.page_lines(pages, "^PART I$", "^APPENDIX", "^RUNNING HEAD$|^CHAPTER$", "^DIVIDER$", "^CHAPTER$")
+
+
 @query()
 def html_extract(x):
     return files.html_extract(x.read("pages"))

@@ -155,3 +155,31 @@ def test_segments(spark):
     assert [r["text"] for r in segment.text_region(docs(spark, "a\nSTART\nb[12]\n-----\nc\nEND\nd"), "START", "END").collect()] == ["b\n\nc"]
     bad = segment.checked(spark.createDataFrame([(1, "L 1", ""), (1, "L  2", "x"), (1, "L 3", "x"), (1, "L 3", "y")], "doc_id long, locator string, text string"))
     assert {k: v.count() for k, v in bad.items()} == {"empty": 1, "bad_locator": 1, "duplicate": 1}
+
+
+def test_more_segments(spark):
+    text = "BOOK 1\nCHAPTER 1\n1. First title\n2. Second title\n\n1. Body one\ngoes on.\n\nNext paragraph.\n7. a list\n2. Body two\nCHAPTER 2\n1. Alone\nBOOK 2\nCHAPTER 1\n1. New"
+    assert segments(segment.segment_books(docs(spark, text))) == {
+        "Inst. 1.1.1.p1": "Body one goes on.", "Inst. 1.1.1.p2": "Next paragraph. 7. a list", "Inst. 1.1.2.p1": "Body two", "Inst. 1.2.1.p1": "Alone", "Inst. 2.1.1.p1": "New",
+    }
+    assert segments(segment.segment_roman_sections(docs(spark, "CHAPTER IV\n1. One\nCHAPTER V\n1. Two"))) == {"WCF 4.1": "One", "WCF 5.1": "Two"}
+
+
+def test_rendered_answers(spark):
+    from foliospark import schema as s
+    from foliospark.operators.render import top_k, render_answers
+
+    c = ("a-b", "L 1", "binding", " a quote ")
+    full = ("It is so.", [("Claim", " why ", [c])], [], [("Else", ["these", "those"], [])], (False, "", [], ""), "", ("high", "two"))
+    rows = [(1, "verified", full), (2, "degraded", (None, None, None, None, None, None, ("low", "none"))), (3, "generation-failed", None), (4, "verified", ("", [], [], [], None, "nothing", ("low", "silent")))]
+    frame = spark.createDataFrame(rows, "request_id int, outcome string, answer " + s.ANSWER.simpleString())
+    out: dict = {}
+    for r in render_answers(frame, [{"corpus_id": "a-b", "tier": "binding", "work": "W", "edition": "1st", "label": "seen"}]).orderBy("request_id", "line_no").collect():
+        out.setdefault(r["request_id"], []).append(r["line"])
+    assert out[1] == ["position", "  It is so.", "", "arguments", "  1. Claim", "     why", "     [binding] a-b L 1", "       W (1st)", "       binding: seen", '       "a quote"', "", "contrary positions", "  1. Else", "     held by: these, those", "", "confidence", "  high — two"]
+    assert out[2] == ["I can't source this adequately.", "", "confidence", "  low — none"] and out[3] == ["I couldn't produce an answer for this question."]
+    assert out[4] == ["The sources in scope are silent on this question.", "  nothing", "", "confidence", "  low — silent"]
+    assert top_k(None) == 20 and top_k(" 7 ") == 7
+    for bad in ("0", "-1", "x", str(2**31)):
+        with pytest.raises(ValueError):
+            top_k(bad)
