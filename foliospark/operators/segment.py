@@ -124,13 +124,13 @@ def _book_paragraphs(text: str) -> list[tuple[str, str]]:
         elif m := _PLAIN_CHAPTER.match(row):
             heads.append((at, book, int(m[1])))
     out = []
-    for (begin, book, chapter), (end, _, _) in zip(heads, [*heads[1:], (len(rows), 0, 0)], strict=True):
+    for (begin, book, chapter), (end, _, _) in zip(heads, [*heads[1:], (len(rows), 0, 0)], strict=False):
         end = next((i for i in range(begin + 1, end) if _BOOK.match(rows[i])), end)
         found = [(i, int(m[1])) for i in range(begin + 1, end) if (m := _OPENER.match(rows[i]))]
         first = _run(found, begin)
         second = _run(found, first[-1]) if first else []
         body = second if second and len(second) == len(first) else first
-        for number, (lo, hi) in enumerate(zip(body, [*body[1:], end], strict=True), 1):
+        for number, (lo, hi) in enumerate(zip(body, [*body[1:], end], strict=False), 1):
             parts = [" ".join(p.split()) for p in re.split(r"\n\s*\n", "\n".join(rows[lo:hi])) if p.strip()]
             parts[0] = _OPENER.match(parts[0])[2]
             out += [(f"{book}.{chapter}.{number}.p{i}", p) for i, p in enumerate(parts, 1)]
