@@ -6,8 +6,9 @@ are discarded by the largest difference of coordinates and only survivors are co
 
 Which pairs are looked at follows from parts of the fingerprints that must be equal: for the small radius of
 64-bit fingerprints by the pigeonhole principle, losslessly; for the wide fingerprints of a similarity
-threshold by bands of sampled bits. A bucket of any size is split into pairs of blocks, and a group yields a
-spanning forest of its links, not all of them.
+threshold by bands of sampled bits, at a wider radius, after which the shingle sets themselves are compared.
+A bucket of any size is split into pairs of blocks, and a group yields a spanning forest of its links, not
+all of them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ SEED, PIVOTS = 42, 16
 BLOCK = 2048
 #: Share of the pairs at the similarity threshold that bands should find; more similar ones are found more surely.
 RECALL = 0.9
+#: The radius of wide fingerprints lies so many standard deviations above what the threshold stands for.
+SLACK = 2.0
+#: Rows of a few numbers that are broadcast at most.
+NARROW_ROWS = 500_000
+#: Rows of a block where shingle sets are compared, which are larger than fingerprints.
+SET_BLOCK = 256
 _SMALL = 16
 
 
@@ -110,8 +117,8 @@ def segment_keys(radius: int, rows: int):
 
 
 def band_keys(width: int, share: float, rows: int, recall: float = RECALL):
-    """Keys of wide fingerprints: bands of sampled bits, so long that keys outnumber ``rows``, so many that a pair which agrees on ``share`` of all bits meets with probability ``recall``."""
-    size = max(14, math.ceil(math.log2(max(rows, 2))))
+    """Keys of wide fingerprints: bands of sampled bits, so long that keys outnumber ``rows`` four times, so many that a pair which agrees on ``share`` of all bits meets with probability ``recall``."""
+    size = max(14, math.ceil(math.log2(max(rows, 2))) + 2)
     count = math.ceil(math.log(1 - recall) / math.log(1 - share**size))
     r = np.random.default_rng(SEED + 1)
     chosen = [np.sort(r.choice(64 * width, size, replace=False)) for _ in range(count)]
@@ -129,24 +136,34 @@ def band_keys(width: int, share: float, rows: int, recall: float = RECALL):
     return keys
 
 
-def _close(fps, table, a, b, radius):
-    """Of the pairs (a, b): discard by coordinates, one pivot after another, then compare bits."""
+def _close(fps, table, a, b, radius, sets=None, least=0.0):
+    """Of the pairs (a, b): discard by coordinates, one pivot after another, then compare bits, then sets if there are any."""
     for p in range(table.shape[1]):
         near = np.abs(table[a, p] - table[b, p]) <= radius
         if not near.all():
             a, b = a[near], b[near]
     near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int32) <= radius
-    return a[near], b[near]
+    a, b = a[near], b[near]
+    if sets is not None:
+        near = np.array([resemblance(sets[i], sets[j]) >= least for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        a, b = a[near], b[near]
+    return a, b
 
 
-def _forest(fps, table, radius):
+def resemblance(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets: size of what they share over size of what either has; two empty sets are alike."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _forest(fps, table, radius, sets=None, least=0.0):
     """A spanning forest of one group's links, as (a, b): breadth first, each row compared with those not yet reached."""
     left, out_a, out_b = np.arange(len(fps)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             a = queue.pop()
-            _, found = _close(fps, table, np.full(len(left), a), left, radius)
+            _, found = _close(fps, table, np.full(len(left), a), left, radius, sets, least)
             if len(found):
                 out_a.append(np.full(len(found), a))
                 out_b.append(found)
@@ -156,7 +173,7 @@ def _forest(fps, table, radius):
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def _links(key, node, fps, table, radius):
+def _links(key, node, fps, table, radius, sets=None, least=0.0):
     """Links in rows sorted by group: all pairs of small groups at once, a forest of each larger one."""
     first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
     sizes = np.diff(np.append(first, len(key)))
@@ -167,11 +184,11 @@ def _links(key, node, fps, table, radius):
         a = np.flatnonzero((group[:-lag] == group[lag:]) & small[:-lag]) if lag < len(group) else np.zeros(0, np.int64)
         if not len(a):
             break
-        a, b = _close(fps, table, a, a + lag, radius)
+        a, b = _close(fps, table, a, a + lag, radius, sets, least)
         a_all.append(a)
         b_all.append(b)
     for f, n in zip(first[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        a, b = _forest(fps[f:f + n], table[f:f + n], radius)
+        a, b = _forest(fps[f:f + n], table[f:f + n], radius, sets and sets[f:f + n], least)
         a_all.append(a + f)
         b_all.append(b + f)
     if not a_all:
@@ -179,15 +196,16 @@ def _links(key, node, fps, table, radius):
     return node[np.concatenate(a_all)], node[np.concatenate(b_all)]
 
 
-def _compare(batches, width: int, radius: int):
-    """Rows (key, lo, hi, node, fp, pivots), sorted by the first three, which make a group -> links."""
+def _compare(batches, width: int, radius: int, least: float = 0.0):
+    """Rows (key, lo, hi, node, fp, pivots[, shingles]), sorted by the first three, which make a group -> links."""
     held = None
 
     def out(rows):
         key = np.stack([rows.column(i).to_numpy() for i in range(3)], axis=1)
         node = rows.column(3).to_numpy()
-        table = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<i2").reshape(len(node), -1)
-        u, v = _links(key, node, _words(rows.column(4), width), table, radius)
+        table = _table(rows.column(5), len(node))
+        sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()] if rows.num_columns > 6 else None
+        u, v = _links(key, node, _words(rows.column(4), width), table, radius, sets, least)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     for b in batches:
@@ -215,14 +233,61 @@ def link(nodes: DataFrame, keys, width: int, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64), pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
 
     rows = nodes.select("node", "fp").mapInArrow(keyed, "key long, node long")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    met = rows.join(shared, "key").select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
-    groups = met.join(nodes, "node").select("key", "lo", "hi", "node", "fp", "pivots")
+    met = rows.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = cut(met, "simhash-met")
+    # most keys that are shared are shared by two: the aggregate has the pair, and rows don't move again
+    pairs = met.filter("n = 2").select("u", "v").distinct()
+    x, y = (nodes.select(F.col("node").alias(end), F.struct("fp", "pivots").alias(f"{end}_row")) for end in "uv")
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", "u_row.fp", "u_row.pivots", F.col("v_row.fp").alias("fp2"), F.col("v_row.pivots").alias("pivots2"))
+    links = both.mapInArrow(lambda it: _check_pairs(it, width, radius), "u long, v long")
+    crowds = sized(cut(met.filter("n > 2").select("key", "n"), "simhash-crowds"), NARROW_ROWS)
+    crowded = rows.join(crowds, "key").join(nodes.drop("first"), "node").select("key", "n", "node", "fp", "pivots")
+    return links.union(_in_blocks(crowded, BLOCK, width, radius))
+
+
+def _table(column, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(n, -1)
+
+
+def _check_pairs(batches, width: int, radius: int):
+    """Rows (u, v, fp, pivots, fp2, pivots2) -> the pairs within the radius."""
+    for b in batches:
+        n = b.num_rows
+        fps = np.concatenate([_words(b.column(i), width) for i in (2, 4)])
+        table = np.concatenate([_table(b.column(i), n) for i in (3, 5)]) if n else np.zeros((0, PIVOTS), np.int16)
+        at, _ = _close(fps, table, np.arange(n), np.arange(n) + n, radius)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["u", "v"])
+
+
+def _in_blocks(rows: DataFrame, block: int, width: int, radius: int, least: float = 0.0) -> DataFrame:
+    """Links within each key of ``rows`` (key, n, node, fp, pivots[, shingles]), of which a key has n, by pairs of blocks."""
+    blocks = F.ceil(F.col("n") / block)
+    rest = [c for c in rows.columns if c not in ("key", "n")]
+    met = rows.select("key", *rest, F.pmod(F.xxhash64("node"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    groups = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *rest)
     groups = groups.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return groups.mapInArrow(lambda it: _compare(it, width, radius), "u long, v long")
+    return groups.mapInArrow(lambda it: _compare(it, width, radius, least), "u long, v long")
+
+
+def _resembling(docs: DataFrame, nodes: DataFrame, placed: DataFrame, words: int, width: int, radius: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Links of at least ``least`` resemblance within the groups ``placed`` (node, root) of a wider radius.
+
+    A node's shingles are read from its first document; only documents in such groups are read again.
+    """
+    placed = cut(placed, "simhash-wide")
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    wanted = nodes.join(placed.join(sizes, "root"), "node").select("first", F.col("root").alias("key"), "n", "node", "fp", "pivots")
+    wanted = sized(cut(wanted, "simhash-wanted"))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.binary())], names=["key", "n", "node", "fp", "pivots", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows = rows.join(wanted, rows["__id"].eqNullSafe(wanted["first"])).select("key", "n", "node", "fp", "pivots", "__text")
+    rows = rows.mapInArrow(run, "key long, n long, node long, fp binary, pivots binary, shingles binary")
+    return _in_blocks(rows, SET_BLOCK, width, radius, least)
 
 
 def _pivots(width: int):
@@ -240,9 +305,9 @@ def simhash_groups(
     """doc_id, fp (binary, little-endian words), component_id of every row of ``docs``; other columns are not read.
 
     Without ``similarity``: 64-bit fingerprints of shingles of ``words`` words, linked at ``radius`` or fewer
-    differing bits, all links found. With it: fingerprints of ``width`` words, linked where the resemblance
-    of the shingle sets that their differing bits stand for is at least ``similarity``; of pairs at the
-    threshold bands find RECALL, of more similar ones more.
+    differing bits, all links found. With it: linked where the shingle sets resemble each other by at least
+    ``similarity``; bands and a radius of fingerprints of ``width`` words find most pairs at the threshold
+    (RECALL), more of more similar ones, and sets are compared exactly, so there are no false links.
 
     component_id is the smallest doc_id reachable (nulls come last; null if all are). Null and empty texts
     have fingerprint zero and are linked like others. Rows with equal texts, or equal ids, get a row each.
@@ -250,14 +315,16 @@ def simhash_groups(
     if similarity is None:
         width = 1
     else:
-        cosine = 2 * similarity / (1 + similarity)
-        radius = math.floor(64 * width * math.acos(cosine) / math.pi)
+        share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ at the threshold
+        radius = math.ceil(64 * width * share + SLACK * math.sqrt(64 * width * share * (1 - share)))
     marked = cut(fingerprints(docs, words, width, id_col, text_col), "simhash-docs")
     nodes = marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")).select("node", "fp", "first")
     nodes = cut(nodes.mapInArrow(_pivots(width), "node long, fp binary, first long, pivots binary"), "simhash-nodes")
     n = nodes.count()
-    keys = segment_keys(radius, n) if width == 1 else band_keys(width, 1 - radius / (64 * width), n)
+    keys = segment_keys(radius, n) if similarity is None else band_keys(width, 1 - share, n)
     placed = components(link(nodes, keys, width, radius))
+    if similarity is not None:
+        placed = components(_resembling(docs, nodes, placed, words, width, radius, similarity, id_col, text_col))
     labels = cut(nodes.select("node", "first").join(placed, "node").groupBy("root").agg(F.min("first").alias("component")), "simhash-labels")
     named = placed.join(labels, "root").select("node", "component")
     named = nodes.select("node", "first").join(named, "node", "left").select("node", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component")).alias("component_id"))
