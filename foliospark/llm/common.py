@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 #: Largest number of (narrow, fixed-width) rows that is broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 200_000
+#: And of bytes, by the size of its files.
+BROADCAST_BYTES = 48 << 20
 
 #: Whitespace of all contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,13 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        local = tempfile.mkdtemp(prefix="foliospark-")
-        atexit.register(shutil.rmtree, local, True)
-        found = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="foliospark-")
+            atexit.register(shutil.rmtree, _local[app], True)
+        found = f"file://{_local[app]}"
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark would take it to be on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later stages survive lost executors and never recompute it."""
     spark = df.sparkSession
@@ -41,9 +53,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches, rows: int = 500):
+    """Arrow batches in slices of at most ``rows`` rows: what a worker holds of texts as Python objects stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` (already cut) has at most ``rows`` rows, by its Parquet row counts; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Hint a broadcast if ``df`` (already cut) is small by the size of its Parquet files and their row counts; else leave the join to a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 def squeezed(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from foliospark.llm.common import cut, shared_dir, sized
+from foliospark.llm.common import cut, qualified, shared_dir, sized
 
 SCHEMA = (
     "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to string, "
@@ -40,6 +40,9 @@ def base32_sha1(data: bytes) -> str:
 
 
 def _open_fs(path: str):
+    scheme, colon, rest = path.partition(":")
+    if colon and rest.startswith("/") and not rest.startswith("//"):  # as Hadoop writes local paths
+        path = f"{scheme}://{rest}"
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
@@ -265,7 +268,7 @@ def register(spark: SparkSession) -> None:
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -297,7 +300,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T0
 
 def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
     """Write a record for every page; returns the archive's path, by default a new one in the shared folder."""
-    path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = qualified(pages.sparkSession, path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     register(pages.sparkSession)
     page_records(pages, min_bytes).write.format("warc").mode("append").save(path)
     return path
