@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, sized
+from foliospark.llm.common import cut, pieces, sized
 
 #: Template tokens of a window; an item with fewer is one window. Least share of literal words in a window.
 WINDOW, LITERAL = 8, 0.5
@@ -37,18 +37,22 @@ NAMES = frozenset(
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?:;\n]+")
 _WORD, _NUMBER, _UNIT, _NAME, _CAPITAL, _STOP = range(6)
-_kinds: dict[str, tuple[int, int]] = {}
+_HOLES = {_NUMBER: "number", _UNIT: "unit", _NAME: "name"}
 
 
 def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), _SEED)
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), _SEED) & ~7
+
+
+_HOLE_HASHES = np.array([0, *(_hash(f"<{h}>") for h in _HOLES.values())], np.uint64)
+
 
+class _Kinds(dict):
+    """Token -> hash of its lower case, with its kind in the lowest three bits."""
 
-def _kind(token: str) -> tuple[int, int]:
-    found = _kinds.get(token)
-    if found is None:
-        if len(_kinds) > 400_000:
-            _kinds.clear()
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
         lower = token.lower()
         if token[0].isdigit():
             kind = _NUMBER
@@ -60,31 +64,40 @@ def _kind(token: str) -> tuple[int, int]:
             kind = _NAME if lower in NAMES else _CAPITAL
         else:
             kind = _WORD
-        found = _kinds[token] = kind, _hash(lower)
-    return found
+        found = self[token] = _hash(lower) | kind
+        return found
 
 
-_HOLES = {_NUMBER: "number", _UNIT: "unit", _NAME: "name"}
-_HOLE_HASHES = np.array([0, _hash("<number>"), _hash("<unit>"), _hash("<name>")], np.uint64)
-
-
-def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens without stops, the kind of each (word, number, unit, name) and the hash of each as a template token."""
-    tokens = _TOKEN.findall(text)
-    if not tokens:
-        return [], np.zeros(0, np.int8), np.zeros(0, np.uint64)
-    pairs = [_kind(t) for t in tokens]
-    kind = np.fromiter((p[0] for p in pairs), np.int8, len(pairs))
-    hashes = np.fromiter((p[1] for p in pairs), np.uint64, len(pairs))
-    before, after = np.roll(kind, 1), np.roll(kind, -1)
-    before[0], after[-1] = _STOP, _STOP
-    kind[(kind == _CAPITAL) & (before != _STOP)] = _NAME  # a capital in a sentence
-    kind[kind == _CAPITAL] = _WORD
-    kind[(kind == _UNIT) & (before != _NUMBER) & (after != _NUMBER)] = _WORD
-    content = kind != _STOP
-    tokens = [t for t, c in zip(tokens, content.tolist(), strict=True) if c]
-    kind, hashes = kind[content], hashes[content]
-    return tokens, kind, np.where(kind > 0, _HOLE_HASHES[kind], hashes)
+_kinds = _Kinds()
+
+
+class Template:
+    """The template tokens of a text: ``kind`` (word, number, unit, name) and ``hashes``; ``tokens`` as written, when asked for."""
+
+    def __init__(self, text: str):
+        self._all = _TOKEN.findall(text)
+        coded = np.fromiter(map(_kinds.__getitem__, self._all), np.uint64, len(self._all))
+        kind = (coded & np.uint64(7)).astype(np.int8)
+        before, after = np.full(len(kind), _STOP, np.int8), np.full(len(kind), _STOP, np.int8)
+        before[1:], after[:-1] = kind[:-1], kind[1:]
+        kind[(kind == _CAPITAL) & (before != _STOP)] = _NAME  # a capital in a sentence
+        kind[kind == _CAPITAL] = _WORD
+        kind[(kind == _UNIT) & (before != _NUMBER) & (after != _NUMBER)] = _WORD
+        self._at = np.flatnonzero(kind != _STOP)
+        self.kind = kind[self._at]
+        self.hashes = coded[self._at] & ~np.uint64(7)
+        holes = np.flatnonzero(self.kind)
+        self.hashes[holes] = _HOLE_HASHES[self.kind[holes]]
+
+    def __len__(self):
+        return len(self.kind)
+
+    def tokens(self, at: int = 0, size: int | None = None) -> list[str]:
+        return [self._all[i] for i in self._at[at:None if size is None else at + size]]
+
+    def slots(self, at: int, size: int) -> list[str]:
+        """Type and value of what fills the holes of a window."""
+        return [f"{_HOLES[k]}:{x.lower()}" for k, x in zip(self.kind[at:at + size].tolist(), self.tokens(at, size), strict=True) if k]
 
 
 def windows(kind: np.ndarray, hashes: np.ndarray, size: int, least: float = LITERAL) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +116,6 @@ def windows(kind: np.ndarray, hashes: np.ndarray, size: int, least: float = LITE
     return at, total[at]
 
 
-def _slots(tokens: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
-    return [f"{_HOLES[int(k)]}:{tokens[at + j].lower()}" for j, k in enumerate(kind[at:at + size]) if k > 0]
-
-
 _WINDOWS = "size int, window long, at int, slots array<string>"
 _SLOTS = pa.list_(pa.string())
 
@@ -115,10 +124,10 @@ def _item_windows(batches):
     for b in batches:
         rows = []
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            tokens, kind, hashes = template(text or "")
-            size = min(WINDOW, len(tokens))
-            found = list(zip(*windows(kind, hashes, size), strict=True))
-            rows += [(item, size, int(np.uint64(h).astype(np.int64)), int(at), _slots(tokens, kind, at, size), len(found)) for at, h in found]
+            form = Template(text or "")
+            size = min(WINDOW, len(form))
+            at, h = windows(form.kind, form.hashes, size)
+            rows += [(item, size, w, a, form.slots(a, size), len(at)) for a, w in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), _SLOTS, pa.int32())
         columns = zip(*rows, strict=True) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item_id", "size", "window", "at", "slots", "n"])
@@ -126,17 +135,17 @@ def _item_windows(batches):
 
 def _doc_windows(batches, sizes: list[int], known: np.ndarray | None):
     """Windows of (doc_id, text, mark) rows that are in the sorted array ``known``; all windows if there is none."""
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         for doc, text, mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            tokens, kind, hashes = template(text)
+            form = Template(text)
             for size in sizes:
-                at, h = windows(kind, hashes, size)
+                at, h = windows(form.kind, form.hashes, size)
                 h = h.view(np.int64)
                 if known is not None and len(known):
                     hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                     at, h = at[hit], h[hit]
-                rows += [(doc, mark, w, a, _slots(tokens, kind, a, size)) for a, w in zip(at.tolist(), h.tolist(), strict=True)]
+                rows += [(doc, mark, w, a, form.slots(a, size)) for a, w in zip(at.tolist(), h.tolist(), strict=True)]
         for lo in range(0, max(1, len(rows)), 20_000):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), _SLOTS)
             part = rows[lo:lo + 20_000]

@@ -2,7 +2,7 @@ import random
 
 from helpers import ODD, docs
 
-from foliospark.llm.decontaminate import WINDOW, consistent, contamination, decontaminate, template, windows
+from foliospark.llm.decontaminate import WINDOW, Template, consistent, contamination, decontaminate, windows
 
 
 def bench(spark, items):
@@ -13,9 +13,9 @@ ITEM = "Natalia sold 48 clips to her friends in the month of April and then she
 
 
 def test_templates():
-    tokens, kind, _ = template("Tom has 5 apples. Then Tom gave Eve 1,250.5 kg of it, m")
-    assert [t for t, k in zip(tokens, kind, strict=True) if k > 0] == ["Tom", "5", "Tom", "Eve", "1,250.5", "kg"]
-    assert template("")[0] == []
+    form = Template("Tom has 5 apples. Then Tom gave Eve 1,250.5 kg of it, m")
+    assert [x.split(":")[1] for x in form.slots(0, len(form))] == ["tom", "5", "tom", "eve", "1,250.5", "kg"]
+    assert form.tokens(2, 2) == ["5", "apples"] and len(Template("")) == 0
 
 
 def test_reparameterised_questions(spark):
@@ -47,17 +47,18 @@ def test_against_brute_force(spark):
         rows.append((i, text))
 
     def plain(text, size):
-        tokens, kind, hashes = template(text)
-        out = []
-        for at in windows(kind, hashes, size)[0]:
-            out.append((int(at), tuple("#" + "wnue"[k] if k else t.lower() for t, k in zip(tokens[at:at + size], kind[at:at + size], strict=True)), [f"{k}:{t.lower()}" for t, k in zip(tokens[at:at + size], kind[at:at + size], strict=True) if k]))
+        form, out = Template(text), []
+        tokens, kind = form.tokens(), form.kind.tolist()
+        for at in windows(form.kind, form.hashes, size)[0].tolist():
+            part = list(zip(tokens[at:at + size], kind[at:at + size], strict=True))
+            out.append((at, tuple(f"#{k}" if k else t.lower() for t, k in part), [f"{k}:{t.lower()}" for t, k in part if k]))
         return out
 
     want = {}
     for d, t in rows:
         want[d] = []
         for i, it in items:
-            size = min(WINDOW, len(template(it)[0]))
+            size = min(WINDOW, len(Template(it)))
             own, there = plain(it, size), plain(t, size)
             hits = [{"at": a, "slots": s, "filled": f} for a, w, s in own for _, v, f in there if v == w]
             if own and len(consistent(hits)) / len(own) >= 0.5:
