@@ -6,6 +6,7 @@ half of (sum of v x) squared minus the sum of (v x) squared, for each of the k f
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import pieces
 from foliospark.llm.labelled import labelled_sample
 
 #: Words are hashed to so many bits.
@@ -21,6 +23,8 @@ BITS = 16
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 8000
 FACTORS, EPOCHS, BATCH, RATE, PENALTY, SEED = 6, 8, 128, 0.08, 2e-5, 11
+#: Gradient steps at least, which small samples take in smaller batches and more epochs.
+LEAST_STEPS = 500
 #: Steps of a statistic; a value lies between two of them and counts for both by its nearness.
 STEPS = 12
 
@@ -43,7 +47,7 @@ _hashes: dict[str, int] = {}
 def _hash(word: str) -> int:
     h = _hashes.get(word)
     if h is None:
-        if len(_hashes) > 300_000:
+        if len(_hashes) > 100_000:
             _hashes.clear()
         h = _hashes[word] = zlib.crc32(word.encode("utf-8", "replace")) & (WORDS - 1)
     return h
@@ -103,10 +107,11 @@ class FactorisationMachine:
         mean = float(np.clip(y.mean(), 0.01, 0.99))
         self.bias = float(np.log(mean / (1 - mean)))
         gw, gv, gb = np.full(len(self.w), 1e-2), np.full(self.v.shape, 1e-2), 1e-2
-        for _ in range(EPOCHS):
+        batch = max(8, min(BATCH, len(rows) // 16))
+        for _ in range(max(EPOCHS, math.ceil(LEAST_STEPS * batch / len(rows)))):
             order = r.permutation(len(rows))
-            for lo in range(0, len(rows), BATCH):
-                part = order[lo:lo + BATCH]
+            for lo in range(0, len(rows), batch):
+                part = order[lo:lo + batch]
                 sizes = np.array([len(rows[i][0]) for i in part])
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 at, x = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
@@ -135,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE) -> Fa
     """Fit on at most ``sample`` labelled documents; their features, not their texts, reach the driver. No labels give a score of 0.5 to all."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             found = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary()), b.column(1)], names=["at", "x", "label"])
 
@@ -146,17 +151,17 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE) -> Fa
     return FactorisationMachine().fit([(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4")) for a, x, _ in rows], np.array([r[2] for r in rows], np.float64))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col`` (0 to 1, higher: better), replacing a column of that name; all other columns stay as they are.
+def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1, higher: better), replacing a column of that name; all other columns stay as they are, or only those in ``keep``.
 
     Null texts score as empty ones. Every row gets a score from its whole text alone: ties, repeated rows and
     null ids don't matter. An empty table stays empty.
     """
-    kept = [c for c in docs.columns if c != score_col]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != score_col]
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             scores = pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(docs_at[c]) for c in kept), scores], names=[*kept, score_col])
 
