@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, sized
+from foliospark.llm.common import cut, pieces, sized
 from foliospark.llm.components import components
 
 #: Shorter lines are never touched; between the two, lines are only equal or not.
@@ -149,13 +149,13 @@ def _occurrences(batches, edits: int):
     """A row for each line; with its keys if it is long enough for edits and the worker hasn't just seen it."""
     keys, seen = _Keys(edits), set()
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    for b in batches:
+    for b in pieces(batches, 1000):
         rows, found, sizes = [], [], []
         for doc, mark, pos, line in _lines(b, LEAST_CHARS):
             own = _id(line)
             rows.append((doc, mark, pos, *own))
             if len(line) >= NEAR_CHARS and own not in seen:
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(own)
                 found += (k := keys.of(line))

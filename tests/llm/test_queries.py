@@ -1,0 +1,37 @@
+"""The registered queries on the smallest tables: those with SQL against it, all for their columns and rows."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from foliospark.llm.queries import ORACLE_SQL, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+
+COLUMNS = {
+    "op1_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op2_quality": {"doc_id", "held_out", "score", "predicted"}, "op4_mix": {"doc_id", "size", "source_size", "target", "taken"},
+    "op5_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op6_langid": {"doc_id", "held_out", "lang_pred", "score"}, "op8_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    "op9_simhash": {"doc_id", "fingerprint", "component_id"}, "op10_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, DIR)
+    rows = df.collect()
+    assert COLUMNS.get(name, {"doc_id"}) <= set(df.columns)
+    assert len(rows) == spark.read.parquet(f"{DIR}/{'pages' if name == 'op10_warc' else 'documents'}.parquet").count()
+    if name in ORACLE_SQL:
+        c = duckdb.connect()
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+        want = c.sql(ORACLE_SQL[name])
+        assert sorted(want.columns) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_pipeline_runs_whole(spark):
+    out = corpus_pipeline.run(spark, DIR)
+    assert out.count() == out.select("doc_id").distinct().count() > 100
