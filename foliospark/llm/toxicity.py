@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut
+from foliospark.llm.common import cut, pieces
 from foliospark.llm.labelled import labelled_sample
 
 #: Labelled documents that the grammar is fitted on at most.
 SAMPLE = 12_000
-#: Lengths of word beginnings that may be learned as stems, least number of toxic documents that show a learned word, and most learned words.
-STEMS, LEAST, MOST = (4, 5, 6, 7), 3, 5000
+#: Lengths of word beginnings that may be learned as stems, each with a short or a long rest of the word, and how long a short rest is.
+STEMS, SHORT_REST = (4, 5, 6, 7), 5
+#: Least number of toxic documents that show a learned word, and most learned words.
+LEAST, MOST = 3, 5000
 PENALTY, STEPS = 1e-3, 400
 
 #: Words of the parts that need no learning, in the languages of the corpora.
@@ -41,12 +43,17 @@ _CLAUSE = re.compile(r"[.!?;:\n\r]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 
 
+def stem(word: str, n: int) -> str:
+    """The first ``n`` letters, marked by whether a short or a long rest follows."""
+    return word[:n] + ("<" if len(word) - n <= SHORT_REST else ">")
+
+
 class Grammar:
     """Lexicon transducers and pattern weights."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
+        self.lengths = sorted({len(s) - 1 for s in stems}, reverse=True)
         self.parts = {w: p for p in PARTS[::-1] for w in SEEDS[p].split()}
         self.weights, self.bias, self.fitted = np.zeros(2 * len(PATTERNS)), 0.0, False
         self._seen: dict[str, float] = {}
@@ -55,11 +62,11 @@ class Grammar:
         """Weight of a lower-cased word as an insult; 0 if it is none."""
         found = self._seen.get(word)
         if found is None:
-            if len(self._seen) > 300_000:
+            if len(self._seen) > 50_000:
                 self._seen.clear()
             found = self.words.get(word, 0.0)
             if not found:
-                found = max((self.stems.get(word[:n], 0.0) for n in self.lengths if len(word) >= n), default=0.0)
+                found = max((self.stems.get(stem(word, n), 0.0) for n in self.lengths if len(word) > n), default=0.0)
             if not found and self.parts.get(word) == "insult" and word not in self.words:
                 found = 1.0
             self._seen[word] = max(found, 0.0)
@@ -133,7 +140,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     """Words and stems by their log odds in toxic against other documents of ``sample`` (text, label); the strongest MOST, so what reaches the driver is bounded."""
     tokens = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}'’]+"))
     words = sample.select("label", F.monotonically_increasing_id().alias("row"), F.explode(tokens).alias("word")).filter("length(word) BETWEEN 2 AND 60")
-    forms = F.array(F.concat(F.lit("="), "word"), *[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS])
+    rest = lambda n: F.when(F.length("word") - n <= SHORT_REST, "<").otherwise(">")
+    forms = F.array(F.concat(F.lit("="), "word"), *[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), rest(n))) for n in STEMS])
     rows = words.select("label", "row", F.explode(F.array_compact(forms)).alias("form")).distinct()
     stats = rows.groupBy("form").agg(F.sum("label").alias("tox"), F.count(F.lit(1)).alias("n")).filter(F.col("tox") >= LEAST)
     base = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
@@ -146,7 +154,6 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     best = strong.orderBy(F.desc("tox"), "form").limit(MOST).select("form", odds.alias("odds")).collect()
     found = {r["form"]: max(0.5, min(4.0, r["odds"] / 1.5)) for r in best}
     stems = {f: v for f, v in found.items() if f[0] != "="}
-    stems = {f: v for f, v in stems.items() if not any(f[:n] in stems for n in STEMS if n < len(f))}
     return {f[1:]: v for f, v in found.items() if f[0] == "="}, stems
 
 
@@ -157,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE) -> Gr
     model = Grammar(words, stems)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array([model.patterns(t).astype("<f8").tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["x", "label"])
 
     got = rows.mapInArrow(run, "x binary, label int").toPandas()
@@ -177,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: Grammar, id_col: str = "doc_id", text
     """
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")

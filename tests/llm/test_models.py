@@ -78,12 +78,12 @@ def test_toxicity(spark):
 
 
 def test_clauses():
-    g = toxicity.Grammar({}, {"zorb": 2.0})
+    g = toxicity.Grammar({}, {"zorb<": 2.0})
     names = lambda t: {k for k in g.clause(t.split()) if k != "words"}
     assert names("you are an idiot") == {"insult at target"} and names("an idiot walks") == {"insult"}
     assert names("he is not an idiot") == {"negated insult"} and names("he said you idiot") == {"reported insult"}
     assert names("i will kill you") == {"threat at target"} and names("they never kill you") == set() and names("to kill time") == set()
-    assert g.insult("zorbling") == 2.0 and g.insult("orb") == 0.0
+    assert g.insult("zorbling") == 2.0 and g.insult("orb") == g.insult("zorb") == g.insult("zorblingest") == 0.0
 
 
 def test_toxicity_without_labels(spark):
