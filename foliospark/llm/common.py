@@ -48,11 +48,19 @@ def qualified(spark: SparkSession, path: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later stages survive lost executors and never recompute it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let at most 1000 rows of whole texts cross to Python at once, unless the session says otherwise: Arrow's buffers outside the heap stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 def pieces(batches, rows: int = 500):
     """Arrow batches in slices of at most ``rows`` rows: what a worker holds of texts as Python objects stays small."""
     for b in batches:

@@ -51,7 +51,7 @@ class _Kinds(dict):
     """Token -> hash of its lower case, with its kind in the lowest three bits."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         lower = token.lower()
         if token[0].isdigit():

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import pieces
+from foliospark.llm.common import pieces, small_batches
 
 #: Trigrams are hashed to so many bits.
 BITS = 17
@@ -157,5 +157,6 @@ def identify(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col:
                 pa.array([[(model.langs[i], float(s[i])) for i in np.flatnonzero(s)] for s in out], pa.map_(pa.string(), pa.float64())),
             ], names=["doc_id", "lang_pred", "score", "langs"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, langs map<string,double>")

@@ -155,7 +155,7 @@ def _occurrences(batches, edits: int):
             own = _id(line)
             rows.append((doc, mark, pos, *own))
             if len(line) >= NEAR_CHARS and own not in seen:
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add(own)
                 found += (k := keys.of(line))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import pieces
+from foliospark.llm.common import pieces, small_batches
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -134,6 +134,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([find_spans(t) for t in b.column(1).to_pylist()], _TYPE)], names=["doc_id", "spans"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"doc_id long, spans {SPANS}")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import pieces
+from foliospark.llm.common import pieces, small_batches
 from foliospark.llm.labelled import labelled_sample
 
 #: Words are hashed to so many bits.
@@ -47,7 +47,7 @@ _hashes: dict[str, int] = {}
 def _hash(word: str) -> int:
     h = _hashes.get(word)
     if h is None:
-        if len(_hashes) > 100_000:
+        if len(_hashes) > 50_000:
             _hashes.clear()
         h = _hashes[word] = zlib.crc32(word.encode("utf-8", "replace")) & (WORDS - 1)
     return h
@@ -157,6 +157,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str =
     Null texts score as empty ones. Every row gets a score from its whole text alone: ties, repeated rows and
     null ids don't matter. An empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c != score_col]
     at = docs.columns.index(text_col)
 
