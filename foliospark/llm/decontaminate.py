@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question with other values has the same
 template. Windows of template tokens are hash-joined with those of the benchmark; the values that fill a
-window's slots must then be consistent: one value of an item stands for one value of the document.
+window's slots must then be consistent: one value of an item stands for one value of an occurrence. A document
+may hold an item more than once with other values each time; its best occurrence counts.
 """
 
 from __future__ import annotations
@@ -165,9 +166,30 @@ def consistent(hits: list[dict]) -> set[int]:
     return {h["at"] for h in hits if all(good.get(own) == filled for own, filled in zip(h["slots"], h["filled"], strict=True))}
 
 
+def best(hits: list[dict]) -> int:
+    """Most windows of an item that agree: in one occurrence, by offset (``place`` - ``at``) or by offsets that edits shift a little, or in all hits together.
+
+    Hits without slots agree with every occurrence and count for all of them.
+    """
+    free = {h["at"] for h in hits if not h["slots"]}
+    held = sorted((h for h in hits if h["slots"]), key=lambda h: h["place"] - h["at"])
+    once = {(h["at"], *h["slots"], *h["filled"]): h for h in held}  # together, equal occurrences vote once
+    groups, exact, near, last = [[*once.values()]], [], [], None
+    for h in held:
+        offset = h["place"] - h["at"]
+        if last is None or offset != last:
+            groups.append(exact := [])
+        if last is None or offset - last >= WINDOW:
+            groups.append(near := [])
+        exact.append(h)
+        near.append(h)
+        last = offset
+    return max(len(free | consistent(g)) for g in groups)
+
+
 def _judge(batches):
     for b in batches:
-        share = [len(consistent(h)) / n for h, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+        share = [best(h) / n for h, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(share, pa.float64())], names=["doc_id", "mark", "item_id", "share"])
 
 
@@ -183,7 +205,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     found = base.mapInArrow(lambda it: _doc_windows(it, sizes, known), "doc_id long, mark long, window long, place int, filled array<string>")
     met = found.join(sized(items), "window").filter(F.size("slots") == F.size("filled"))
-    hits = met.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("at", "slots", "filled")).alias("hits"), F.first("n").alias("n"))
+    met = met.withColumn("place", F.when(F.size("slots") > 0, F.col("place")).otherwise(0))  # what has no slots agrees anywhere
+    hits = met.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("at", "place", "slots", "filled")).alias("hits"), F.first("n").alias("n"))
     judged = hits.select("doc_id", "mark", "item_id", "hits", "n").mapInArrow(_judge, "doc_id long, mark long, item_id long, share double")
     bad = judged.filter(F.col("share") >= share)
     return bad.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"))

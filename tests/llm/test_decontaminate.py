@@ -33,6 +33,17 @@ def test_inconsistent_slots():
     assert consistent([hit(0, ["name:a", "name:b"], ["name:x", "name:x"])]) == set()
 
 
+def test_occurrences_are_judged_on_their_own(spark):
+    """Each window has both slots: a worksheet of variants must not mix the values of one with those of another."""
+    item = "please add 3 and also 5 apples to it"
+    other, moved = item.replace("3", "7").replace("5", "2"), "please add 9 and also 4 very big apples to it"
+    long = "the pump of Weng fills 12 tanks and 30 buckets while the pump of Eve fills 9 tanks and 40 buckets in a day"
+    spread = long.replace("12", "15").replace("30", "77").replace("and 40", "and quite some 40")
+    rows = [(1, item), (2, other), (3, f"{item} . {other}"), (4, f"{other}\n{item}\n{moved}"), (5, f"{long} . {spread} . {spread.replace('15', '16').replace('77', '2')}"), (6, "please add 3 and also words of no use here")]
+    got = {r["doc_id"]: (r["item_ids"], r["share"]) for r in contamination(docs(spark, rows), bench(spark, [(7, item), (8, long)])).collect()}
+    assert all(got[i] == ([7], 1.0) for i in (1, 2, 3, 4)) and got[5] == ([8], 1.0) and got[6] == ([], 0.0)
+
+
 def test_against_brute_force(spark):
     r = random.Random(1)
     words = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(200)]
