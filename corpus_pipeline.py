@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import quality
 from foliospark.llm.common import bucket, cut
-from foliospark.llm.decontaminate import decontaminate
+from foliospark.llm.decontaminate import RUN, decontaminate
 from foliospark.llm.line_dedup import dedup_lines
 from foliospark.llm.mixing import mix
 from foliospark.llm.simhash import near_dedup
@@ -37,7 +37,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), run=RUN)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

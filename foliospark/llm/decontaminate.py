@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from foliospark.llm.common import cut, pieces, sized
 WINDOW, LITERAL = 8, 0.5
 #: A document is contaminated by an item if so large a share of the item's windows is found, with consistent slots.
 SHARE = 0.5
+#: So many consecutive tokens with the same values are a leak whatever their share; an item with fewer and no window that is literal enough must be there whole.
+RUN = 13
 #: Windows of the benchmark that go to every task as a sorted array of 8 bytes each; beyond it, windows are joined by a shuffle.
 ARRAY_WINDOWS = 2_000_000
 _SEED = 7
@@ -73,7 +76,7 @@ _kinds = _Kinds()
 
 
 class Template:
-    """The template tokens of a text: ``kind`` (word, number, unit, name) and ``hashes``; ``tokens`` as written, when asked for."""
+    """The template tokens of a text: ``kind`` (word, number, unit, name), ``hashes`` and, with values in place of holes, ``exact``; ``tokens`` as written, when asked for."""
 
     def __init__(self, text: str):
         self._all = _TOKEN.findall(text)
@@ -86,7 +89,8 @@ class Template:
         kind[(kind == _UNIT) & (before != _NUMBER) & (after != _NUMBER)] = _WORD
         self._at = np.flatnonzero(kind != _STOP)
         self.kind = kind[self._at]
-        self.hashes = coded[self._at] & ~np.uint64(7)
+        self.exact = coded[self._at] & ~np.uint64(7)
+        self.hashes = self.exact.copy()
         holes = np.flatnonzero(self.kind)
         self.hashes[holes] = _HOLE_HASHES[self.kind[holes]]
 
@@ -101,52 +105,88 @@ class Template:
         return [f"{_HOLES[k]}:{x.lower()}" for k, x in zip(self.kind[at:at + size].tolist(), self.tokens(at, size), strict=True) if k]
 
 
+_ALL = (1 << 64) - 1
+
+
+@cache
+def _power(n: int) -> int:
+    return pow(0x9E3779B97F4A7C15, n, 1 << 64)
+
+
 def windows(kind: np.ndarray, hashes: np.ndarray, size: int, least: float = LITERAL) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the windows of ``size`` tokens of which enough are literal."""
     n = len(hashes) - size + 1
     if n <= 0 or not size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(n, size, np.uint64)
-    for j in range(size):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[j:j + n]
+    total, part, span, at = np.full(n, _power(size) * size & _ALL, np.uint64), hashes, 1, 0
+    while True:  # the polynomial of a window, from those of spans of 1, 2, 4, ... tokens
+        if size & span:
+            total += part[at:at + n] * np.uint64(_power(size - at - span))
+            at += span
+        if at == size:
+            break
+        part = part[:-span] * np.uint64(_power(span)) + part[span:]
+        span *= 2
     total ^= total >> np.uint64(31)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(29)
+    if not least:
+        return np.arange(n), total
     literal = np.concatenate(([0], np.cumsum(kind == _WORD)))
     at = np.flatnonzero(literal[size:] - literal[:n] >= least * size)
     return at, total[at]
 
 
-_WINDOWS = "size int, window long, at int, slots array<string>"
+def runs(form: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of all runs of ``size`` tokens as written, but for case; hashes differ from those of windows."""
+    at, h = windows(form.kind, form.exact, size, 0.0)
+    return at, ~h
+
+
+_WINDOWS = "size int, exact boolean, window long, at int, slots array<string>"
 _SLOTS = pa.list_(pa.string())
 
 
-def _item_windows(batches):
+def _item_windows(batches, run: int):
     for b in batches:
         rows = []
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             form = Template(text or "")
             size = min(WINDOW, len(form))
             at, h = windows(form.kind, form.hashes, size)
-            rows += [(item, size, w, a, form.slots(a, size), len(at)) for a, w in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), _SLOTS, pa.int32())
-        columns = zip(*rows, strict=True) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item_id", "size", "window", "at", "slots", "n"])
-
-
-def _doc_windows(batches, sizes: list[int], known: np.ndarray | None):
-    """Windows of (doc_id, text, mark) rows that are in the sorted array ``known``; all windows if there is none."""
+            rows += [(item, size, False, w, a, form.slots(a, size), len(at)) for a, w in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+            if run and (len(form) >= run or not len(at)):
+                size = min(run, len(form))
+                at, h = runs(form, size)
+                rows += [(item, size, True, w, a, [], len(at)) for a, w in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), _SLOTS, pa.int32())
+        columns = zip(*rows, strict=True) if rows else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item_id", "size", "exact", "window", "at", "slots", "n"])
+
+
+def _doc_windows(batches, sizes: list[tuple[int, bool]], known: np.ndarray | None):
+    """Windows, by size and whether with values, of (doc_id, text, mark) rows that are in the sorted array ``known``; all windows if there is none."""
+    maybe = None
+    if known is not None and len(known):  # a first look by the leading bits, which few pass
+        shift = np.uint64(64 - min(24, 4 + len(known).bit_length()))
+        maybe = np.zeros(1 << (64 - int(shift)), bool)
+        maybe[known.view(np.uint64) >> shift] = True
     for b in pieces(batches):
         rows = []
         for doc, text, mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
             form = Template(text)
-            for size in sizes:
-                at, h = windows(form.kind, form.hashes, size)
+            for size, exact in sizes:
+                at, h = runs(form, size) if exact else windows(form.kind, form.hashes, size)
+                if maybe is not None and len(h):
+                    few = np.flatnonzero(maybe[h >> shift])
+                    if not len(few):
+                        continue
+                    at, h = at[few], h[few]
                 h = h.view(np.int64)
-                if known is not None and len(known):
+                if maybe is not None:
                     hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                     at, h = at[hit], h[hit]
-                rows += [(doc, mark, w, a, form.slots(a, size)) for a, w in zip(at.tolist(), h.tolist(), strict=True)]
+                rows += [(doc, mark, w, a, [] if exact else form.slots(a, size)) for a, w in zip(at.tolist(), h.tolist(), strict=True)]
         for lo in range(0, max(1, len(rows)), 20_000):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), _SLOTS)
             part = rows[lo:lo + 20_000]
@@ -189,15 +229,15 @@ def best(hits: list[dict]) -> int:
 
 def _judge(batches):
     for b in batches:
-        share = [best(h) / n for h, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(share, pa.float64())], names=["doc_id", "mark", "item_id", "share"])
+        share = [best(h) / n for h, n in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(share, pa.float64())], names=["doc_id", "mark", "item_id", "exact", "share"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", run: int = 0) -> DataFrame:
     """doc_id, mark (XXH64 of the text), item_ids, share: the documents that hold benchmark items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
-    items = cut(items.mapInArrow(_item_windows, f"item_id long, {_WINDOWS}, n int"), "items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW or less
+    items = cut(items.mapInArrow(lambda it: _item_windows(it, run), f"item_id long, {_WINDOWS}, n int"), "items")
+    sizes = sorted(map(tuple, items.select("size", "exact").distinct().collect()))  # WINDOW or less, of runs ``run`` or less
     known = None
     if items.count() <= ARRAY_WINDOWS:
         known = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64))
@@ -206,32 +246,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     found = base.mapInArrow(lambda it: _doc_windows(it, sizes, known), "doc_id long, mark long, window long, place int, filled array<string>")
     met = found.join(sized(items), "window").filter(F.size("slots") == F.size("filled"))
     met = met.withColumn("place", F.when(F.size("slots") > 0, F.col("place")).otherwise(0))  # what has no slots agrees anywhere
-    hits = met.groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.struct("at", "place", "slots", "filled")).alias("hits"), F.first("n").alias("n"))
-    judged = hits.select("doc_id", "mark", "item_id", "hits", "n").mapInArrow(_judge, "doc_id long, mark long, item_id long, share double")
-    bad = judged.filter(F.col("share") >= share)
+    hits = met.groupBy("doc_id", "mark", "item_id", "exact").agg(F.collect_set(F.struct("at", "place", "slots", "filled")).alias("hits"), F.first("n").alias("n"))
+    judged = hits.select("doc_id", "mark", "item_id", "exact", "hits", "n").mapInArrow(_judge, "doc_id long, mark long, item_id long, exact boolean, share double")
+    bad = judged.filter(F.col("exact") | (F.col("share") >= share))
     return bad.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"))
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, share: float, how: str, id_col: str, text_col: str) -> DataFrame:
-    found = sized(cut(leaks(docs, benchmark, share, id_col, text_col), "leaks"))
+def _marked(docs: DataFrame, benchmark: DataFrame, share: float, how: str, id_col: str, text_col: str, run: int) -> DataFrame:
+    found = sized(cut(leaks(docs, benchmark, share, id_col, text_col, run), "leaks"))
     found = found.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("item_ids").alias("__items"), F.col("share").alias("__share"))
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__doc"]) & (mark == found["__mark"]), how)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, contaminated, item_ids (sorted), share (the largest of an item's windows) of every row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", run: int = 0) -> DataFrame:
+    """doc_id, contaminated, item_ids (sorted), share (the largest of an item's windows or runs) of every row of ``docs``.
 
-    Null texts count as empty and hold nothing. Items without an id, or without a window that is literal
-    enough, match nothing; of items with equal templates all are named. Rows that share an id and a text get
+    A document holds an item if it has ``share`` of its windows with consistent slots or, with ``run``, so
+    many consecutive tokens of it as they are. Items without a window that is literal enough are found only
+    as they are: ``run`` tokens, or all if they have fewer; without ``run`` they match nothing. Null texts count as empty and hold nothing. Items without an id or a
+    token match nothing; of items with equal templates all are named. Rows that share an id and a text get
     the same verdict; null ids are ids. No benchmark or no documents: nothing is contaminated. Whole texts
     are read.
     """
-    out = _marked(docs, benchmark, share, "left", id_col, text_col)
+    out = _marked(docs, benchmark, share, "left", id_col, text_col, run)
     ids = F.coalesce("__items", F.array().cast("array<bigint>"))
     return out.select(docs[id_col].alias("doc_id"), (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"), F.coalesce("__share", F.lit(0.0)).alias("share"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", run: int = 0) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``contamination`` clears."""
-    return _marked(docs, benchmark, share, "left_anti", id_col, text_col)
+    return _marked(docs, benchmark, share, "left_anti", id_col, text_col, run)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import langid, quality, toxicity
 from foliospark.llm.common import bucket
-from foliospark.llm.decontaminate import contamination
+from foliospark.llm.decontaminate import RUN, contamination
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.line_dedup import dedup_lines
 from foliospark.llm.mixing import mix
@@ -58,7 +58,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), run=RUN)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 from helpers import ODD, docs
 
-from foliospark.llm.decontaminate import WINDOW, Template, consistent, contamination, decontaminate, windows
+from foliospark.llm.decontaminate import RUN, WINDOW, Template, consistent, contamination, decontaminate, windows
 
 
 def bench(spark, items):
@@ -44,6 +44,18 @@ def test_occurrences_are_judged_on_their_own(spark):
     assert all(got[i] == ([7], 1.0) for i in (1, 2, 3, 4)) and got[5] == ([8], 1.0) and got[6] == ([], 0.0)
 
 
+def test_dense_items_and_excerpts(spark):
+    dense, pair, prose = "What is 12 + 7 - 3 * 40?", "12 13 14", " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    w = prose.split()
+    edits = " ".join("edit" if i in (9, 19, 29) else x for i, x in enumerate(w[:36])) + " " + " ".join(w[36:])
+    rows = [
+        (1, f"Well. {dense} Say"), (2, dense.replace("40", "41")), (3, "x 12 13 14 y"), (4, "12 13 15"), (5, "so " + " ".join(w[7:27]) + " end"), (6, " ".join(w[7:19])),
+        (7, " ".join("edit" if i in (13, 27) else x for i, x in enumerate(w))), (8, "x " + edits),
+    ]
+    got = {r["doc_id"]: r["item_ids"] for r in contamination(docs(spark, rows), bench(spark, [(1, dense), (2, pair), (3, prose)]), run=RUN).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [], 7: [3], 8: []}
+
+
 def test_against_brute_force(spark):
     r = random.Random(1)
     words = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(200)]
