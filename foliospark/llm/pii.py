@@ -24,6 +24,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z])")
+#: Characters of an account number, by country.
+_IBAN_CHARS = {
+    c: n for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items() for c in names.split()
+}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.\w-])(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ /-])[0-9][0-9 -]{4,10}[0-9](?![0-9\w-])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile("[^0-9]")
@@ -60,6 +67,18 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text: str):
+    """(start, end) of account numbers: an upper-case or digit word after one is no part of it, and one that fails hides none after it."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        whole, size = m[0], _IBAN_CHARS.get(m[0][:2])
+        ends = [i for i, c in enumerate(whole) if c == " " and i - whole.count(" ", 0, i) == size] + [len(whole)]
+        found = next((e for e in ends if 15 <= len(code := whole[:e].replace(" ", "")) <= 34 and mod97(code)), 0)
+        if found:
+            yield m.start(), m.start() + found
+        at = m.start() + (found or 4)
+
+
 def _emails(text: str):
     done = at = 0
     while (at := text.find("@", at)) >= 0:
@@ -101,9 +120,7 @@ def find_spans(text: str | None) -> list[dict]:
     scored = [(k, s, e, min(1.0, PRIOR[k] + BONUS * _near(text, k, s, e)), True) for k, s, e in base]
     if _DIGIT.search(text):
         more: list[tuple[str, int, int, float]] = []
-        for m in _IBAN.finditer(text):
-            if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-                more.append(("iban", m.start(), m.end(), PRIOR["iban"]))
+        more += [("iban", a, e, PRIOR["iban"]) for a, e in _ibans(text)]
         more += [("ssn", m.start(), m.end(), PRIOR["ssn"]) for m in _SSN.finditer(text)]
         for m in _LOCAL_PHONE.finditer(text):
             if 7 <= len(_NOT_DIGIT.sub("", m[0])) <= 12:

@@ -44,5 +44,14 @@ def test_checks_and_context():
     assert kinds("call (626) 555-5759 now") == [("phone", "(626) 555-5759")] and kinds("sum (626) 555-5759 now") == []
 
 
+def test_account_numbers_before_other_words():
+    found = lambda t: [s["value"] for s in find_spans(t) if s["kind"] == "iban"]
+    for number in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for after in ("", " BIC COBADEFF", " EUR 50", " 12 times", " A B C D E F G H I J K L M N O P", " is mine"):
+            assert found(f"pay {number}{after}") == [number], (number, after)
+        assert found(f"AB12 REF {number} BIC COBADEFF and {number}") == [number] * 2
+    assert found("DE89 3704 0044 0532 0130 01 BIC COBADEFF") == []
+
+
 def test_long_runs_take_linear_time():
     assert find_spans("a" * 300_000 + "@") == [] and find_spans("1" * 300_000) == [] and find_spans("1." * 100_000) != [1]
