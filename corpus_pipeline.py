@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.llm import quality
 from foliospark.llm.common import bucket, cut
 from foliospark.llm.decontaminate import RUN, decontaminate
-from foliospark.llm.line_dedup import dedup_lines
+from foliospark.llm.line_dedup import WHOLE, dedup_lines
 from foliospark.llm.mixing import mix
 from foliospark.llm.simhash import near_dedup
 
@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs)
+    return dedup_lines(docs, **WHOLE)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import cut, pieces, sized
 from foliospark.llm.components import components
 
-#: Shorter lines are never touched; between the two, lines are only equal or not.
+#: Unless a call says otherwise, shorter lines are never touched; between the two, lines are only equal or not.
 LEAST_CHARS, NEAR_CHARS = 25, 40
+#: What the queries ask for: equal lines of any length, and edits from the length on at which three segments are 8 characters.
+WHOLE = {"least": 1, "near": 25}
 EDITS = 2
 #: Lines of a bucket's block; a task compares two blocks at a time.
 BLOCK = 256
@@ -145,16 +147,16 @@ def _lines(batch, least: int):
 _SEEN = "doc_id long, mark long, pos int, id long, more long, keys array<long>"
 
 
-def _occurrences(batches, edits: int):
+def _occurrences(batches, edits: int, least: int, near: int):
     """A row for each line; with its keys if it is long enough for edits and the worker hasn't just seen it."""
     keys, seen = _Keys(edits), set()
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     for b in pieces(batches, 1000):
         rows, found, sizes = [], [], []
-        for doc, mark, pos, line in _lines(b, LEAST_CHARS):
+        for doc, mark, pos, line in _lines(b, least):
             own = _id(line)
             rows.append((doc, mark, pos, *own))
-            if len(line) >= NEAR_CHARS and own not in seen:
+            if len(line) >= near and own not in seen:
                 if len(seen) > 50_000:
                     seen.clear()
                 seen.add(own)
@@ -238,18 +240,18 @@ def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int =
     return links.union(rows.mapInArrow(lambda it: _compare(it, edits), "u long, v long"))
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, near: int = NEAR_CHARS) -> DataFrame:
     """doc_id, mark (XXH64 of the text), gone (positions): the lines of each document that repeat an earlier one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    seen = cut(base.mapInArrow(lambda it: _occurrences(it, edits), _SEEN), "lines-seen")
+    seen = cut(base.mapInArrow(lambda it: _occurrences(it, edits, max(1, least), near), _SEEN), "lines-seen")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "mark")
     lines = cut(seen.groupBy("id", "more").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines-distinct")
     classes = cut(components(near_lines(base, seen, lines, edits)), "lines-classes")
-    near = lines.join(sized(classes.withColumnRenamed("node", "id"), NARROW_ROWS), "id", "left")
-    near = cut(near.filter("n > 1 OR root IS NOT NULL").select("id", "more", "first", "root"), "lines-repeated")
-    heads = near.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("head"))
-    kept = near.join(heads, "root", "left").select("id", "more", F.coalesce("head", "first").alias("kept"))
+    repeated = lines.join(sized(classes.withColumnRenamed("node", "id"), NARROW_ROWS), "id", "left")
+    repeated = cut(repeated.filter("n > 1 OR root IS NOT NULL").select("id", "more", "first", "root"), "lines-repeated")
+    heads = repeated.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("head"))
+    kept = repeated.join(heads, "root", "left").select("id", "more", F.coalesce("head", "first").alias("kept"))
     gone = seen.select("doc_id", "mark", "pos", "id", "more").join(sized(cut(kept, "lines-kept")), ["id", "more"]).filter(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
@@ -260,16 +262,16 @@ def without_lines(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, least: int = LEAST_CHARS, near: int = NEAR_CHARS) -> DataFrame:
     """``docs`` with lines removed from ``text_col``; with ``counts`` also n_lines and n_removed; all other columns stay as they are.
 
     Of lines (whitespace squeezed) that are equal, or linked by edit distances of at most ``edits`` from
-    NEAR_CHARS characters on, the one with the smallest id, position and text hash stays; null ids come last. Lines under
-    LEAST_CHARS stay. A line repeated in its own document goes as well. Null texts stay null, empty ones
+    ``near`` characters on, the one with the smallest id, position and text hash stays; null ids come last. Lines under
+    ``least`` characters and empty ones stay. A line repeated in its own document goes as well. Null texts stay null, empty ones
     empty; every row stays, with an empty text if all its lines went. Rows that share an id and a text are
     one document and keep the same lines. An empty table stays empty.
     """
-    gone = sized(cut(removed_lines(docs, edits, id_col, text_col), "lines-gone"))
+    gone = sized(cut(removed_lines(docs, edits, id_col, text_col, least, near), "lines-gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__doc"]) & (mark == gone["__mark"]), "left")

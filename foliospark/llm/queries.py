@@ -11,7 +11,7 @@ from foliospark.llm import langid, quality, toxicity
 from foliospark.llm.common import bucket
 from foliospark.llm.decontaminate import RUN, contamination
 from foliospark.llm.exact_dedup import exact_dedup
-from foliospark.llm.line_dedup import dedup_lines
+from foliospark.llm.line_dedup import WHOLE, dedup_lines
 from foliospark.llm.mixing import mix
 from foliospark.llm.pii import find_pii, pii_digest
 from foliospark.llm.simhash import fingerprint_hex, simhash_groups
@@ -37,7 +37,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True, **WHOLE)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), F.length("text").alias("n_chars"))
 
 

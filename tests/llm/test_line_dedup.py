@@ -2,7 +2,7 @@ import random
 
 from helpers import ODD, docs
 
-from foliospark.llm.line_dedup import _Keys, _squeeze, dedup_lines, segments, within
+from foliospark.llm.line_dedup import WHOLE, _Keys, _squeeze, dedup_lines, segments, within
 
 
 def distance(a, b):
@@ -79,6 +79,13 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, out), key=repr) == brute(rows)
 
 
+def test_short_lines(spark):
+    """Equal lines of any length go, and lines of 25 to 39 characters within two edits."""
+    rows = [(1, "Menu\nLicensed under CC BY-NC 4.0.\n\nfirst"), (2, "Menu\nLicensed under CC BY-NC 3.0\n\nx"), (3, " Menu \nx\n\nLicenced under CC BY-NC 4.0.\nMenus"), (4, "\n")]
+    got = dict(dedup_lines(docs(spark, rows), **WHOLE).select("doc_id", "text").collect())
+    assert got == {1: rows[0][1], 2: "\nx", 3: "\nMenus", 4: "\n"}
+
+
 def test_crowded_buckets(spark, monkeypatch):
     monkeypatch.setattr("foliospark.llm.line_dedup.BLOCK", 8)
     r = random.Random(3)
