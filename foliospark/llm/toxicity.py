@@ -1,15 +1,19 @@
 """Toxicity by a weighted grammar of finite-state patterns.
 
-One transducer for each part reads a clause's words and marks insults, threats, targets, negations and
-reported speech; a clause automaton composes the marks to patterns such as insult at a target, negated insult
-or reported threat. Patterns of matched clauses are weighed, not words alone: which words insult, and what
-each pattern weighs, is learned from labelled documents.
+A lexicon turns a clause's words into marks: insults and threats with a weight, targets, negations, verbs of
+reported speech, quotation marks and conjunctions. Three transducers rewrite marks in turn: negation, with a
+scope that a conjunction or a target ends; reported speech, from its verb on; and targets, before or after.
+Composed to one machine they read a clause once, and each insult or threat comes out as the pattern that it is
+part of. Matched patterns are weighed, not words alone: what insults, and what each pattern weighs, is learned
+from labelled documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import deque
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,12 @@ from foliospark.llm.labelled import labelled_sample
 SAMPLE = 12_000
 #: Lengths of word beginnings that may be learned as stems, each with a short or a long rest of the word, and how long a short rest is.
 STEMS, SHORT_REST = (4, 5, 6, 7), 5
-#: Least number of toxic documents that show a learned word, and most learned words.
-LEAST, MOST = 3, 5000
-PENALTY, STEPS = 1e-3, 400
+#: Least number of toxic documents that show a learned word.
+LEAST = 3
+#: Weights are held to zero as strongly as so many observations would.
+PENALTY = 1.0
+#: Marks that a negation reaches, and that may stand between an insult or threat and its target.
+SCOPE, REACH = 3, 4
 
 #: Words of the parts that need no learning, in the languages of the corpora.
 SEEDS = {
@@ -34,13 +41,138 @@ SEEDS = {
     "target": "you your yours yourself u he she him her they them their people those these du dich dir ihr euch sie tu te toi vous ton usted ustedes ellos",
     "negation": "not no never n't isn't aren't don't doesn't wasn't without nicht kein keine nie ne jamais nunca sin",
     "report": "said says say wrote writes called calls calling claimed claims reported quote quoted according sagte sagt schrieb dit écrit disait dijo dice escribió",
+    "conjunction": "and but or so und aber oder et mais y pero",
 }
 PARTS = tuple(SEEDS)
-#: What a clause can match; the last two only widen a match.
-PATTERNS = ("insult", "insult at target", "negated insult", "reported insult", "threat at target", "reported threat", "many insults")
+#: Marks of the parts; any other word is ".", a quotation mark "Q", a comma a conjunction.
+MARKS = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "R", "conjunction": "C"}
+ALPHABET = "IHTNRCQ."
+#: What an insult or threat can come out as.
+PATTERNS = {"P": "insult", "A": "insult at target", "i": "negated insult", "r": "reported insult", "U": "threat", "K": "threat at target", "h": "negated threat", "s": "reported threat"}
 
-_CLAUSE = re.compile(r"[.!?;:\n\r]+")
+_CLAUSE = re.compile(r"[.!?;\n\r]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”„«»,]")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer: (state, mark) -> (state, marks written), and what is written at the end of a state."""
+
+    arcs: dict
+    ends: dict
+    start: object
+
+    @classmethod
+    def of(cls, alphabet: str, start, step, end) -> Transducer:
+        """From a rule ``step(state, mark)`` and ``end(state)``, written out over all states that can be reached."""
+        arcs, ends, todo = {}, {}, [start]
+        while todo:
+            if (state := todo.pop()) in ends:
+                continue
+            ends[state] = end(state)
+            for mark in alphabet:
+                arcs[state, mark] = step(state, mark)
+                todo.append(arcs[state, mark][0])
+        return cls(arcs, ends, start)
+
+    def run(self, marks, state=None):
+        """State and marks written after ``marks``, without the end."""
+        state, out = self.start if state is None else state, []
+        for m in marks:
+            state, more = self.arcs[state, m]
+            out += more
+        return state, "".join(out)
+
+    def __call__(self, marks) -> str:
+        state, out = self.run(marks)
+        return out + self.ends[state]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one writes is what ``other`` reads."""
+
+        def step(state, mark):
+            own, written = self.arcs[state[0], mark]
+            theirs, out = other.run(written, state[1])
+            return (own, theirs), out
+
+        def end(state):
+            theirs, out = other.run(self.ends[state[0]], state[1])
+            return out + other.ends[theirs]
+
+        return Transducer.of("".join(dict.fromkeys(m for _, m in self.arcs)), (self.start, other.start), step, end)
+
+
+def negation() -> Transducer:
+    """I and H become i and h within SCOPE marks after a negation; a conjunction or a target ends the scope. "kill you not" is negated too."""
+
+    def plain(left, mark):
+        if mark == "N":
+            return (SCOPE, ""), "N"
+        if mark in "CT":
+            return (0, ""), mark
+        if mark == "H" and not left:
+            return (0, "H"), ""
+        return (max(0, left - 1), ""), mark.lower() if left and mark in "IH" else mark
+
+    def step(state, mark):
+        left, held = state
+        if not held:
+            return plain(left, mark)
+        if held == "H" and mark == "T":
+            return (0, "HT"), ""
+        if mark == "N":
+            return (0, ""), held.replace("H", "h") + "N"
+        after, out = plain(0, mark)
+        return after, held + out
+
+    return Transducer.of(ALPHABET, (0, ""), step, lambda state: state[1])
+
+
+def reported() -> Transducer:
+    """I and H become r and s after a verb of speech: up to a conjunction or, once quotation marks open, up to where they close."""
+
+    def step(state, mark):
+        speaking, quoting = state
+        if mark == "R":
+            return (True, quoting), "R"
+        if mark == "Q":
+            return ((speaking, True) if speaking and not quoting else (speaking and not quoting, False)), "Q"
+        if mark == "C":
+            return (speaking and quoting, quoting), "C"
+        return state, {"I": "r", "H": "s"}.get(mark, mark) if speaking else mark
+
+    return Transducer.of(ALPHABET + "ih", (False, False), step, lambda _: "")
+
+
+def targeted() -> Transducer:
+    """Every insult and threat as its pattern, in order; other marks are dropped. A target counts within REACH marks before or after, an insult after a threat as its target."""
+    alone, met = {"I": "P", "H": "U"}, {"I": "A", "H": "K"}
+
+    def step(state, mark):
+        near, held, age = state  # marks for which the last target still counts; an insult or threat that waits for one
+        wait = (held, age + 1) if held and age + 1 < REACH else ("", 0)
+        late = alone[held] if held and not wait[0] else ""
+        if mark == "T":
+            return (REACH, "", 0), met[held] if held else ""
+        if mark == "C":
+            return (0, "", 0), alone[held] if held else ""
+        if mark in "IH":
+            before = "" if not held else met[held] if (held, mark) == ("H", "I") else alone[held]
+            return ((near - 1, "", 0), before + met[mark]) if near else ((0, mark, 0), before)
+        if mark in "irhs":
+            return (max(0, near - 1), "", 0), (alone[held] if held else "") + mark
+        return (max(0, near - 1), *wait), late
+
+    return Transducer.of(ALPHABET + "irhs", (0, "", 0), step, lambda state: alone[state[1]] if state[1] else "")
+
+
+@cache
+def grammar() -> Transducer:
+    """Negation, reported speech and targets, composed; states are numbers."""
+    whole = negation().then(reported()).then(targeted())
+    number = {state: i for i, state in enumerate(whole.ends)}
+    return Transducer({(number[s], m): (number[t], out) for (s, m), (t, out) in whole.arcs.items()}, {number[s]: out for s, out in whole.ends.items()}, number[whole.start])
 
 
 def stem(word: str, n: int) -> str:
@@ -55,7 +187,7 @@ class Grammar:
         self.words, self.stems = words, stems
         self.lengths = sorted({len(s) - 1 for s in stems}, reverse=True)
         self.parts = {w: p for p in PARTS[::-1] for w in SEEDS[p].split()}
-        self.weights, self.bias, self.fitted = np.zeros(2 * len(PATTERNS)), 0.0, False
+        self.weights, self.bias, self.fitted = np.zeros(2 * len(PATTERNS) + 2), 0.0, False
         self._seen: dict[str, float] = {}
 
     def insult(self, word: str) -> float:
@@ -72,49 +204,35 @@ class Grammar:
             self._seen[word] = max(found, 0.0)
         return found
 
-    def clause(self, words: list[str]) -> Counter:
-        """Run the composed automaton over a clause: its states are the parts seen so far and how far back a negation was."""
-        out: Counter = Counter()
-        insults = threats = 0.0
-        target = report = negated = False
-        since = 99
-        for w in words:
-            part, weight = self.parts.get(w), self.insult(w)
-            since += 1
-            if weight:
-                insults += weight
-                out["words"] += 1
-                negated |= since <= 3
-            elif part == "threat":
-                threats += since > 2
-            elif part == "target":
-                target = True
-            elif part == "report":
-                report = True
-            elif part == "negation":
-                since = 0
-        if insults:
-            name = "reported insult" if report else "negated insult" if negated else "insult at target" if target else "insult"
-            out[name] = insults
-        if threats and target:
-            out["reported threat" if report else "threat at target"] = threats
-        return out
+    def clause(self, tokens: list[str]) -> list[tuple[str, float]]:
+        """(pattern, weight) of each insult and threat of a clause, in order: weights wait until the machine writes what they belong to."""
+        machine = grammar()
+        state, out, waiting = machine.start, [], deque()
+        for w in tokens:
+            if weight := self.insult(w):
+                mark = "I"
+                waiting.append(weight)
+            else:
+                mark = "Q" if w in "\"“”„«»" else "C" if w == "," else MARKS.get(self.parts.get(w, ""), ".")
+                if mark == "I":  # a seed that labels have cleared
+                    mark = "."
+                elif mark == "H":
+                    waiting.append(1.0)
+            state, written = machine.arcs[state, mark]
+            out += [(p, waiting.popleft()) for p in written]
+        return out + [(p, waiting.popleft()) for p in machine.ends[state]]
 
     def patterns(self, text: str | None) -> np.ndarray:
-        """For each pattern: damped sum of its clauses' weights, and the same for each hundred words."""
+        """For each pattern, and for insults beyond the first: damped sum over the clauses, and the same for each hundred words."""
         lower = (text or "").lower()
         words = _WORD.findall(lower)
-        sums = dict.fromkeys(PATTERNS, 0.0)
-        distinct = set(words)
-        if any(self.insult(w) or self.parts.get(w) == "threat" for w in distinct):
-            hits = 0
+        sums, hits = dict.fromkeys(PATTERNS, 0.0), 0
+        if any(self.insult(w) or self.parts.get(w) == "threat" for w in set(words)):
             for part in _CLAUSE.split(lower):
-                found = self.clause(_WORD.findall(part))
-                hits += found.pop("words", 0)
-                for k, v in found.items():
-                    sums[k] += v
-            sums["many insults"] = max(0.0, hits - 1.0)
-        x = np.array([sums[p] for p in PATTERNS])
+                for p, weight in self.clause(_TOKEN.findall(part)):
+                    sums[p] += weight
+                    hits += p in "PAir"
+        x = np.array([*sums.values(), max(0.0, hits - 1.0)])
         return np.concatenate((np.log1p(x), np.log1p(100 * x / (len(words) + 20))))
 
     def score(self, text: str | None) -> float:
@@ -123,11 +241,11 @@ class Grammar:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Grammar:
         """Logistic regression of labels on patterns by Newton steps; weights of single patterns stay if the data have none."""
         a = np.column_stack((x, np.ones(len(x))))
-        b = np.zeros(a.shape[1])
+        b, penalty = np.zeros(a.shape[1]), PENALTY / len(y)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-            grad = a.T @ (p - y) / len(y) + PENALTY * np.append(b[:-1], 0.0)
-            hess = (a * (p * (1 - p))[:, None]).T @ a / len(y) + PENALTY * np.eye(len(b)) + 1e-9 * np.eye(len(b))
+            grad = a.T @ (p - y) / len(y) + penalty * np.append(b[:-1], 0.0)
+            hess = (a * (p * (1 - p))[:, None]).T @ a / len(y) + penalty * np.eye(len(b)) + 1e-9 * np.eye(len(b))
             step = np.linalg.solve(hess, grad)
             b -= step
             if np.abs(step).max() < 1e-6:
@@ -137,7 +255,7 @@ class Grammar:
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems by their log odds in toxic against other documents of ``sample`` (text, label); the strongest MOST, so what reaches the driver is bounded."""
+    """Words and stems by their log odds in toxic against other documents of ``sample`` (text, label), all that pass; the sample's bound bounds what reaches the driver."""
     tokens = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}'’]+"))
     words = sample.select("label", F.monotonically_increasing_id().alias("row"), F.explode(tokens).alias("word")).filter("length(word) BETWEEN 2 AND 60")
     rest = lambda n: F.when(F.length("word") - n <= SHORT_REST, "<").otherwise(">")
@@ -151,7 +269,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     odds = F.log((F.col("tox") + prior) / (F.col("n") - F.col("tox") + 1 - prior))
     # what stands in toxic documents far more often than chance lets it: by rate and by count
     strong = stats.filter((F.col("tox") >= 0.7 * F.col("n")) & ((F.col("tox") - F.col("n") * prior) / F.sqrt(F.col("n") * prior * (1 - prior)) >= 5.0))
-    best = strong.orderBy(F.desc("tox"), "form").limit(MOST).select("form", odds.alias("odds")).collect()
+    best = strong.select("form", odds.alias("odds")).collect()
     found = {r["form"]: max(0.5, min(4.0, r["odds"] / 1.5)) for r in best}
     stems = {f: v for f, v in found.items() if f[0] != "="}
     return {f[1:]: v for f, v in found.items() if f[0] == "="}, stems

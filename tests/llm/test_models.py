@@ -79,13 +79,62 @@ def test_toxicity(spark):
 
 def test_clauses():
     g = toxicity.Grammar({}, {"zorb<": 2.0})
-    names = lambda t: {k for k in g.clause(t.split()) if k != "words"}
-    assert names("you are an idiot") == {"insult at target"} and names("an idiot walks") == {"insult"}
-    assert names("he is not an idiot") == {"negated insult"} and names("he said you idiot") == {"reported insult"}
-    assert names("i will kill you") == {"threat at target"} and names("they never kill you") == set() and names("to kill time") == set()
+    names = lambda t: [toxicity.PATTERNS[p] for p, _ in g.clause(toxicity._TOKEN.findall(t))]
+    assert names("you are an idiot") == ["insult at target"] and names("an idiot walks") == ["insult"]
+    assert names("he is not an idiot") == ["negated insult"] and names("he said you idiot") == ["reported insult"]
+    assert names("i will kill you") == ["threat at target"] and names("they never kill you") == ["negated threat"] and names("to kill time") == ["threat"]
+    # order and scope
+    assert names("you idiot said nothing") == ["insult at target"] and names("kill you not") == ["negated threat"]
+    assert names("they are not stupid idiot and you moron will see") == ["negated insult", "negated insult", "insult at target"]
+    assert names('she wrote "you moron" and the clown left') == ["reported insult", "insult"]
+    assert names("kill the idiot") == ["threat at target", "insult"]
+    assert g.clause(["zorbling"]) == [("P", 2.0)]
     assert g.insult("zorbling") == 2.0 and g.insult("orb") == g.insult("zorb") == g.insult("zorblingest") == 0.0
 
 
+def by_hand(marks):
+    """What the composed machine should write, from positions instead of states."""
+    first, left, eaten = [], 0, set()
+    for i, m in enumerate(marks):
+        if m == "H" and not left:
+            at = i + 1 + (marks[i + 1:i + 2] == "T")
+            if marks[at:at + 1] == "N":
+                eaten.add(at)
+                m = "h"
+        elif m in "IH" and left:
+            m = m.lower()
+        first.append(m)
+        left = 0 if m in "CT" or i in eaten else toxicity.SCOPE if m == "N" else max(0, left - 1)
+    second, speaking, quoting = [], False, False
+    for m in first:
+        if m == "Q":
+            speaking, quoting = (True, True) if speaking and not quoting else (False, False)
+        speaking = m == "R" or (speaking and (m != "C" or quoting))
+        second.append({"I": "r", "H": "s"}.get(m, m) if speaking else m)
+    out = ""
+    for i, m in enumerate(second):
+        if m in "irhs":
+            out += m
+        if m in "IH":
+            before = "".join(second[max(0, i - toxicity.REACH):i])
+            target = "T" in before.rpartition("C")[2]
+            for n in second[i + 1:i + 1 + toxicity.REACH]:
+                if n == "T" or (m, n) == ("H", "I"):
+                    target = True
+                if n in "TCIHirhs":
+                    break
+            out += {"I": "PA", "H": "UK"}[m][target]
+    return out
+
+
+def test_composition():
+    r = random.Random(3)
+    for _ in range(5000):
+        marks = "".join(r.choices(toxicity.ALPHABET, (5, 4, 3, 3, 2, 2, 2, 4), k=r.randint(0, 14)))
+        cascade = toxicity.targeted()(toxicity.reported()(toxicity.negation()(marks)))
+        assert toxicity.grammar()(marks) == cascade == by_hand(marks), marks
+
+
 def test_toxicity_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark, ODD), empty, F.lit(True))
