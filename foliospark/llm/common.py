@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: And of bytes, by the size of its files.
 BROADCAST_BYTES = 48 << 20
+#: Rows of a few numbers that are broadcast at most.
+NARROW_ROWS = 500_000
+#: A key that more rows have is joined apart, so that no task gets them all.
+HUB = 2048
 
 #: Whitespace of all contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -68,10 +72,28 @@ def pieces(batches, rows: int = 500):
             yield b.slice(at, rows)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` (already cut) is small by the size of its Parquet files and their row counts; else leave the join to a shuffle."""
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` (already cut) is small by the size of its Parquet files and their row counts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df
+    return size <= BROADCAST_BYTES and df.count() <= rows
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if ``df`` (already cut) is small; else leave the join to a shuffle."""
+    return F.broadcast(df) if fits(df, rows) else df
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join on ``key`` with a table (already cut) that has one row for each key, and in ``n`` how many rows have it.
+
+    Beyond what is broadcast, keys of more than HUB rows are few against the rows: they are joined apart, by
+    broadcast while they fit.
+    """
+    if fits(table, NARROW_ROWS):
+        return rows.join(F.broadcast(table), key)
+    hubs = cut(table.filter(F.col(n) > HUB), "hubs")
+    rest = rows.join(sized(hubs.select(key), NARROW_ROWS), key, "left_anti").join(table.filter(F.col(n) <= HUB), key)
+    return rows.join(sized(hubs, NARROW_ROWS), key).unionByName(rest)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut
+from foliospark.llm.common import cut, meet
 
 
-def _sign(edges: DataFrame) -> tuple:
-    """Equal for equal edge sets; the sum is in decimals, where it can't overflow."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _below(edges: DataFrame) -> DataFrame:
+    """u, m, n: the smallest of each node's smaller neighbours, and their number."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every end of ``edges`` (u, v: long); root is the component's smallest node.
 
-    Rounds of large and small stars, each written down, until a round changes nothing: their number grows
-    with the logarithm of the graph. Minima are summed map-side, so a node with many links is no hot key;
-    self-links are ignored. No edges give no rows.
+    Edges point from larger to smaller nodes. A round moves edges that end in a node with smaller neighbours on
+    to the smallest of them (large star), then the ends of a node's several edges under their smallest (small
+    star), and writes the result down; without such nodes all are stars and it is done: the number of rounds
+    grows with the logarithm of the graph. A star's centre, which may have any number of edges, is no such
+    node, and nodes with many edges are joined apart: none is a hot key. Self-links are ignored. No edges give
+    no rows.
     """
     now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    sign = _sign(now)
-    while sign[0]:
-        now = cut(_small_star(_large_star(now)), "edges")
-        if sign == (sign := _sign(now)):
-            break
+    while True:
+        ends = now.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        middle = cut(_below(now).select(F.col("u").alias("v"), "m").join(ends, "v"), "middle")
+        settled = middle.isEmpty()
+        if not settled:
+            moved = meet(now, middle, "v").select("u", F.col("m").alias("v"))
+            now = cut(moved.unionByName(now.join(middle, "v", "left_anti").select("u", "v")).distinct(), "edges")
+        many = cut(_below(now).filter("n > 1"), "many")
+        if many.isEmpty():
+            if settled:
+                break
+            continue
+        under = meet(now, many, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        kept = now.join(many, "u", "left_anti").select("u", "v").unionByName(many.select("u", F.col("m").alias("v")))
+        now = cut(under.unionByName(kept).distinct(), "edges")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

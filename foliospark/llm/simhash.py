@@ -4,11 +4,15 @@ Every distinct fingerprint gets a table row of Hamming distances to reference fi
 inequality two fingerprints within a radius have distances within that radius to every reference, so pairs
 are discarded by the largest difference of coordinates and only survivors are compared bit by bit.
 
-Which pairs are looked at follows from parts of the fingerprints that must be equal: for the small radius of
-64-bit fingerprints by the pigeonhole principle, losslessly; for the wide fingerprints of a similarity
-threshold by bands of sampled bits, at a wider radius, after which the shingle sets themselves are compared.
-A bucket of any size is split into pairs of blocks, and a group yields a spanning forest of its links, not
-all of them.
+Which pairs are looked at follows from keys that close pairs must share, so that none is lost. For the small
+radius of 64-bit fingerprints, segments: of enough of them, some must be equal. For a similarity threshold,
+the first shingles of each set in an order that all sets share: sets that overlap enough meet in those, and a
+document's keys are a share of its shingles whatever the size of the corpus. Any order will do; it is that of
+their hashes, with shingles that very many documents begin with put last. Pairs so found are discarded by
+pivots at a radius far above what the threshold stands for, and then the sets themselves are compared.
+
+A bucket of any size is first compared with one of its rows; only rows that are not close to it are compared
+with all others, by blocks. Links are enough to connect what is close, not all pairs.
 """
 
 from __future__ import annotations
@@ -22,21 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, pieces, sized
+from foliospark.llm.common import NARROW_ROWS, cut, meet, pieces, sized
 from foliospark.llm.components import components
 
 SEED, PIVOTS = 42, 16
-#: Rows of a bucket's block; a task holds two blocks at a time.
-BLOCK = 2048
-#: Share of the pairs at the similarity threshold that bands should find; more similar ones are found more surely.
-RECALL = 0.9
+#: Rows of a bucket's block; a task holds two blocks at a time. Where shingle sets are compared, which are larger than fingerprints, the second.
+BLOCK, SET_BLOCK = 2048, 256
 #: The radius of wide fingerprints lies so many standard deviations above what the threshold stands for.
-SLACK = 2.0
-#: Rows of a few numbers that are broadcast at most.
-NARROW_ROWS = 500_000
-#: Rows of a block where shingle sets are compared, which are larger than fingerprints.
-SET_BLOCK = 256
-_SMALL = 16
+SLACK = 6.0
+#: Shingles that more documents begin with are put last in the order, at most so many of them (8 bytes each in every task); what is put last changes costs, not results.
+HEAVY, HEAVY_KEYS = 1024, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -75,18 +74,6 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).reshape(width)
 
 
-def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, fp (little-endian 64-bit words) of every row; node is a word's value, or a hash of more words."""
-
-    def run(batches):
-        for b in pieces(batches):
-            fps = [fingerprint(shingle_hashes(t, words), width).astype("<u8") for t in b.column(1).to_pylist()]
-            nodes = np.array([f[0] if width == 1 else xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in fps], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary())], names=["doc_id", "node", "fp"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, fp binary")
-
-
 def _words(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width).astype(np.uint64)
 
@@ -116,24 +103,84 @@ def segment_keys(radius: int, rows: int):
     return keys
 
 
-def band_keys(width: int, share: float, rows: int, recall: float = RECALL):
-    """Keys of wide fingerprints: bands of sampled bits, so long that keys outnumber ``rows`` four times, so many that a pair which agrees on ``share`` of all bits meets with probability ``recall``."""
-    size = max(14, math.ceil(math.log2(max(rows, 2))) + 2)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - share**size))
-    r = np.random.default_rng(SEED + 1)
-    chosen = [np.sort(r.choice(64 * width, size, replace=False)) for _ in range(count)]
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
-    def keys(fps: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
-        out = np.empty((len(fps), count), np.uint64)
-        for c, at in enumerate(chosen):
-            packed = np.zeros((len(fps), 8), np.uint8)
-            part = np.packbits(bits[:, at], axis=1)
-            packed[:, : part.shape[1]] = part
-            out[:, c] = _mixed(packed.view(np.uint64)[:, 0] ^ np.uint64(c << 48), 1)
-        return out
 
-    return keys
+def first_shingles(shingles: np.ndarray, least: float, heavy: np.ndarray | None = None) -> np.ndarray:
+    """Of a sorted set the first in the common order: two sets that resemble each other by ``least`` share one of them."""
+    n = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1 if len(shingles) else 0
+    if heavy is None or not len(heavy):
+        return shingles[:n]
+    late = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles
+    return np.concatenate((shingles[~late], shingles[late]))[:n]
+
+
+_MARKED = "doc_id long, mark long, node long, fp binary"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64), pa.int64()))
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, mark (XXH64 of the text, null as empty): id and mark tell a document, also where ids are null or repeat."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
+def fingerprints(base: DataFrame, words: int, width: int = 1) -> DataFrame:
+    """doc_id, mark, node, fp (little-endian 64-bit words) of every row; node is the fingerprint's value."""
+
+    def run(batches):
+        for b in pieces(batches):
+            fps = [fingerprint(shingle_hashes(t, words), width).astype("<u8") for t in b.column(1).to_pylist()]
+            nodes = np.array([f[0] if width == 1 else xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in fps], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary())], names=["doc_id", "mark", "node", "fp"])
+
+    return base.mapInArrow(run, _MARKED)
+
+
+def shingled(base: DataFrame, words: int, width: int, least: float) -> DataFrame:
+    """As ``fingerprints``, of shingle sets; node is a hash of the set, and keys are the first shingles by hash."""
+
+    def run(batches):
+        for b in pieces(batches):
+            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            fps = pa.array([fingerprint(x, width).astype("<u8").tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.int64()), fps, _lists([first_shingles(x, least) for x in sets])], names=["doc_id", "mark", "node", "fp", "keys"])
+
+    return base.mapInArrow(run, f"{_MARKED}, keys array<long>")
+
+
+def _read(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (first, and others) with the text of each one's first document."""
+    wanted = wanted.select(F.col("first.doc_id").alias("d"), F.col("first.mark").alias("m"), *[c for c in wanted.columns if c != "first"])
+    wanted = sized(cut(wanted, "simhash-wanted"))
+    return base.join(wanted, base["doc_id"].eqNullSafe(wanted["d"]) & (base["mark"] == wanted["m"])).drop("doc_id", "mark", "d", "m")
+
+
+def _keyed(base: DataFrame, marked: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """key, node: the first shingles of every node, with those that are the first of very many put last."""
+    keyed = marked.select(F.explode("keys").alias("key"), "node")
+    heavy = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY)
+    heavy = cut(heavy.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS).select("key"), "simhash-heavy")
+    if heavy.isEmpty():
+        return keyed
+    late = np.sort(heavy.toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    again = cut(keyed.join(sized(heavy, HEAVY_KEYS), "key", "left_semi").select("node").distinct(), "simhash-again")
+
+    def run(batches):
+        for b in pieces(batches):
+            found = [first_shingles(shingle_set(t, words), least, late) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), _lists(found)], names=["node", "keys"])
+
+    texts = _read(base, nodes.select("node", "first").join(sized(again, NARROW_ROWS), "node", "left_semi"))
+    other = cut(texts.select("text", "node").mapInArrow(run, "node long, keys array<long>"), "simhash-rekeyed")
+    kept = marked.join(sized(again, NARROW_ROWS), "node", "left_anti").select(F.explode("keys").alias("key"), "node")
+    return kept.unionByName(other.select(F.explode("keys").alias("key"), "node"))
 
 
 def _close(fps, table, a, b, radius, sets=None, least=0.0):
@@ -145,68 +192,85 @@ def _close(fps, table, a, b, radius, sets=None, least=0.0):
     near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int32) <= radius
     a, b = a[near], b[near]
     if sets is not None:
-        near = np.array([resemblance(sets[i], sets[j]) >= least for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        near = np.array([alike(sets[i], sets[j], least) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
         a, b = a[near], b[near]
     return a, b
 
 
-def resemblance(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two sorted sets: size of what they share over size of what either has; two empty sets are alike."""
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets share so much of what either has; two empty sets do."""
+    small, large = sorted((len(x), len(y)))
+    if small < least * large:
+        return False
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def _forest(fps, table, radius, sets=None, least=0.0):
-    """A spanning forest of one group's links, as (a, b): breadth first, each row compared with those not yet reached."""
-    left, out_a, out_b = np.arange(len(fps)), [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            a = queue.pop()
-            _, found = _close(fps, table, np.full(len(left), a), left, radius, sets, least)
-            if len(found):
-                out_a.append(np.full(len(found), a))
-                out_b.append(found)
-                left = left[~np.isin(left, found, assume_unique=True)]
-                queue += found.tolist()
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
-
-
-def _links(key, node, fps, table, radius, sets=None, least=0.0):
-    """Links in rows sorted by group: all pairs of small groups at once, a forest of each larger one."""
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
-    sizes = np.diff(np.append(first, len(key)))
-    group = np.repeat(np.arange(len(first)), sizes)
-    small = np.repeat(sizes <= _SMALL, sizes)
-    a_all, b_all = [], []
-    for lag in range(1, _SMALL):
-        a = np.flatnonzero((group[:-lag] == group[lag:]) & small[:-lag]) if lag < len(group) else np.zeros(0, np.int64)
-        if not len(a):
-            break
-        a, b = _close(fps, table, a, a + lag, radius, sets, least)
-        a_all.append(a)
-        b_all.append(b)
-    for f, n in zip(first[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        a, b = _forest(fps[f:f + n], table[f:f + n], radius, sets and sets[f:f + n], least)
-        a_all.append(a + f)
-        b_all.append(b + f)
-    if not a_all:
-        return node[:0], node[:0]
-    return node[np.concatenate(a_all)], node[np.concatenate(b_all)]
-
-
-def _compare(batches, width: int, radius: int, least: float = 0.0):
-    """Rows (key, lo, hi, node, fp, pivots[, shingles]), sorted by the first three, which make a group -> links."""
+    return both >= least * (len(x) + len(y) - both)
+
+
+def _table(column, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(n, -1)
+
+
+def _sets(columns) -> list | None:
+    return [np.frombuffer(x, "<u8") for c in columns for x in c.to_pylist()] or None
+
+
+def _close_rows(b, mine: list[int], theirs: list[int], width: int, radius: int, least: float) -> np.ndarray:
+    """Rows of a batch whose two ends (columns of fp, pivots and, if any, shingles) are close."""
+    n = b.num_rows
+    if not n:
+        return np.zeros(0, np.int64)
+    fps, table = (np.concatenate([f(b.column(e[i])) for e in (mine, theirs)]) for i, f in ((0, lambda c: _words(c, width)), (1, lambda c: _table(c, n))))
+    return _close(fps, table, np.arange(n), np.arange(n) + n, radius, _sets([b.column(e[2]) for e in (mine, theirs) if len(e) > 2]), least)[0]
+
+
+def _check_pairs(batches, width: int, radius: int):
+    """Rows (u, v, fp, pivots, fp2, pivots2) -> the pairs within the radius."""
+    for b in batches:
+        at = pa.array(_close_rows(b, [2, 3], [4, 5], width, radius, 0.0))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
+
+
+def _from_heads(batches, width: int, radius: int, least: float):
+    """Rows (key, u, node, head's fp, pivots[, shingles], own fp, pivots[, shingles]) -> key, u, node, near."""
+    for b in batches:
+        ends = (b.num_columns - 3) // 2
+        near = np.zeros(b.num_rows, bool)
+        near[_close_rows(b, [*range(3, 3 + ends)], [*range(3 + ends, 3 + 2 * ends)], width, radius, least)] = True
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near)], names=["key", "u", "node", "near"])
+
+
+def _probe(node, loose, probes, base, fps, table, radius, sets=None, least=0.0):
+    """Links (a, b) between ``probes`` and ``base`` (positions of rows): enough to connect, given that rows of the base that are not loose are connected."""
+    part = np.where(loose[base], np.arange(len(base)) + 1, 0)
+    place = {x: i for i, x in enumerate(node[base].tolist())}
+    out, more = [], len(base) + 1
+    for p in probes.tolist():
+        own = place.get(int(node[p]))
+        mine, more = (more, more + 1) if own is None else (int(part[own]), more)
+        _, hit = _close(fps, table, np.full(len(base), p), base, radius, sets, least)
+        at = np.searchsorted(base, hit)
+        at = at[(part[at] != mine) & (node[hit] != node[p])]
+        met, first = np.unique(part[at], return_index=True)
+        out += [(p, base[at[i]]) for i in first]
+        part[np.isin(part, [*met, mine])] = min([mine, *met])
+    return out
+
+
+def _compare(batches, width: int, radius: int, least: float):
+    """Rows (key, i, j, probe, loose, node, fp, pivots[, shingles]), sorted by the first three, which make a group -> links."""
     held = None
 
     def out(rows):
-        key = np.stack([rows.column(i).to_numpy() for i in range(3)], axis=1)
-        node = rows.column(3).to_numpy()
-        table = _table(rows.column(5), len(node))
-        sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()] if rows.num_columns > 6 else None
-        u, v = _links(key, node, _words(rows.column(4), width), table, radius, sets, least)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        group = np.stack([rows.column(i).to_numpy() for i in range(3)], axis=1)
+        probe, loose = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        node, n = rows.column(5).to_numpy(), rows.num_rows
+        fps, table, sets = _words(rows.column(6), width), _table(rows.column(7), n), _sets(rows.columns[8:])
+        starts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1))))
+        links = []
+        for lo, hi in zip(starts, [*starts[1:], n], strict=True):
+            at = np.arange(lo, hi)
+            links += _probe(node, loose, at[probe[lo:hi]], at[~probe[lo:hi]], fps, table, radius, sets, least)
+        return pa.RecordBatch.from_arrays([pa.array([int(node[x[i]]) for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     for b in batches:
         if not b.num_rows:
@@ -221,82 +285,117 @@ def _compare(batches, width: int, radius: int, least: float = 0.0):
         yield out(held.combine_chunks())
 
 
-def link(nodes: DataFrame, keys, width: int, radius: int) -> DataFrame:
-    """u, v: links between ``nodes`` (node, fp, pivots) that share a key and differ in at most ``radius`` bits; enough of them to connect each group."""
+def _in_crowds(rows: DataFrame, block: int, width: int, radius: int, least: float = 0.0) -> DataFrame:
+    """u, v: links that connect what is close within each key of ``rows`` (written; key, n, u, node, fp, pivots[, shingles]).
 
-    def keyed(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 8192):
-                part = b.slice(at, 8192)
-                k = keys(_words(part.column(1), width))
-                node = np.repeat(part.column(0).to_numpy(), k.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64), pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
-
-    rows = nodes.select("node", "fp").mapInArrow(keyed, "key long, node long")
-    met = rows.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut(met, "simhash-met")
+    u is one of the key's nodes, its head, and n at least their number. What is close to the head is linked to
+    it; the rest, if any, is compared with all rows of its key.
+    """
+    ends = [c for c in rows.columns if c not in ("key", "n", "u", "node")]
+    heads = cut(rows.filter("node = u").select("key", "n", "u", *[F.col(c).alias(f"head_{c}") for c in ends]).dropDuplicates(["key"]), "simhash-heads")
+    star = meet(rows.filter("node <> u").select("key", "node", *ends), heads, "key").select("key", "u", "node", *[f"head_{c}" for c in ends], *ends)
+    star = cut(star.mapInArrow(lambda it: _from_heads(it, width, radius, least), "key long, u long, node long, near boolean"), "simhash-star")
+    links, loose = star.filter("near").select("u", F.col("node").alias("v")), star.filter("NOT near").select("key", "node").distinct()
+    left = cut(loose.groupBy("key").agg(F.count(F.lit(1)).alias("r")), "simhash-loose")
+    if left.isEmpty():
+        return links
+    left = cut(meet(heads.select("key", "n"), left, "key", "r"), "simhash-loose")
+    open_ = meet(rows.select("key", "node", *ends), left, "key").join(loose.withColumn("loose", F.lit(True)), ["key", "node"], "left").withColumn("loose", F.col("loose").isNotNull())
+    of = lambda n: F.ceil(F.col(n) / block)
+    own = lambda n: F.pmod(F.xxhash64("node"), of(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), of(n) - 1))
+    probes = open_.filter("loose").select("key", own("r").alias("i"), all_of("n").alias("j"), F.lit(True).alias("probe"), "loose", "node", *ends)
+    base = open_.select("key", all_of("r").alias("i"), own("n").alias("j"), F.lit(False).alias("probe"), "loose", "node", *ends)
+    groups = probes.unionByName(base).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return links.unionByName(groups.mapInArrow(lambda it: _compare(it, width, radius, least), "u long, v long"))
+
+
+def link(nodes: DataFrame, keyed: DataFrame, width: int, radius: int) -> DataFrame:
+    """u, v: links between ``nodes`` (node, fp, pivots) that share a key (``keyed``: key, node) and differ in at most ``radius`` bits; enough of them to connect each group."""
+    mixed = F.xxhash64("node")
+    met = keyed.groupBy("key").agg(
+        F.min("node").alias("u"), F.max("node").alias("v"), F.count(F.lit(1)).alias("n"),
+        F.sum(mixed.bitwiseAND(F.lit(0x7FFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(mixed, 33)).alias("high"),
+    )
+    met = cut(met.filter("u <> v"), "simhash-met")
     # most keys that are shared are shared by two: the aggregate has the pair, and rows don't move again
     pairs = met.filter("n = 2").select("u", "v").distinct()
     x, y = (nodes.select(F.col("node").alias(end), F.struct("fp", "pivots").alias(f"{end}_row")) for end in "uv")
     both = pairs.join(x, "u").join(y, "v").select("u", "v", "u_row.fp", "u_row.pivots", F.col("v_row.fp").alias("fp2"), F.col("v_row.pivots").alias("pivots2"))
     links = both.mapInArrow(lambda it: _check_pairs(it, width, radius), "u long, v long")
-    crowds = sized(cut(met.filter("n > 2").select("key", "n"), "simhash-crowds"), NARROW_ROWS)
-    crowded = rows.join(crowds, "key").join(nodes.drop("first"), "node").select("key", "n", "node", "fp", "pivots")
-    return links.union(_in_blocks(crowded, BLOCK, width, radius))
+    crowds = cut(met.filter("n > 2").groupBy("u", "v", "n", "low", "high").agg(F.min("key").alias("key")).select("key", "n", "u"), "simhash-crowds")  # of keys with the same rows one will do
+    if crowds.isEmpty():
+        return links
+    crowded = meet(keyed, crowds, "key").select("key", "n", "u", "node").distinct()
+    crowded = cut(crowded.join(nodes.select("node", "fp", "pivots"), "node").select("key", "n", "u", "node", "fp", "pivots"), "simhash-crowded")
+    return links.unionByName(_in_crowds(crowded, BLOCK, width, radius))
 
 
-def _table(column, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(n, -1)
-
-
-def _check_pairs(batches, width: int, radius: int):
-    """Rows (u, v, fp, pivots, fp2, pivots2) -> the pairs within the radius."""
-    for b in batches:
-        n = b.num_rows
-        fps = np.concatenate([_words(b.column(i), width) for i in (2, 4)])
-        table = np.concatenate([_table(b.column(i), n) for i in (3, 5)]) if n else np.zeros((0, PIVOTS), np.int16)
-        at, _ = _close(fps, table, np.arange(n), np.arange(n) + n, radius)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["u", "v"])
-
-
-def _in_blocks(rows: DataFrame, block: int, width: int, radius: int, least: float = 0.0) -> DataFrame:
-    """Links within each key of ``rows`` (key, n, node, fp, pivots[, shingles]), of which a key has n, by pairs of blocks."""
-    blocks = F.ceil(F.col("n") / block)
-    rest = [c for c in rows.columns if c not in ("key", "n")]
-    met = rows.select("key", *rest, F.pmod(F.xxhash64("node"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    groups = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *rest)
-    groups = groups.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return groups.mapInArrow(lambda it: _compare(it, width, radius, least), "u long, v long")
-
-
-def _resembling(docs: DataFrame, nodes: DataFrame, placed: DataFrame, words: int, width: int, radius: int, least: float, id_col: str, text_col: str) -> DataFrame:
+def _resembling(base: DataFrame, nodes: DataFrame, placed: DataFrame, words: int, width: int, radius: int, least: float) -> DataFrame:
     """Links of at least ``least`` resemblance within the groups ``placed`` (node, root) of a wider radius.
 
     A node's shingles are read from its first document; only documents in such groups are read again.
     """
     placed = cut(placed, "simhash-wide")
-    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    wanted = nodes.join(placed.join(sizes, "root"), "node").select("first", F.col("root").alias("key"), "n", "node", "fp", "pivots")
-    wanted = sized(cut(wanted, "simhash-wanted"))
+    sizes = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "simhash-sizes")
+    wanted = nodes.join(meet(placed, sizes, "root"), "node").select("first", F.col("root").alias("key"), "n", F.col("root").alias("u"), "node", "fp", "pivots")
 
     def run(batches):
         for b in pieces(batches):
-            sets = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.binary())], names=["key", "n", "node", "fp", "pivots", "shingles"])
+            sets = [shingle_set(t, words).astype("<u8").tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], names=["key", "n", "u", "node", "fp", "pivots", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    rows = rows.join(wanted, rows["__id"].eqNullSafe(wanted["first"])).select("key", "n", "node", "fp", "pivots", "__text")
-    rows = rows.mapInArrow(run, "key long, n long, node long, fp binary, pivots binary, shingles binary")
-    return _in_blocks(rows, SET_BLOCK, width, radius, least)
+    rows = _read(base, wanted).select("text", "key", "n", "u", "node", "fp", "pivots")
+    rows = cut(rows.mapInArrow(run, "key long, n long, u long, node long, fp binary, pivots binary, shingles binary"), "simhash-sets")
+    return _in_crowds(rows, SET_BLOCK, width, radius, least)
 
 
-def _pivots(width: int):
+def _pivots(batches, width: int):
+    for b in batches:
+        table = pivot_table(_words(b.column(1), width)).astype("<i2") if b.num_rows else np.zeros((0, PIVOTS), "<i2")
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in table], pa.binary())], names=["node", "fp", "first", "copies", "pivots"])
+
+
+_FIRST = "struct<last:boolean,doc_id:bigint,mark:bigint>"
+
+
+def _grouped(docs: DataFrame, words: int, radius: int, similarity: float | None, width: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark, fp, first (the least document of the group, by id, nulls last, and text hash) of every row."""
+    base = _base(docs, id_col, text_col)
+    if similarity is None:
+        width = 1
+        marked = cut(fingerprints(base, words, width), "simhash-docs")
+    else:
+        share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ at the threshold
+        radius = math.ceil(64 * width * share + SLACK * math.sqrt(64 * width * share * (1 - share)))
+        marked = cut(shingled(base, words, width, similarity), "simhash-docs")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    nodes = marked.groupBy("node", "fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).select("node", "fp", F.col("first").cast(_FIRST), "copies")
+    nodes = cut(nodes.mapInArrow(lambda it: _pivots(it, width), f"node long, fp binary, first {_FIRST}, copies long, pivots binary"), "simhash-nodes")
+    if similarity is None:
+        placed = components(link(nodes, _segments(nodes, radius), width, radius))
+    else:
+        placed = components(link(nodes, _keyed(base, marked, nodes, words, similarity), width, radius))
+        placed = components(_resembling(base, nodes, placed, words, width, radius, similarity))
+    placed = cut(placed, "simhash-placed")
+    labels = cut(nodes.select("node", "first").join(placed, "node").groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-labels")
+    named = nodes.select("node", "first", "copies").join(meet(placed, labels, "root").select("node", "least"), "node", "left")
+    named = cut(named.select("node", F.coalesce("least", "first").alias("first"), "copies"), "simhash-named")
+    return meet(marked.select("doc_id", "mark", "node", "fp"), named, "node", "copies").select("doc_id", "mark", "fp", "first")
+
+
+def _segments(nodes: DataFrame, radius: int) -> DataFrame:
+    keys = segment_keys(radius, nodes.count())
+
     def run(batches):
         for b in batches:
-            table = pivot_table(_words(b.column(1), width)).astype("<i2") if b.num_rows else np.zeros((0, PIVOTS), "<i2")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in table], pa.binary())], names=["node", "fp", "first", "pivots"])
+            for at in range(0, b.num_rows, 8192):
+                part = b.slice(at, 8192)
+                k = keys(_words(part.column(1), 1))
+                node = np.repeat(part.column(0).to_numpy(), k.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64), pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
 
-    return run
+    return nodes.select("node", "fp").mapInArrow(run, "key long, node long")
 
 
 def simhash_groups(
@@ -306,41 +405,26 @@ def simhash_groups(
 
     Without ``similarity``: 64-bit fingerprints of shingles of ``words`` words, linked at ``radius`` or fewer
     differing bits, all links found. With it: linked where the shingle sets resemble each other by at least
-    ``similarity``; bands and a radius of fingerprints of ``width`` words find most pairs at the threshold
-    (RECALL), more of more similar ones, and sets are compared exactly, so there are no false links.
+    ``similarity``. All such pairs share a key and are compared, but for those whose fingerprints of ``width``
+    words lie SLACK standard deviations beyond what the threshold stands for; there are no false links.
 
     component_id is the smallest doc_id reachable (nulls come last; null if all are). Null and empty texts
     have fingerprint zero and are linked like others. Rows with equal texts, or equal ids, get a row each.
     """
-    if similarity is None:
-        width = 1
-    else:
-        share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ at the threshold
-        radius = math.ceil(64 * width * share + SLACK * math.sqrt(64 * width * share * (1 - share)))
-    marked = cut(fingerprints(docs, words, width, id_col, text_col), "simhash-docs")
-    nodes = marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")).select("node", "fp", "first")
-    nodes = cut(nodes.mapInArrow(_pivots(width), "node long, fp binary, first long, pivots binary"), "simhash-nodes")
-    n = nodes.count()
-    keys = segment_keys(radius, n) if similarity is None else band_keys(width, 1 - share, n)
-    placed = components(link(nodes, keys, width, radius))
-    if similarity is not None:
-        placed = components(_resembling(docs, nodes, placed, words, width, radius, similarity, id_col, text_col))
-    labels = cut(nodes.select("node", "first").join(placed, "node").groupBy("root").agg(F.min("first").alias("component")), "simhash-labels")
-    named = placed.join(labels, "root").select("node", "component")
-    named = nodes.select("node", "first").join(named, "node", "left").select("node", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component")).alias("component_id"))
-    return marked.join(named, "node").select("doc_id", "fp", "component_id")
+    return _grouped(docs, words, radius, similarity, width, id_col, text_col).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each group of near-duplicates keeps one: the one with the smallest id.
 
-    Groups are those of ``simhash_groups`` with ``similarity``. Ids name documents: rows that share one stay or
-    go together, and go if any of them has a smaller id in its group. Null is one id, and the largest.
+    Groups are those of ``simhash_groups`` with ``similarity``. Id and text together name a document: rows that
+    share both stay or go together; null ids come last, and of equal ids the text with the smaller hash stays.
     """
-    groups = simhash_groups(docs, words, similarity=similarity, width=width, id_col=id_col, text_col=text_col)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = sized(cut(gone, "simhash-gone"))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    groups = _grouped(docs, words, 0, similarity, width, id_col, text_col)
+    gone = groups.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    gone = sized(cut(gone.select(F.struct("doc_id", "mark").alias("gone")).distinct(), "simhash-gone"))
+    mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone.doc_id"]) & (mark == gone["gone.mark"]), "left_anti")
 
 
 def fingerprint_hex(fp):

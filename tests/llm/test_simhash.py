@@ -5,7 +5,7 @@ import xxhash
 from helpers import ODD, docs
 
 from foliospark.llm.components import components
-from foliospark.llm.simhash import _forest, fingerprint_hex, pivot_table, segment_keys, simhash_groups
+from foliospark.llm.simhash import _probe, first_shingles, fingerprint_hex, near_dedup, pivot_table, segment_keys, shingle_set, simhash_groups
 
 
 def plain(text, words=3):
@@ -65,12 +65,81 @@ def test_keys_lose_no_pair():
         assert (keys(a) == keys(a ^ flip)).any(axis=1).all()
 
 
-def test_forest_connects_what_links():
+def test_probes_connect_what_links():
     r = np.random.default_rng(2)
     fps = r.integers(0, 1 << 64, (20, 1), dtype=np.uint64)
     fps = np.concatenate([fps ^ (np.uint64(1) << np.uint64(i)) for i in range(5)])
-    a, b = _forest(fps, pivot_table(fps), 2)
-    assert len(a) == 80 and {*zip((a % 20).tolist(), (b % 20).tolist(), strict=True)} == {(i, i) for i in range(20)}
+    node, every = np.arange(100), np.arange(100)
+    links = _probe(node, np.ones(100, bool), every, every, fps, pivot_table(fps), 2)
+    assert len(links) == 80 and all(a % 20 == b % 20 for a, b in links)
+    tied = _probe(node, every % 20 > 0, every[every % 20 == 1], every, fps, pivot_table(fps), 2)
+    assert len(tied) == 4 and {int(a % 20) for a, _ in tied} == {1}
+
+
+def test_first_shingles_meet():
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(r.integers(1, 60))
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[r.random(len(x)) < 0.9], r.integers(0, 1 << 63, int(r.integers(0, 4))).astype(np.uint64))))
+        heavy = np.sort(r.choice(x, len(x) // 2, replace=False))
+        if len(both := np.intersect1d(x, y)) >= 0.8 * (len(x) + len(y) - len(both)):
+            for late in (None, heavy):
+                assert len(np.intersect1d(first_shingles(x, 0.8, late), first_shingles(y, 0.8, late)))
+
+
+def jaccard_groups(rows, words, least):
+    sets = [set(shingle_set(t, words).tolist()) for _, t in rows]
+    label, close = list(range(len(rows))), set()
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                close.add((rows[j][0], rows[i][0]))
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    first = {x: min((d is None, d or 0) for (d, _), y in zip(rows, label, strict=True) if y == x) for x in set(label)}
+    return sorted(((d, first[x][1] if not first[x][0] else None) for (d, _), x in zip(rows, label, strict=True)), key=repr), close
+
+
+def edited(r, n, most):
+    """Families of texts with more and fewer edits, so that resemblances spread around 0.8, and short texts."""
+    rows = list(ODD)
+    for g in range(n):
+        w = [f"w{r.randrange(9000)}" for _ in range(r.choice([6, 8, 9, 12, 30, 120, 200]))]
+        rows.append((10_000 + 10 * g, " ".join(w)))
+        for c in range(1, r.randint(2, 6)):
+            v = list(w)
+            for _ in range(r.randint(1, max(1, int(len(v) * most)))):
+                v[r.randrange(len(v))] = f"v{r.randrange(9000)}"
+            if c % 2:
+                v = v[:-1]
+            rows.append((10_000 + 10 * g + c, " ".join(v)))
+    return rows
+
+
+def test_similarity_against_brute_force(spark):
+    """Every pair at 0.8 or more, many just above, is in one group; there are no other groups."""
+    rows = edited(random.Random(12), 120, 0.03)
+    want, close = jaccard_groups(rows, 5, 0.8)
+    got = simhash_groups(docs(spark, rows), words=5, similarity=0.8).select("doc_id", "component_id").collect()
+    assert len(close) > 100 and sorted(map(tuple, got), key=repr) == want
+    kept = {r["doc_id"] for r in near_dedup(docs(spark, rows)).collect()}
+    assert kept == {c for _, c in want}
+
+
+def test_common_passage(spark, monkeypatch):
+    """A passage that most documents share is put last in the order; copies among them are still found."""
+    monkeypatch.setattr("foliospark.llm.simhash.HEAVY", 10)
+    monkeypatch.setattr("foliospark.llm.common.HUB", 5)
+    monkeypatch.setattr("foliospark.llm.common.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("foliospark.llm.simhash.SET_BLOCK", 7)
+    r = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(d, f"{t} {passage}" if d and d % 3 else t) for d, t in edited(r, 40, 0.03)[len(ODD):]]
+    rows += [(90_000 + i, passage + f" x{i % 7}") for i in range(40)]
+    want, _ = jaccard_groups(rows, 5, 0.8)
+    got = simhash_groups(docs(spark, rows), words=5, similarity=0.8).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == want
 
 
 def test_similarity(spark):
