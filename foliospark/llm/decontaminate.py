@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, pieces, sized
+from foliospark.llm.common import cut, pieces, sized, unused
 
 #: Template tokens of a window; an item with fewer is one window. Least share of literal words in a window.
 WINDOW, LITERAL = 8, 0.5
@@ -252,11 +252,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     return bad.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"))
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, share: float, how: str, id_col: str, text_col: str, run: int) -> DataFrame:
+def _marked(docs: DataFrame, benchmark: DataFrame, share: float, how: str, id_col: str, text_col: str, run: int) -> tuple[DataFrame, str]:
+    """``docs`` joined with its leaks, which are a struct (doc_id, mark, item_ids, share) of the name given back."""
     found = sized(cut(leaks(docs, benchmark, share, id_col, text_col, run), "leaks"))
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("item_ids").alias("__items"), F.col("share").alias("__share"))
+    name = unused(docs, "leak")
+    found = found.select(F.struct("doc_id", "mark", "item_ids", "share").alias(name))
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__doc"]) & (mark == found["__mark"]), how)
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[f"{name}.doc_id"]) & (mark == found[f"{name}.mark"]), how), name
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", run: int = 0) -> DataFrame:
@@ -269,11 +271,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, i
     the same verdict; null ids are ids. No benchmark or no documents: nothing is contaminated. Whole texts
     are read.
     """
-    out = _marked(docs, benchmark, share, "left", id_col, text_col, run)
-    ids = F.coalesce("__items", F.array().cast("array<bigint>"))
-    return out.select(docs[id_col].alias("doc_id"), (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"), F.coalesce("__share", F.lit(0.0)).alias("share"))
+    out, leak = _marked(docs, benchmark, share, "left", id_col, text_col, run)
+    ids = F.coalesce(f"{leak}.item_ids", F.array().cast("array<bigint>"))
+    return out.select(docs[id_col].alias("doc_id"), (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"), F.coalesce(f"{leak}.share", F.lit(0.0)).alias("share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", run: int = 0) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``contamination`` clears."""
-    return _marked(docs, benchmark, share, "left_anti", id_col, text_col, run)
+    return _marked(docs, benchmark, share, "left_anti", id_col, text_col, run)[0]

@@ -7,6 +7,8 @@ byte verification, which groups by the whole normalised text.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ from foliospark.llm.quotient import CountingQuotientFilter
 
 #: Fingerprints that one Python worker holds before it writes its filters out.
 FLUSH = 2_000_000
+#: Fingerprints of a range, about; there are 4,096 ranges at least.
+RANGE_ROWS = 1 << 20
 
 
 def _build(batches, range_bits: int):
@@ -71,7 +75,7 @@ def repeated_fingerprints(keyed: DataFrame, range_bits: int = 12) -> DataFrame:
     return filters.repartition("range").sortWithinPartitions("range").mapInArrow(_repeated, "fp long, n long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bits: int = 12) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bits: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``; other columns are not read.
 
     Null text counts as empty; empty texts are one group. The smallest id of a group stays. Null ids are
@@ -81,6 +85,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("doc_id"), squeezed(F.col(text_col)).alias("norm"))
     hashed = F.xxhash64("norm").alias("fp"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
     keyed = cut(base.select("doc_id", *hashed), "dedup-keys")
+    if range_bits is None:
+        range_bits = max(12, math.ceil(math.log2(max(1, keyed.count()) / RANGE_ROWS)))
     repeated = cut(repeated_fingerprints(keyed, range_bits), "dedup-repeated")
     routed = base.withColumn("fp", hashed[0]).join(sized(repeated.select("fp")), "fp", "left_semi")
     # byte verification: grouping by the text itself; partial sums fold the copies before the shuffle

@@ -42,6 +42,20 @@ def words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64), np.flatnonzero(s[at - 1] == 0)
 
 
+def folded(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of ``words_of``, by a hash of their trigrams in order, and how often each occurs."""
+    if not len(ids):
+        return ids, starts, np.zeros(0)
+    sizes = np.diff(np.append(starts, len(ids)))
+    place = (np.arange(len(ids)) - np.repeat(starts, sizes) + 1).astype(np.uint64)
+    h = (ids.astype(np.uint64) + place * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    _, first, n = np.unique(np.add.reduceat(h * np.uint64(0x94D049BB133111EB), starts), return_index=True, return_counts=True)
+    own = sizes[first]
+    at = np.cumsum(own) - own
+    return ids[np.repeat(starts[first] - at, own) + np.arange(own.sum())], at, n.astype(np.float64)
+
+
 class Mixture:
     """Log likelihoods (trigram, language) of ``langs``."""
 
@@ -50,41 +64,41 @@ class Mixture:
         smooth = counts + SMOOTHING
         self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
 
-    def likelihoods(self, text: str) -> np.ndarray:
-        """Log likelihood of each word under each language, less the word's best."""
-        ids, starts = words_of(text)
+    def likelihoods(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log likelihood of each word (see ``words_of``) under each language, less the word's best."""
         if not len(ids) or not self.langs:
             return np.zeros((0, len(self.langs)))
         s = np.add.reduceat(self.table[ids], starts, axis=0).astype(np.float64)
         return s - s.max(axis=1, keepdims=True)
 
     @staticmethod
-    def _fit(p: np.ndarray) -> tuple[np.ndarray, float]:
-        share = np.full(p.shape[1], 1 / p.shape[1])
+    def _fit(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+        share, weight = np.full(p.shape[1], 1 / p.shape[1]), n / n.sum()
         for _ in range(ROUNDS):
             r = p * share
-            now = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            now = weight @ (r / r.sum(axis=1, keepdims=True))
             if np.abs(now - share).max() < 1e-3:
                 share = now
                 break
             share = now
-        return share, float(np.log(np.maximum(p @ share, 1e-300)).sum())
+        return share, float(n @ np.log(np.maximum(p @ share, 1e-300)))
 
     def proportions(self, text: str) -> np.ndarray:
-        """Share of each language of the chosen set; zeros for a text without a letter."""
+        """Share of each language of the chosen set; zeros for a text without a letter. Equal words are looked at once."""
         out = np.zeros(len(self.langs))
-        logs = self.likelihoods(text)
-        if not len(logs) or not self.langs:
+        ids, starts, n = folded(*words_of(text))
+        logs = self.likelihoods(ids, starts)
+        if not len(logs):
             return out
         p = np.exp(np.maximum(logs, -60.0))
         kept = np.arange(len(self.langs))
-        share, fit = self._fit(p)
-        cost = PENALTY * np.log(len(p) + 1.0)
+        share, fit = self._fit(p, n)
+        cost = PENALTY * np.log(n.sum() + 1.0)
         while len(kept) > 1:
             drop = int(np.argmin(share))
             rest = np.delete(np.arange(len(kept)), drop)
             sub = p[:, kept[rest]]
-            s, f = (np.ones(1), float(np.log(sub[:, 0]).sum())) if len(rest) == 1 else self._fit(sub)
+            s, f = (np.ones(1), float(n @ np.log(sub[:, 0]))) if len(rest) == 1 else self._fit(sub, n)
             if f < fit - cost:
                 break
             kept, share, fit = kept[rest], s, f
@@ -108,7 +122,7 @@ def _counts(sample: DataFrame, langs: list[str], model: Mixture | None = None) -
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids, starts = words_of(text)
                 if model is not None and len(ids):
-                    p = np.exp(model.likelihoods(text))
+                    p = np.exp(model.likelihoods(ids, starts))
                     own = p[:, model.langs.index(lang)] / p.sum(axis=1) > 0.5
                     ids = ids[np.repeat(own, np.diff(np.append(starts, len(ids))))]
                 now = np.bincount(ids, minlength=1 << BITS)

@@ -4,6 +4,9 @@ Lines within an edit distance of k share, of k + 1 segments of the shorter line,
 Every line puts its segments in an index that knows its length, and probes the index of each length from its
 own down to k less with those substrings that a segment could have moved to. Lines that meet under a key are
 compared by banded bit-parallel edit distance. Of lines that are equal or linked only the first stays.
+
+Where very many lines meet under a key, that is one segment that they share: what is left of each line around
+it is split into segments again, and they are compared where they share one of those too.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, pieces, sized
+from foliospark.llm.common import NARROW_ROWS, cut, meet, pieces, sized, unused
 from foliospark.llm.components import components
 
 #: Unless a call says otherwise, shorter lines are never touched; between the two, lines are only equal or not.
@@ -24,11 +27,13 @@ WHOLE = {"least": 1, "near": 25}
 EDITS = 2
 #: Lines of a bucket's block; a task compares two blocks at a time.
 BLOCK = 256
-#: Narrow rows that are broadcast at most.
-NARROW_ROWS = 500_000
+#: Keys of more lines are split by what is around the segment, so often at most.
+SPLIT, SPLITS = 256, 2
 _SEED = 42
 
 
+#: Stands where a segment was. That lines have it too is no matter: what is found is always compared whole.
+_GAP = "\x00\x00\x00"
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -81,17 +86,27 @@ class _Keys:
     def __init__(self, edits: int):
         self.edits, self.plans = edits, {}
 
-    def of(self, line: str) -> list[int]:
-        n = len(line)
+    def _plan(self, n: int) -> list[tuple[int, int, int]]:
         if (plan := self.plans.get(n)) is None:
             plan = {(n, i, a, b) for i, (a, b) in enumerate(segments(n, self.edits))} | {*_windows(n, self.edits)}
             plan = self.plans[n] = [((other << 6) | i, a, b) for other, i, a, b in sorted(plan)]
+        return plan
+
+    def of(self, line: str) -> list[int]:
+        plan = self._plan(len(line))
         h = xxhash.xxh64_intdigest
         if line.isascii():
             data = line.encode()
             return [h(data[a:b], seed) for seed, a, b in plan]
         return [h(line[a:b].encode("utf-8", "surrogatepass"), seed) for seed, a, b in plan]
 
+    def around(self, line: str, path: list[int]) -> set[str]:
+        """What is left of a line around the segments that the keys in ``path`` stand for, one after another."""
+        left = {line}
+        for key in path:
+            left = {x[:a] + _GAP + x[b:] for x in left for found, (_, a, b) in zip(self.of(x), self._plan(len(x)), strict=True) if found == key}
+        return left
+
 
 def within(a: str, b: str, edits: int) -> bool:
     """Whether at most ``edits`` insertions, deletions and substitutions turn ``a`` into ``b``.
@@ -210,34 +225,64 @@ def _compare(batches, edits: int):
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """u, v (ids of lines): links that connect all lines within ``edits`` of each other.
+def _again(batches, edits: int):
+    """Rows (id, path, line) -> id, path with one more key: those of what is left of the line around the segments of its path."""
+    keys = _Keys(edits)
+    for b in batches:
+        rows = []
+        for own, path, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            plain = [k & (1 << 64) - 1 for k in path]
+            rows += [(own, [*path, k]) for k in {_signed(k) for left in keys.around(line, plain) for k in keys.of(left)}]
+        for at in range(0, max(1, len(rows)), 20_000):
+            part = rows[at:at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64()))], names=["id", "path"])
+
+
+def _met(keyed: DataFrame, key: str) -> DataFrame:
+    """u, v, n for each key that two different lines have; n counts lines that several workers saw more than once."""
+    met = keyed.groupBy(key).agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n")).filter("u <> v")
+    return cut(met, "lines-met")
+
+
+def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """u, v (ids of lines): links that connect all lines within ``edits`` of each other; and id, more of the lines that were read.
 
     ``base``: doc_id, text, mark; ``seen``: its lines with keys; ``lines``: distinct lines with their first place.
     Most keys that lines meet under hold two lines, which an aggregate finds without moving rows twice. Those
-    that hold more are gathered, in pairs of blocks of bounded size. Only lines that met are read again.
+    that hold more are gathered: the largest split by further segments, the others, and what no split tells
+    apart, in pairs of blocks of bounded size. Only lines that met are read again.
     """
     keyed = seen.select("id", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n")).filter("u <> v")
-    met = cut(met, "lines-met")
+    met = _met(keyed, "key")
     pairs = met.filter("n = 2").select("u", "v").distinct()
-    crowds = sized(cut(met.filter("n > 2").select("key", "n"), "lines-crowds"), NARROW_ROWS)
-    crowded = cut(keyed.join(crowds, "key").distinct(), "lines-crowded")
+    crowds = cut(met.filter("n > 2").select("key", "n"), "lines-crowds")
+    crowded = cut(meet(keyed, crowds, "key").select("key", "n", "id").distinct(), "lines-crowded")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("id")).distinct()
     wanted = lines.join(sized(cut(ids, "lines-candidates"), NARROW_ROWS), "id", "left_semi")
-    wanted = wanted.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.pos", "id")).alias("wanted"))
+    wanted = wanted.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.pos", "id", "more")).alias("wanted"))
     wanted = sized(cut(wanted.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "wanted"), "lines-wanted"))
     read = base.join(wanted, base["doc_id"].eqNullSafe(wanted["d"]) & (base["mark"] == wanted["m"])).select(F.split("text", "\n", -1).alias("parts"), "wanted")
-    read = read.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get(F.col("parts"), w["pos"]).alias("line")))).alias("x"))
-    texts = cut(read.select("x.id", squeezed_line(F.col("x.line")).alias("line")).dropDuplicates(["id"]), "lines-texts")
-    x, y = (texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}")) for end in "uv")
-    links = pairs.join(x, "u").join(y, "v").select("u", "v", "line_u", "line_v").mapInArrow(lambda it: _verify(it, edits), "u long, v long")
+    read = read.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["more"].alias("more"), F.get(F.col("parts"), w["pos"]).alias("line")))).alias("x"))
+    texts = cut(read.select("x.id", "x.more", squeezed_line(F.col("x.line")).alias("line")).dropDuplicates(["id"]), "lines-texts")
+    own = texts.select("id", "line")
+    near = lambda pairs: pairs.join(own.toDF("u", "x"), "u").join(own.toDF("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(lambda it: _verify(it, edits), "u long, v long")
+    links = near(pairs)
+    rows = crowded.filter(F.col("n") <= SPLIT).select(F.array("key").alias("path"), "n", "id")
+    large = crowded.filter(F.col("n") > SPLIT).select(F.array("key").alias("path"), "n", "id")
+    for _ in range(SPLITS):
+        if large.isEmpty():
+            break
+        split = cut(large.join(own, "id").select("id", "path", "line").mapInArrow(lambda it: _again(it, edits), "id long, path array<long>"), "lines-split")
+        met = _met(split, "path")
+        links = links.unionByName(near(met.filter("n = 2").select("u", "v").distinct()))
+        again = cut(meet(split, cut(met.filter("n > 2").select("path", "n"), "lines-crowds"), "path").select("path", "n", "id").distinct(), "lines-crowded")
+        rows, large = rows.unionByName(again.filter(F.col("n") <= SPLIT)), again.filter(F.col("n") > SPLIT)
+    rows = rows.unionByName(large).withColumn("key", F.xxhash64("path"))
     blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    rows = crowded.select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rows = rows.select("key", "id", F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id")
-    rows = rows.join(texts, "id").select("key", "lo", "hi", "id", "line").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return links.union(rows.mapInArrow(lambda it: _compare(it, edits), "u long, v long"))
+    rows = rows.join(own, "id").select("key", "lo", "hi", "id", "line").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return links.unionByName(rows.mapInArrow(lambda it: _compare(it, edits), "u long, v long")), texts.select("id", "more")
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, near: int = NEAR_CHARS) -> DataFrame:
@@ -247,12 +292,16 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", t
     seen = cut(base.mapInArrow(lambda it: _occurrences(it, edits, max(1, least), near), _SEEN), "lines-seen")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "mark")
     lines = cut(seen.groupBy("id", "more").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines-distinct")
-    classes = cut(components(near_lines(base, seen, lines, edits)), "lines-classes")
-    repeated = lines.join(sized(classes.withColumnRenamed("node", "id"), NARROW_ROWS), "id", "left")
-    repeated = cut(repeated.filter("n > 1 OR root IS NOT NULL").select("id", "more", "first", "root"), "lines-repeated")
-    heads = repeated.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("head"))
-    kept = repeated.join(heads, "root", "left").select("id", "more", F.coalesce("head", "first").alias("kept"))
-    gone = seen.select("doc_id", "mark", "pos", "id", "more").join(sized(cut(kept, "lines-kept")), ["id", "more"]).filter(~place.eqNullSafe(F.col("kept")))
+    links, read = near_lines(base, seen, lines, edits)
+    # ids are half of a line's hash: of lines that share one, only the line that was read is in the class
+    classes = cut(components(links).withColumnRenamed("node", "id").join(read, "id"), "lines-classes")
+    repeated = lines.join(sized(classes, NARROW_ROWS), ["id", "more"], "left")
+    repeated = cut(repeated.filter("n > 1 OR root IS NOT NULL").select("id", "more", "first", "root", F.col("n").alias("times")), "lines-repeated")
+    heads = cut(repeated.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("n")), "lines-heads")
+    kept = meet(repeated.filter("root IS NOT NULL"), heads, "root").select("id", "more", "kept", "times")
+    kept = kept.unionByName(repeated.filter("root IS NULL").select("id", "more", F.col("first").alias("kept"), "times"))
+    kept = cut(kept.select(F.struct("id", "more").alias("line"), "kept", "times"), "lines-kept")
+    gone = meet(seen.select("doc_id", "mark", "pos", F.struct("id", "more").alias("line")), kept, "line", "times").filter(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
@@ -263,7 +312,7 @@ def without_lines(text: Column, gone: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, least: int = LEAST_CHARS, near: int = NEAR_CHARS) -> DataFrame:
-    """``docs`` with lines removed from ``text_col``; with ``counts`` also n_lines and n_removed; all other columns stay as they are.
+    """``docs`` with lines removed from ``text_col``; with ``counts`` also n_lines and n_removed, in place of columns of those names; all other columns stay as they are.
 
     Of lines (whitespace squeezed) that are equal, or linked by edit distances of at most ``edits`` from
     ``near`` characters on, the one with the smallest id, position and text hash stays; null ids come last. Lines under
@@ -272,10 +321,12 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", tex
     one document and keep the same lines. An empty table stays empty.
     """
     gone = sized(cut(removed_lines(docs, edits, id_col, text_col, least, near), "lines-gone"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    name = unused(docs, "lines")
+    gone = gone.select(F.struct("doc_id", "mark", "gone").alias(name))
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__doc"]) & (mark == gone["__mark"]), "left")
-    fields = [without_lines(F.col(text_col), F.col("__gone")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[f"{name}.doc_id"]) & (mark == gone[f"{name}.mark"]), "left")
+    lost = F.col(f"{name}.gone")
+    fields = [without_lines(F.col(f"`{text_col}`"), lost).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     if counts:
-        fields += [F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).alias("n_lines"), F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).alias("n_removed")]
+        fields += [F.coalesce(F.size(F.split(F.col(f"`{text_col}`"), "\n", -1)), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_removed")]
     return out.select(*fields)

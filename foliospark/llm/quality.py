@@ -29,8 +29,10 @@ LEAST_STEPS = 500
 STEPS = 12
 
 STATS = ("upper", "symbol", "digit", "mark", "word length", "long word", "distinct", "top word", "repeats", "symbol end", "line repeats", "length", "lines", "bar", "space")
+#: Metadata: the length that the table states, how far it is from the text's, and whether there is none.
+META = ("stated length", "stated wrong", "not stated")
 WORDS = 1 << BITS
-FEATURES = WORDS + len(STATS) * (STEPS + 1)
+FEATURES = WORDS + (len(STATS) + len(META)) * (STEPS + 1)
 
 _UPPER = np.zeros(256)
 _UPPER[ord("A"):ord("Z") + 1] = 1
@@ -69,8 +71,15 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
     ]
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: hashed words by damped counts, of length one together, and the steps that each statistic lies between."""
+def metadata(text: str, stated: int | None) -> list[float]:
+    """A number from 0 to 1 for each of META."""
+    if stated is None or stated < 0:
+        return [0.0, 0.0, 1.0]
+    return [min(1.0, math.log1p(stated) / 12), min(1.0, abs(math.log1p(stated) - math.log1p(len(text)))), 0.0]
+
+
+def features(text: str | None, stated: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values: hashed words by damped counts, of length one together, and the steps that each statistic and piece of metadata lies between."""
     text = text or ""
     words = text.split()
     counts = Counter(words)
@@ -82,9 +91,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     x = np.log1p(np.fromiter(tally.values(), np.float64, len(tally)))
     if len(x):
         x /= np.sqrt((x * x).sum())
-    place = np.array(statistics(text, words, counts)) * STEPS
+    place = np.array(statistics(text, words, counts) + metadata(text, stated)) * STEPS
     low = np.minimum(place.astype(np.int64), STEPS - 1)
-    base = WORDS + np.arange(len(STATS)) * (STEPS + 1) + low
+    base = WORDS + np.arange(len(place)) * (STEPS + 1) + low
     return np.concatenate((at, base, base + 1)), np.concatenate((x, 1 - (place - low), place - low)).astype(np.float32)
 
 
@@ -132,40 +141,43 @@ class FactorisationMachine:
                 self.bias -= RATE * float(err.sum() / np.sqrt(gb))
         return self
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.raw(*features(text)), -30, 30))))
+    def score(self, text: str | None, stated: int | None = None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.raw(*features(text, stated)), -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE) -> FactorisationMachine:
+def fit(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE, stated_col: str = "n_chars") -> FactorisationMachine:
     """Fit on at most ``sample`` labelled documents; their features, not their texts, reach the driver. No labels give a score of 0.5 to all."""
 
     def run(batches):
         for b in pieces(batches):
-            found = [features(t) for t in b.column(0).to_pylist()]
+            found = [features(t, n) for t, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary()), b.column(1)], names=["at", "x", "label"])
 
-    got = labelled_sample(docs, labels, "quality", allowed, sample).mapInArrow(run, "at binary, x binary, label int").toPandas()
+    stated = F.col(stated_col).cast("long") if stated_col in docs.columns else F.lit(None).cast("long")
+    got = labelled_sample(docs.withColumn(stated_col, stated), labels, "quality", allowed, sample, stated_col).mapInArrow(run, "at binary, x binary, label int").toPandas()
     if not len(got):
         return FactorisationMachine()
     rows = sorted(zip(got["at"], got["x"], got["label"], strict=True), key=lambda r: (zlib.crc32(bytes(r[0])), bytes(r[0]), r[2]))  # whatever order they came in
     return FactorisationMachine().fit([(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4")) for a, x, _ in rows], np.array([r[2] for r in rows], np.float64))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None, stated_col: str = "n_chars") -> DataFrame:
     """``docs`` with ``score_col`` (0 to 1, higher: better), replacing a column of that name; all other columns stay as they are, or only those in ``keep``.
 
-    Null texts score as empty ones. Every row gets a score from its whole text alone: ties, repeated rows and
-    null ids don't matter. An empty table stays empty.
+    Null texts score as empty ones, and without ``stated_col``, or where it is null, no length is stated. Every
+    row gets a score from its whole text and that alone: ties, repeated rows and null ids don't matter. An
+    empty table stays empty.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c != score_col]
-    at = docs.columns.index(text_col)
+    used = [*dict.fromkeys([*kept, text_col, *([stated_col] if stated_col in docs.columns else [])])]
+    place = {c: i for i, c in enumerate(used)}
 
     def run(batches):
         for b in pieces(batches):
-            scores = pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(docs_at[c]) for c in kept), scores], names=[*kept, score_col])
+            stated = b.column(place[stated_col]).to_pylist() if stated_col in place else [None] * b.num_rows
+            scores = pa.array([model.score(t, n if isinstance(n, int) else None) for t, n in zip(b.column(place[text_col]).to_pylist(), stated, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(place[c]) for c in kept), scores], names=[*kept, score_col])
 
-    docs_at = {c: i for i, c in enumerate(docs.columns)}
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias(score_col)).schema
-    return docs.mapInArrow(run, schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in used])
+    return rows.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias(score_col)).schema)

@@ -33,7 +33,7 @@ def _judged(scored: DataFrame, held) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), bucket("doc_id", 4) == 2
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
-    return _judged(quality.score_quality(docs.select("doc_id", "text"), model, keep=["doc_id"]), held)
+    return _judged(quality.score_quality(docs.select("doc_id", "text", "n_chars"), model, keep=["doc_id"]), held)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,62 +139,114 @@ class _Input:
         if n > inside:
             self.source.seek(n - inside, 1)
 
-    def member(self) -> bytes:
-        """All plain bytes of the gzip member that begins here."""
-        d, parts = zlib.decompressobj(31), []
-        while not d.eof and (data := self.take(1 << 18)):
-            parts.append(d.decompress(data))
-        self.held = d.unused_data + self.held
-        return b"".join(parts)
 
+class _Member:
+    """The plain bytes of the gzip member that begins where ``data`` (an _Input) stands, decoded as they are read."""
 
-def _split_head(data: bytes) -> tuple[dict, int] | None:
+    def __init__(self, data: _Input):
+        self.data, self.inflate = data, zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        while not self.inflate.eof:
+            taken = self.inflate.unconsumed_tail or self.data.take(1 << 18)
+            if not taken:
+                break
+            plain = self.inflate.decompress(taken, n)
+            if self.inflate.eof:  # what is beyond the member goes back
+                self.data.held = self.inflate.unused_data + self.data.held
+            if plain:
+                return plain
+        return b""
+
+    def seek(self, n: int, whence: int) -> None:
+        while n > 0 and (plain := self.read(min(n, 1 << 20))):
+            n -= len(plain)
+
+
+class Header(list):
+    """(name, value) of a record's header as written; names are looked up in any case, the first of a name counts."""
+
+    def get(self, name: str, other: str | None = None) -> str | None:
+        return next((v for k, v in self if k.lower() == name.lower()), other)
+
+    @property
+    def length(self) -> int:
+        n = self.get("Content-Length", "")
+        return int(n) if n.isascii() and n.isdigit() else 0
+
+    def joined(self) -> list[tuple[str, str]]:
+        """Names as first written, each with all its values, joined by commas."""
+        out: dict[str, tuple[str, list[str]]] = {}
+        for k, v in self:
+            out.setdefault(k.lower(), (k, []))[1].append(v)
+        return [(k, ", ".join(v)) for k, v in out.values()]
+
+
+def _split_head(data: bytes) -> tuple[Header, int] | None:
     end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
     pairs = (line.partition(":") for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:])
-    return {k.strip(): v.strip() for k, _, v in pairs}, end + 4
+    return Header((k.strip(), v.strip()) for k, _, v in pairs if k.strip()), end + 4
+
+
+def _plain_records(data: _Input, wanted, with_payload):
+    """(header, block or None) of the plain records one after another, however long a header is."""
+    while first := data.peek(2):
+        if first == b"\r\n":
+            data.skip(2)
+            continue
+        if first == b"\x1f\x8b":
+            return
+        n = 1 << 12
+        while (got := _split_head(data.peek(n))) is None:
+            if len(data.held) < n:
+                return  # no record: what is left has no end of a header
+            n *= 4
+        head, at = got
+        data.skip(at)
+        if wanted(head) and with_payload(head):
+            yield head, data.take(head.length)
+            continue
+        data.skip(head.length)
+        if wanted(head):
+            yield head, None
+
+
+def _sized_head(data: _Input, size: int, plain: int):
+    """The header of a member that states its lengths, if that is of one record: of it alone is decoded as much as the header needs."""
+    n = 1 << 13
+    while True:
+        some = zlib.decompressobj(31).decompress(data.peek(min(n, size)), n)
+        if got := _split_head(some):
+            head, at = got
+            return got if at + head.length + 4 >= plain else None
+        if len(some) >= plain or (n >= size and len(some) < n):
+            return None
+        n *= 4
 
 
 def _records(source, wanted, with_payload):
-    """(header, block or None) of the records whose header is ``wanted``."""
+    """(header, block or None) of the records whose header is ``wanted``: of plain files, of members of one record that state their length, which are stepped over, and of any others."""
     data = _Input(source)
     while first := data.peek(_MEMBER.size):
-        if first[:2] == b"\x1f\x8b":
-            sized_member = len(first) == _MEMBER.size and first[:4] == b"\x1f\x8b\x08\x04" and _MEMBER.unpack(first)[5] == b"sl"
-            if sized_member:
-                size, got, n = _MEMBER.unpack(first)[7], None, 1 << 11
-                while got is None and n < 1 << 22:  # the header alone is decoded first
-                    n *= 4
-                    got = _split_head(zlib.decompressobj(31).decompress(data.peek(min(n, size)), n))
-                if got is None or not wanted(got[0]) or not with_payload(got[0]):
-                    data.skip(size)
-                    if got and wanted(got[0]):
-                        yield got[0], None
-                    continue
-                plain = zlib.decompress(data.take(size), 31)
-            else:
-                plain = data.member()
-            if (got := _split_head(plain)) and wanted(got[0]):
-                head, at = got
-                yield head, plain[at:at + int(head.get("Content-Length", 0))] if with_payload(head) else None
-        elif first[:2] == b"\r\n":
-            data.skip(2)
-        else:
-            n = 1 << 12
-            while (got := _split_head(data.peek(n))) is None:
-                if len(data.held) < n:
-                    return
-                n *= 4
-            head, at = got
-            length = int(head.get("Content-Length", 0))
-            if wanted(head) and with_payload(head):
-                data.skip(at)
-                yield head, data.take(length)
+        if first[:2] != b"\x1f\x8b":
+            yield from _plain_records(data, wanted, with_payload)
+            if data.peek(2) != b"\x1f\x8b":
+                return
+            continue
+        if len(first) == _MEMBER.size and first[:4] == b"\x1f\x8b\x08\x04" and (parts := _MEMBER.unpack(first))[5] == b"sl" and (got := _sized_head(data, *parts[7:])):
+            if wanted(got[0]) and with_payload(got[0]):
+                plain = zlib.decompress(data.take(parts[7]), 31)
+                yield got[0], plain[got[1]:got[1] + got[0].length]
             else:
-                data.skip(at + length)
-                if wanted(head):
-                    yield head, None
+                data.skip(parts[7])
+                if wanted(got[0]):
+                    yield got[0], None
+            continue
+        member = _Member(data)
+        yield from _plain_records(_Input(member), wanted, with_payload)
+        member.seek(1 << 62, 1)  # to the end of the member
 
 
 class WarcReader(DataSourceReader):
@@ -232,7 +284,7 @@ class WarcReader(DataSourceReader):
                 if block is not None and head.get("WARC-Type") == "response":
                     payload = block.partition(b"\r\n\r\n")[2]
                 row = {c: head.get(f) for c, f in FIELDS.items()}
-                row |= {"headers": list(head.items()), "content_length": int(head.get("Content-Length", 0)), "payload": payload, "payload_sha1": None if payload is None else base32_sha1(payload)}
+                row |= {"headers": head.joined(), "content_length": head.length, "payload": payload, "payload_sha1": None if payload is None else base32_sha1(payload)}
                 rows.append(row)
                 size += 1000 + len(payload or b"")
                 if size > _BATCH_BYTES:

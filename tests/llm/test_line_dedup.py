@@ -46,6 +46,18 @@ def test_keys_lose_no_pair():
             assert {*keys.of(a)} & {*keys.of(b)}, (a, b, k)
 
 
+def test_splits_lose_no_pair():
+    """Lines within edits that share a key share another one around it."""
+    r = random.Random(7)
+    keys = _Keys(2)
+    for _ in range(3000):
+        a = "".join(r.choice("ab é") for _ in range(r.randint(25, 60)))
+        b = edited(r, a, r.randint(1, 2))
+        shared = {*keys.of(a)} & {*keys.of(b)}
+        again = lambda x, key: {k for left in keys.around(x, [key]) for k in keys.of(left)}
+        assert any(again(a, key) & again(b, key) for key in shared), (a, b)
+
+
 def brute(rows, edits=2):
     lines = [(i is None, i or 0, p, n, _squeeze(x)) for n, (i, t) in enumerate(rows) for p, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if len(x[4]) >= 25]
@@ -95,6 +107,25 @@ def test_crowded_buckets(spark, monkeypatch):
     assert sorted(map(tuple, out), key=repr) == brute(rows)
 
 
+def test_split_crowds(spark, monkeypatch):
+    """Beyond every bound: crowds are split twice, nothing is broadcast, hubs are joined apart."""
+    monkeypatch.setattr("foliospark.llm.line_dedup.BLOCK", 8)
+    monkeypatch.setattr("foliospark.llm.line_dedup.SPLIT", 10)
+    monkeypatch.setattr("foliospark.llm.common.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("foliospark.llm.common.HUB", 6)
+    r = random.Random(3)
+    stem = "".join(r.choice("abcdefgh ") for _ in range(20))
+    rows = [(i, stem + "".join(r.choice("xy") for _ in range(r.randint(19, 21))) + "z" * 4) for i in range(60)] + [(100 + i, stem + "x" * 25) for i in range(40)]
+    out = dedup_lines(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, out), key=repr) == brute(rows)
+
+
+def test_names_that_clash(spark):
+    frame = docs(spark, [(1, "a line that two have in common"), (2, "a line that two have in common")]).selectExpr("*", "'KEEP' AS __gone", "1 AS lines", "2 AS _lines", "3 AS gone", "4 AS mark")
+    rows = dedup_lines(frame, counts=True).orderBy("doc_id").collect()
+    assert [(r["text"], r["__gone"], r["lines"], r["_lines"], r["gone"], r["mark"], r["n_removed"]) for r in rows] == [("a line that two have in common", "KEEP", 1, 2, 3, 4, 0), ("", "KEEP", 1, 2, 3, 4, 1)]
+
+
 def test_odd_rows(spark):
     frame = docs(spark, ODD)
     out = dedup_lines(frame, counts=True)

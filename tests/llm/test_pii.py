@@ -55,3 +55,15 @@ def test_account_numbers_before_other_words():
 
 def test_long_runs_take_linear_time():
     assert find_spans("a" * 300_000 + "@") == [] and find_spans("1" * 300_000) == [] and find_spans("1." * 100_000) != [1]
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    one = "call 030 1234567 or 040 7654321, mail a@b.de, "
+    seconds = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        assert len(find_spans(one * n)) == 3 * n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 24 * seconds[0]

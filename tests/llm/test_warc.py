@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from foliospark.llm.warc import archive_pages, page_index, read_warc
+from foliospark.llm.warc import _member, archive_pages, page_index, read_warc
 
 PAGES = "page_id long, url string, html string, payload string, key string, size long"
 
@@ -54,6 +54,24 @@ def test_foreign_archives(spark, tmp_path):
     assert sorted(r["record_id"] for r in got) == [f"<urn:{i}>" for i in (1, 2, 3, 4)] and {bytes(r["payload"]) for r in got} == {b"body"}
 
 
+def test_odd_archives(spark, tmp_path):
+    """Several records in a member, headers of any length, case and number of values, members that state their length."""
+    def record(n, more=b"", length=b"content-length"):
+        return b"WARC/1.0\r\nwarc-type: resource\r\nWARC-RECORD-ID: <urn:%d>\r\n%s%s: 4\r\n\r\nab\r\n\r\n\r\n" % (n, more, length)
+
+    twice = b"WARC-Concurrent-To: <urn:x>\r\nWARC-Concurrent-To: <urn:y>\r\n"
+    long = b"X-Long: " + b"z" * (9 << 20) + b"\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(1) + record(2, twice) + record(3)) + gzip.compress(record(4)))
+    (tmp_path / "b.warc.gz").write_bytes(_member(record(5, long)) + _member(record(6) + record(7)) + _member(record(8, length=b"Content-length")))
+    (tmp_path / "c.warc").write_bytes(record(9, long) + record(10) + b"\r\n")
+    records = read_warc(spark, str(tmp_path))
+    got = {int(r["record_id"][5:-1]): r for r in records.select("record_id", "warc_type", "payload", "content_length", F.element_at("headers", "WARC-Concurrent-To").alias("to"), F.length(F.element_at("headers", "X-Long")).alias("long")).collect()}
+    assert sorted(got) == [*range(1, 11)] and all(bytes(r["payload"]) == b"ab\r\n" and r["content_length"] == 4 and r["warc_type"] == "resource" for r in got.values())
+    assert got[2]["to"] == "<urn:x>, <urn:y>" and got[5]["long"] == got[9]["long"] == 9 << 20
+    assert read_warc(spark, str(tmp_path), payload=False).filter("payload IS NULL").count() == 10
+    assert records.filter("record_id = '<urn:7>'").count() == records.filter("record_id = '<urn:5>'").count() == 1
+
+
 def test_least_size_and_empty(spark):
     kinds = {r["page_id"]: r["record_type"] for r in page_index(read_warc(spark, archive_pages(pages(spark, ROWS), min_bytes=1))).collect()}
     assert kinds[4] == "response" and kinds[2] == "revisit"
