@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import quality
-from foliospark.llm.common import bucket, cut
+from foliospark.llm.common import bucket, cut, unused
 from foliospark.llm.decontaminate import RUN, decontaminate
 from foliospark.llm.line_dedup import WHOLE, dedup_lines
 from foliospark.llm.mixing import mix
@@ -25,7 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, bucket("doc_id", 4) != 2)  # the same fold is held out as in op2
-    return quality.score_quality(docs, model, score_col="__score").filter(F.col("__score") >= LEAST_QUALITY).drop("__score")
+    score = unused(docs, "score")
+    return quality.score_quality(docs, model, score_col=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
