@@ -11,7 +11,7 @@ from foliospark.functions import text as t
 from foliospark.functions import vectors
 from foliospark.operators import corpus, ingest, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
-from foliospark.sources import files
+from foliospark.sources import files, html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -704,7 +704,7 @@ def page_lines(x):
 
 @query()
 def html_extract(x):
-    return files.html_extract(x.read("pages"))
+    return html.html_extract(x.read("pages"))
 
 
 @query()

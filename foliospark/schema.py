@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The closed domains, in their order.
@@ -17,6 +19,13 @@ ANSWER_FAILURES = (
 GENERATION_FAILURES = ("truncated", "context-exhausted", "provider-refused", "empty", "not-json", "not-an-object")
 
 
+def domain_differences(named: list[str], stored: DataFrame, column: str) -> DataFrame:
+    """value, only_in: values of a closed domain that are ``named`` here but not stored, or stored but not named; none if both agree."""
+    here = stored.sparkSession.createDataFrame([(x,) for x in named], "value string")
+    there = stored.select(F.col(column).alias("value")).distinct()
+    both = here.withColumn("a", F.lit(True)).join(there.withColumn("b", F.lit(True)), "value", "full_outer").filter("a IS NULL OR b IS NULL")
+    return both.select("value", F.when(F.col("b").isNull(), "named").otherwise("stored").alias("only_in"))
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])

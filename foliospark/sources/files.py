@@ -7,7 +7,6 @@ import json
 import re
 import uuid
 import zipfile
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +37,11 @@ def write_staged(records: DataFrame, path: str) -> str:
     out = fs.create(temporary, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(temporary, target)
+    gateway = spark.sparkContext._gateway
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(target), how)  # in one step: there is always a CURRENT
     return version
 
 
@@ -67,87 +69,6 @@ def page_links(pages: DataFrame, pattern: str = r'<a\s[^>]*href="([^"]+)"') -> D
     return pages.select("page_id", F.posexplode(found).alias("pos", "link"))
 
 
-_DROPPED = frozenset(("script", "style", "sup", "nav", "head", "noscript"))
-_BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote article section header footer br hr center".split())
-
-
-class _Blocks(HTMLParser):
-    """One line for each block inside a container; nesting need not be right. Tables are read down their columns."""
-
-    def __init__(self, container: str, wanted: str | None):
-        super().__init__(convert_charrefs=True)
-        self.container, self.wanted = container, wanted
-        self.lines, self.held = [], []
-        self.depth, self.closed, self.dropping = 0, False, []
-        self.cells: list[list[str]] | None = None
-
-    def flush(self):
-        line = " ".join("".join(self.held).split())
-        self.held = []
-        if line and self.cells is not None and self.cells:
-            self.cells[-1].append(line)
-        elif line:
-            self.lines.append(line)
-
-    def handle_starttag(self, tag, attrs):
-        if self.closed:
-            return
-        if not self.depth:
-            named = dict(attrs).get("class") or ""
-            self.depth = int(tag == self.container and (self.wanted is None or self.wanted in named.split()))
-            return
-        self.depth += tag == self.container
-        if tag in _DROPPED:
-            self.dropping.append(tag)
-        if self.dropping:
-            return
-        if tag in _BLOCKS:
-            self.flush()
-        if tag == "table":
-            self.cells = []
-        elif tag == "tr" and self.cells is not None:
-            self.cells.append([])
-
-    def handle_endtag(self, tag):
-        if self.closed or not self.depth:
-            return
-        if self.dropping:
-            if tag == self.dropping[-1]:
-                self.dropping.pop()
-            return
-        if tag in _BLOCKS:
-            self.flush()
-        if tag == "table" and self.cells is not None:
-            rows, self.cells = self.cells, None
-            for column in range(max(map(len, rows), default=0)):
-                self.lines += [r[column] for r in rows if column < len(r)]
-        if tag == self.container:
-            self.depth -= 1
-            self.closed = not self.depth
-
-    def handle_data(self, data):
-        if self.depth and not self.closed and not self.dropping:
-            self.held.append(data)
-
-
-def html_lines(html: str | None, container: str = "article", wanted: str | None = None) -> list[str]:
-    parser = _Blocks(container, wanted)
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.lines
-
-
-def html_extract(pages: DataFrame, container: str = "article", wanted: str | None = None) -> DataFrame:
-    """page_id, text: the container's blocks, one a line; no built-in function parses HTML, so this is an Arrow map."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["\n".join(html_lines(h, container, wanted)) for h in b.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
-
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, text string")
-
-
 def read_zip_members(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """path, member, text of the archives' members whose names end in ``suffix``; archives are read in parallel, members in turn."""
 
@@ -169,33 +90,115 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("name"), F.sha2("content", 256).alias("hash"), (F.sha2("content", 256) == name).alias("intact"))
 
 
-MANIFEST = {"corpus_id": t.CORPUS_ID, "language": t.LANGUAGE, "upstream_sha256": t.SHA256, "retrieved": r"^\d{4}-\d{2}-\d{2}$"}
-_REQUIRED = ("corpus_id", "work", "language", "license", "chunk_count", "upstream_sha256")
-_KNOWN = frozenset((*_REQUIRED, "author", "era", "source_language", "text_form", "edition", "attribution", "retrieved", "edition_check", "source_url", "normalisation_version"))
+def staged_ids(spark: SparkSession, path: str) -> list[str]:
+    """Names of the corpora that are staged under ``path``, sorted: folders with a version that counts, whatever is registered."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/CURRENT")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(x.getPath().getParent().getName() for x in found or ())
+
+
+def _yaml(text: str):
+    import yaml  # not everywhere: only what reads such files needs it
+
+    return yaml.safe_load(text)
+
+
+# A manifest's fields; no others are allowed.
+_STRINGS = ("corpus_id", "source_url", "archive_url", "retrieved", "upstream_sha256", "license", "license_terms", "attribution")
+_INTEGERS = ("normalisation_version", "chunk_count")
+_CHECK = ("diagnostic", "expected_sha256", "verified_by", "verified")
+_DATE = r"^\d{4}-\d{2}-\d{2}$"
+_SHAPES = {"corpus_id": t.CORPUS_ID, "upstream_sha256": t.SHA256, "retrieved": _DATE, "edition_check.expected_sha256": t.SHA256, "edition_check.verified": _DATE}
 
 
 def manifest_problems(manifest: dict) -> list[str]:
     """What is wrong with a corpus manifest, a small file read on the driver; unknown keys are wrong too."""
-    found = [f"missing {k}" for k in _REQUIRED if manifest.get(k) in (None, "")]
-    found += [f"unknown {k}" for k in manifest if k not in _KNOWN]
-    found += [f"malformed {k}" for k, p in MANIFEST.items() if manifest.get(k) and not re.search(p, str(manifest[k]))]
-    if manifest.get("license") and manifest["license"] not in s.LICENSES:
-        found.append("unknown licence")
-    if manifest.get("chunk_count") not in (None, "") and not (isinstance(manifest["chunk_count"], int) and manifest["chunk_count"] > 0):
-        found.append("malformed chunk_count")
-    return found
+    if not isinstance(manifest, dict):
+        return ["not a mapping"]
+    check = manifest.get("edition_check")
+    flat = {k: v for k, v in manifest.items() if k != "edition_check"} | ({f"edition_check.{k}": v for k, v in check.items()} if isinstance(check, dict) else {})
+    strings = [*_STRINGS, *(f"edition_check.{k}" for k in _CHECK)]
+    found = [f"missing {k}" for k in (*strings, *_INTEGERS) if k not in flat]
+    found += [f"unknown {k}" for k in flat if k not in strings and k not in _INTEGERS]
+    found += [f"empty {k}" for k in strings if k in flat and not (isinstance(flat[k], str) and flat[k].strip())]
+    found += [f"malformed {k}" for k in _INTEGERS if k in flat and not (type(flat[k]) is int and flat[k] > 0)]
+    found += [f"malformed {k}" for k, shape in _SHAPES.items() if isinstance(flat.get(k), str) and flat[k].strip() and not re.search(shape, flat[k])]
+    return found + (["unknown licence"] if flat.get("license") and flat["license"] not in s.LICENSES else [])
+
+
+def read_manifest(text: str) -> dict:
+    """A manifest from its YAML text; dates may be written bare. What is wrong with it is an error."""
+    raw = _yaml(text)
+    plain = lambda x: {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x.isoformat() if hasattr(x, "isoformat") else x
+    if problems := manifest_problems(manifest := plain(raw)):
+        raise ValueError("; ".join(problems))
+    return manifest
+
+
+# A profile's fields, by where they are.
+_PROFILE = {"": {"profile", "scripture", "corpora", "contested"}, "scripture": {"corpus_id", "stance"}, "corpora": {"id", "stance", "note", "label"}, "contested": {"locus", "ruling_source"}, "ruling_source": {"corpus_id", "locator"}}
+
+
+def read_profile(text: str) -> dict:
+    """A profile from its YAML text; a key that profiles don't have is an error, and scripture without a stance is binding."""
+    raw = _yaml(text) or {}
+    parts = [("", raw), ("scripture", raw.get("scripture") or {}), *(("corpora", c) for c in raw.get("corpora") or []), *(("contested", c) for c in raw.get("contested") or [])]
+    parts += [("ruling_source", c.get("ruling_source") or {}) for c in raw.get("contested") or []]
+    if odd := [f"{where}.{k}".lstrip(".") for where, part in parts for k in part if k not in _PROFILE[where]]:
+        raise ValueError(f"unknown {', '.join(odd)}")
+    scripture = {"stance": "binding"} | {k: v for k, v in (raw.get("scripture") or {}).items() if v}
+    return raw | {"scripture": scripture}
+
+
+def bless(spark: SparkSession, records: DataFrame, manifest: dict, path: str) -> None:
+    """Write a corpus's fingerprints and then its manifest under ``path``; what a manifest must hold is checked before anything is written."""
+    held = records.filter(F.col("corpus_id") == manifest.get("corpus_id", ""))
+    problems = manifest_problems(manifest)
+    if not problems and held.count() != manifest["chunk_count"]:
+        problems = ["chunk_count is not the number of records"]
+    if not problems:
+        check = manifest["edition_check"]
+        if held.filter((F.col("locator") == check["diagnostic"]) & (F.col("content_hash") == check["expected_sha256"])).isEmpty():
+            problems = ["the diagnostic record does not hash to what was read"]
+    if problems:
+        raise ValueError("; ".join(problems))
+    render_fingerprints(held).select("value").write.mode("overwrite").text(f"{path}/{manifest['corpus_id']}/fingerprints")
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{manifest['corpus_id']}/manifest")
+
+
+def answer_fields(kind: T.DataType = s.ANSWER) -> dict[str, bool]:
+    """Structs of an answer by their fields' names, and whether they only ever come in lists."""
+    seen: dict[str, bool] = {}
+
+    def walk(x: T.DataType, listed: bool):
+        if isinstance(x, T.ArrayType):
+            walk(x.elementType, True)
+        elif isinstance(x, T.StructType):
+            name = ",".join(x.names)
+            seen[name] = seen.get(name, True) and listed
+            for f in x:
+                walk(f.dataType, False)
+
+    walk(kind, False)
+    return seen
 
 
 def answer_json_schema() -> str:
-    """JSON Schema of an answer object, from its struct: nothing else is allowed, and confidence is not the model's to give."""
+    """JSON Schema of an answer object, from its struct: nothing else is allowed, and confidence is not the model's to give.
+
+    Objects that only come in lists need all their fields, since an empty one would count; others need none.
+    Tiers are a closed domain.
+    """
+    listed = answer_fields()
 
-    def of(kind: T.DataType) -> dict:
+    def of(kind: T.DataType, name: str) -> dict:
         if isinstance(kind, T.ArrayType):
-            return {"type": "array", "items": of(kind.elementType)}
+            return {"type": "array", "items": of(kind.elementType, "")}
         if isinstance(kind, T.StructType):
-            return {"type": "object", "properties": {f.name: of(f.dataType) for f in kind}, "additionalProperties": False}
+            fields = {f.name: of(f.dataType, f.name) for f in kind if f.name != "confidence"}
+            return {"type": "object", "properties": fields, "required": list(fields) if listed[",".join(kind.names)] else [], "additionalProperties": False}
+        if name == "tier":
+            return {"type": "string", "enum": ["TIER_UNSPECIFIED", *(f"TIER_{x.upper()}" for x in s.TIERS)]}
         return {"type": "boolean" if isinstance(kind, T.BooleanType) else "string"}
 
-    whole = of(s.ANSWER)
-    del whole["properties"]["confidence"]
-    return json.dumps(whole)
+    return json.dumps(of(s.ANSWER, ""))

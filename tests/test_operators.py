@@ -151,18 +151,43 @@ def test_segments(spark):
     assert segments(segment.segment_questions(docs(spark, "TITLE\nQ. 1. What?\nA. That.\nAnd so.\nDIVISION II\nQ. 2. Who?\nA. They."))) == {"WSC Q&A 1": "What?\nThat.\nAnd so.", "WSC Q&A 2": "Who?\nThey."}
     assert segments(segment.segment_paragraphs(docs(spark, "CHAPTER 1\nA title\n1-1. One\nmore\n1-2. Two\nCHAPTER 2\n(Vacated)"))) == {"BCO 1-1": "One more", "BCO 1-2": "Two"}
     assert segments(segment.segment_verses(docs(spark, "GEN 1:1 In it\nGEN 1:2\nbad"))) == {"GEN 1:1": "In it"}
-    assert segments(segment.segment_headed(docs(spark, "First part\n\nOne line.\nGoes on.\n\nTwo.\n\nSecond part\n\nThree."))) == {"GA28 1.1": "One line. Goes on.", "GA28 1.2": "Two.", "GA28 2.1": "Three."}
+    assert segments(segment.segment_paragraphs(docs(spark, "CHAPTER 36\n36-7. One\n36\n-8. Two\nmore"))) == {"BCO 36-7": "One", "BCO 36-8": "Two more"}
     assert [r["text"] for r in segment.text_region(docs(spark, "a\nSTART\nb[12]\n-----\nc\nEND\nd"), "START", "END").collect()] == ["b\n\nc"]
     bad = segment.checked(spark.createDataFrame([(1, "L 1", ""), (1, "L  2", "x"), (1, "L 3", "x"), (1, "L 3", "y")], "doc_id long, locator string, text string"))
     assert {k: v.count() for k, v in bad.items()} == {"empty": 1, "bad_locator": 1, "duplicate": 1}
 
 
-def test_more_segments(spark):
-    text = "BOOK 1\nCHAPTER 1\n1. First title\n2. Second title\n\n1. Body one\ngoes on.\n\nNext paragraph.\n7. a list\n2. Body two\nCHAPTER 2\n1. Alone\nBOOK 2\nCHAPTER 1\n1. New"
+def test_books(spark):
+    text = "   1. Dedication\n\nof it\nINSTITUTES\nBOOK FIRST.\n CHAPTER 1\n   1. First title\n   2. Second title\n\n   1. Body one\ngoes on.\nARGUMENT.\nstill\n\nNext paragraph.\n   7. a list\n   2. Body two\nCHAPTER [x]\n   1. Alone\nBOOK SECOND\nCHAPTER 1\n   1. New"
     assert segments(segment.segment_books(docs(spark, text))) == {
-        "Inst. 1.1.1.p1": "Body one goes on.", "Inst. 1.1.1.p2": "Next paragraph. 7. a list", "Inst. 1.1.2.p1": "Body two", "Inst. 1.2.1.p1": "Alone", "Inst. 2.1.1.p1": "New",
+        "Inst. Pref.1.p1": "Dedication", "Inst. Pref.1.p2": "of it", "Inst. 1.1.1.p1": "Body one goes on. still", "Inst. 1.1.1.p2": "Next paragraph. 7. a list", "Inst. 1.1.2.p1": "Body two", "Inst. 1.2.1.p1": "Alone", "Inst. 2.1.1.p1": "New",
     }
-    assert segments(segment.segment_roman_sections(docs(spark, "CHAPTER IV\n1. One\nCHAPTER V\n1. Two"))) == {"WCF 4.1": "One", "WCF 5.1": "Two"}
+
+
+def test_roman_sections(spark):
+    text = "Chapter I\nI. One\nmore\nPrevious | Next | Contents\nII. Two\nCHAPTER II. Of it\nUnnumbered text.\ngoes on"
+    assert segments(segment.segment_roman_sections(docs(spark, text))) == {"WCF 1.1": "One\nmore", "WCF 1.2": "Two", "WCF 2.1": "Unnumbered text.\ngoes on"}
+
+
+def test_headings(spark):
+    long = "# " + "b" * 121
+    text = f"front\n# I. Part\nP one.\n\nP two.\n# A. Sub\nP three.\n# 1. Third\nP four.\n# Conclusion\nP five.\n{long}\n# B. Next\nP six.\n# II. Other\nP seven.\n# Recommendations\nWe recommend:\n1. First.\n2. Second."
+    assert segments(segment.segment_headed(docs(spark, text))) == {
+        "GA28 I.1": "P one.", "GA28 I.2": "P two.", "GA28 I.A.1": "P three.", "GA28 I.A.1.1": "P four.", "GA28 I.A.1.2": "P five.", "GA28 I.A.1.3": "b" * 121, "GA28 I.B.1": "P six.", "GA28 II.1": "P seven.",
+        "GA28 Rec.1": "First.", "GA28 Rec.2": "Second.",
+    }
+
+
+def test_canonical_order(spark):
+    rows = spark.createDataFrame([(1, i, c) for i, c in enumerate(("GEN", "GEN", "EXO"))] + [(2, i, c) for i, c in enumerate(("EXO", "GEN"))] + [(3, 0, "GEN")], "doc_id long, n int, code string")
+    got = segment.out_of_order(rows, "doc_id", "n", "code", ["GEN", "EXO"]).collect()
+    assert sorted(map(tuple, got)) == [(2, "EXO", 0, "GEN"), (3, None, 1, "EXO")]
+
+
+def test_contiguity_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(segment, "STRETCH", 4)
+    rows = spark.createDataFrame([("a", n) for n in (1, 2, 3, 4, 5, 9, 10, 30)] + [("b", 2), ("b", 3)], "g string, n long")
+    assert sorted(map(tuple, segment.contiguity(rows, "g", "n").collect())) == [("a", 9, 6), ("a", 30, 11), ("b", 2, 1)]
 
 
 def test_rendered_answers(spark):

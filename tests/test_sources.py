@@ -4,7 +4,7 @@ import zipfile
 import pytest
 
 from foliospark.operators.trace import trace_tables
-from foliospark.sources import files
+from foliospark.sources import files, html
 
 
 def test_staged_records_round_trip(spark, tmp_path):
@@ -35,8 +35,26 @@ def test_fingerprint_files(spark):
 
 def test_html():
     page = '<nav>no</nav><div class="x text"><h2>Head</h2><p>One <b>two</b><br>three &amp; <sup>1</sup>four<table><tr><td>a<td>b</tr><tr><td>c<td>d</tr></table><script>x()</script><div>in</div></p></div><p>after</p>'
-    assert files.html_lines(page, "div", "text") == ["Head", "One two", "three & four", "a", "c", "b", "d", "in"]
-    assert files.html_lines(None) == [] and files.html_lines("<article>open") == ["open"]
+    assert html.html_lines(page, "div", "text") == ["Head", "One two", "three & four", "a", "c", "b", "d", "in"]
+    assert html.html_lines(None) == [] and html.html_lines("<article>open") == ["open"]
+    assert html.html_lines("<div class=a>x<nav><div>n</div></nav>y</div><div>after</div>", "div", "a") == ["xy"]
+
+
+def test_main_block():
+    page = lambda body: f'<div class="header"><p>Nav.</p></div><div class="mainBlock"><h1>Title</h1>{body}</div><div class="foot"><p>Foot.</p></div>'
+    lines = lambda body: html.main_lines(page(body))
+    assert lines("<ol><li>Index.</li></ol><p>Body.<sup>[a]</sup></p>") == ["Body."]
+    assert lines("<h3>CHAPTER 1<br /><i>Of it</i></h3><p>First.<br />\nSecond.</p>") == ["CHAPTER 1 Of it", "First.", "Second."]
+    assert lines("<p>Closed.</p><p>Never closed.") == ["Closed.", "Never closed."]
+    assert lines("<center>Mid</p></center><table><tr><td>1</td><td>4</td></tr><tr><td>2</td></tr><tr><td>3</td><td>5</td></tr></table>tail") == ["Mid", "1", "2", "3", "4", "5", "tail"]
+    assert html.main_lines("<p>no container</p>") == []
+
+
+def test_report_and_built_pages():
+    raw = '<p><b>REPORT</b></p><table><tr><td>index</td></tr></table><p>REPORT</p><p><b>I. Part <i>one</i></b></p><p>It\x92s <b>bold</b> here.<a href="#_ftn1" name="_ftnref1">[1]</a></p><div id="ftn1"><p>note</p></div>'.encode("latin-1")
+    assert html.report_lines(raw, "REPORT") == ["# I. Part one", "It\u2019s bold here."]
+    page = '<h1 class="t big">Chapter I</h1><p>menu</p><div class="body"><p>I. One<a href="x.html#fn3">[3]</a></p><div><p>two</p></div></div><h1 class="t">Chapter II</h1>'
+    assert html.built_lines(page, "t", "body") == ["Chapter I", "I. One", "two", "Chapter II"]
 
 
 def test_archives_and_blobs(spark, tmp_path):
@@ -51,12 +69,61 @@ def test_archives_and_blobs(spark, tmp_path):
     assert sorted(r["intact"] for r in files.read_blobs(spark, str(tmp_path / "blobs")).collect()) == [False, True]
 
 
-def test_manifests_and_answer_schema():
-    good = {"corpus_id": "a-b", "work": "w", "language": "en", "license": "cc-by", "chunk_count": 3, "upstream_sha256": "a" * 64}
-    assert files.manifest_problems(good) == []
-    assert files.manifest_problems(good | {"corpus_id": "bare", "license": "x", "chunk_count": "3", "odd": 1, "work": ""}) == ["missing work", "unknown odd", "malformed corpus_id", "unknown licence", "malformed chunk_count"]
+MANIFEST = """
+corpus_id: a-b
+source_url: http://x
+archive_url: http://y
+retrieved: 2026-01-02
+upstream_sha256: HASH
+license: cc-by
+license_terms: terms
+attribution: someone
+normalisation_version: 1
+chunk_count: 2
+edition_check:
+  diagnostic: L 1
+  expected_sha256: HASH
+  verified_by: a reader
+  verified: 2026-01-03
+""".replace("HASH", "a" * 64)
+
+
+def test_manifests_and_profiles(spark, tmp_path):
+    pytest.importorskip("yaml")
+    good = files.read_manifest(MANIFEST)
+    assert files.manifest_problems(good) == [] and good["retrieved"] == "2026-01-02"
+    bad = good | {"corpus_id": "bare", "license": "x", "chunk_count": "3", "odd": 1, "attribution": " ", "edition_check": {"diagnostic": "L 1"}}
+    assert files.manifest_problems(bad) == [
+        "missing edition_check.expected_sha256", "missing edition_check.verified_by", "missing edition_check.verified", "unknown odd", "empty attribution", "malformed chunk_count", "malformed corpus_id", "unknown licence"]
+    with pytest.raises(ValueError, match="unknown odd"):
+        files.read_manifest(MANIFEST + "odd: 1\n")
+    profile = files.read_profile("profile: p\nscripture: {corpus_id: s-x}\ncorpora: [{id: a-b, stance: advisory}]\n")
+    assert profile["scripture"] == {"corpus_id": "s-x", "stance": "binding"}
+    with pytest.raises(ValueError, match="unknown corpora.stanse"):
+        files.read_profile("corpora: [{id: a-b, stanse: x}]")
+    records = spark.createDataFrame([("a-b", "L 2", "b" * 64), ("a-b", "L 1", "a" * 64), ("c-d", "L 1", "a" * 64)], "corpus_id string, locator string, content_hash string")
+    files.bless(spark, records, good, f"file://{tmp_path}")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/a-b/fingerprints").collect()] == [f"L 1  {'a' * 64}", f"L 2  {'b' * 64}"]
+    for wrong in (good | {"chunk_count": 3}, good | {"edition_check": good["edition_check"] | {"diagnostic": "L 2"}}):
+        with pytest.raises(ValueError):
+            files.bless(spark, records, wrong, f"file://{tmp_path}/no")
+
+
+def test_staged_ids(spark, tmp_path):
+    frame = spark.createDataFrame([("a-b", "L 1")], "corpus_id string, locator string")
+    for name in ("z-y", "a-b"):
+        files.write_staged(frame, f"file://{tmp_path}/{name}")
+    (tmp_path / "unfinished").mkdir()
+    assert files.staged_ids(spark, f"file://{tmp_path}") == ["a-b", "z-y"] and files.staged_ids(spark, f"file://{tmp_path}/none") == []
+
+
+def test_answer_schema():
     schema = json.loads(files.answer_json_schema())
-    assert "confidence" not in schema["properties"] and schema["additionalProperties"] is False and schema["properties"]["contested"]["properties"]["is_contested"] == {"type": "boolean"}
+    of = schema["properties"]
+    assert "confidence" not in of and schema["additionalProperties"] is False and schema["required"] == []
+    assert of["contested"]["properties"]["is_contested"] == {"type": "boolean"} and of["contested"]["required"] == []
+    cited = of["arguments"]["items"]["properties"]["citations"]["items"]
+    assert cited["required"] == ["corpus_id", "locator", "tier", "quote"] and cited["properties"]["tier"]["enum"][:2] == ["TIER_UNSPECIFIED", "TIER_BINDING"]
 
 
 TURN = """request_id long, profile string, query string, overall_result string, answer string, confidence_level string, confidence_reason string, gateway_version string, created_at timestamp, attempts array<struct<attempt:int,rewritten_query:string,embedding_model:string,dim:int,
