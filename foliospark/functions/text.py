@@ -92,6 +92,24 @@ def roman(numeral: Column) -> Column:
     return F.aggregate(digits, start, step, lambda s: s["sum"])
 
 
+# How white space is shown.
+PILCROW, OPEN_BOX = "¶", "␣"
+
+
+def visible(text: Column) -> Column:
+    """``text`` as HTML in which what normalisation removes or squeezes can be seen; line breaks stay breaks, behind a pilcrow."""
+    out = text
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    gone = {c: f'<span class="gone" title="U+{ord(c):04X}, removed by step 0">U+{ord(c):04X}</span>' for c in REMOVED}
+    points = [*range(0x9, 0xA), *range(0xB, 0xE), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    shown = {chr(p): f'<span class="ws" title="U+{p:04X}">{OPEN_BOX}</span>' for p in points}
+    shown = gone | shown | {"\n": f'<span class="ws">{PILCROW}</span>\n'}
+    marks = F.create_map(*[F.lit(x) for pair in shown.items() for x in pair])
+    pieces = F.regexp_extract_all(out, F.lit(f"([{WHITESPACE}{REMOVED}&&[^ ]]|[[^{WHITESPACE}{REMOVED}][ ]]+)"), 1)
+    return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(marks, x), x)), "")
+
+
 def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 

@@ -61,7 +61,7 @@ def staged_counts(records: DataFrame, works: DataFrame) -> DataFrame:
 
 def citation_sources(spec: DataFrame, works: DataFrame, labels: DataFrame) -> DataFrame:
     """Corpora of a filter spec as shown beside citations; those without a work are left out."""
-    return spec.join(works, "corpus_id").join(F.broadcast(labels), "corpus_id", "left").select("corpus_id", "tier", "work", "author", "license", F.coalesce("label", F.lit("")).alias("label"))
+    return spec.join(works, "corpus_id").join(labels, "corpus_id", "left").select("corpus_id", "tier", "work", "author", "license", F.coalesce("label", F.lit("")).alias("label"))
 
 
 def locator_valid(records: DataFrame) -> DataFrame:

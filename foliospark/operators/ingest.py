@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
+from foliospark.storage import written
 
 #: Fixed value: padded tokens of an embedding batch.
 BATCH_BUDGET = 16_384
@@ -29,14 +30,50 @@ def diff_summary(diff: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return diff.groupBy("class").agg(F.count(F.lit(1)).alias("n")).join(shown, "class")
 
 
-def verify_report(diff: DataFrame, committed: DataFrame, acquired: DataFrame) -> DataFrame:
-    """For each corpus of either side: counts of the three classes, whether chunk counts agree, and whether all is well."""
+def verify_report(diff: DataFrame, committed: DataFrame, acquired: DataFrame, manifests: DataFrame | None = None, fetched: DataFrame | None = None) -> DataFrame:
+    """For each corpus of either side: counts of the three classes, whether chunk counts agree, and whether all is well.
+
+    With ``manifests`` (corpus_id, diagnostic, expected_sha256, upstream_sha256) and ``fetched`` (corpus_id,
+    upstream_sha256) also edition (matches, changed, gone, or unblessed without a manifest), which must match,
+    and whether the bytes upstream are others, which is reported and fails nothing.
+    """
     n = lambda df, name: df.groupBy("corpus_id").agg(F.count(F.lit(1)).alias(name))
     classes = diff.groupBy("corpus_id").agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("missing", "unexpected", "mismatched")])
     rows = n(committed, "committed_count").join(n(acquired, "acquired_count"), "corpus_id", "full_outer").join(classes, "corpus_id", "left").na.fill(0)
     clean = (F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("mismatched") == 0)
     same = F.col("committed_count") == F.col("acquired_count")
-    return rows.select("corpus_id", "committed_count", "acquired_count", "missing", "unexpected", "mismatched", same.alias("count_ok"), (clean & same).alias("ok"))
+    columns = ["corpus_id", "committed_count", "acquired_count", "missing", "unexpected", "mismatched", same.alias("count_ok")]
+    if manifests is None:
+        return rows.select(*columns, (clean & same).alias("ok"))
+    held = acquired.select("corpus_id", F.col("locator").alias("diagnostic"), F.col("sha256").alias("found"))
+    read = manifests.join(held, ["corpus_id", "diagnostic"], "left").select("corpus_id", "expected_sha256", "found", "upstream_sha256")
+    rows = rows.join(read, "corpus_id", "left").join(fetched.select("corpus_id", F.col("upstream_sha256").alias("now")), "corpus_id", "left")
+    edition = F.when(F.col("expected_sha256").isNull(), "unblessed").when(F.col("found").isNull(), "gone").when(F.col("found") != F.col("expected_sha256"), "changed").otherwise("matches")
+    return rows.withColumn("edition", edition).select(
+        *columns, "edition", F.coalesce(F.col("now") != F.col("upstream_sha256"), F.lit(False)).alias("upstream_drifted"), (clean & same & (F.col("edition") == "matches")).alias("ok"))
+
+
+def manifest_mismatches(manifests: DataFrame, adapters: DataFrame, fields: list[str]) -> DataFrame:
+    """corpus_id, field: where a blessed manifest and the code that acquires its corpus disagree; one was changed without the other."""
+    other = adapters.select("corpus_id", *[F.col(f).alias(f"their_{f}") for f in fields])
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"their_{f}")), F.lit(f)) for f in fields]))
+    return manifests.join(other, "corpus_id").select("corpus_id", F.explode(wrong).alias("field"))
+
+
+def ingest_refusals(staged: DataFrame, committed: DataFrame) -> DataFrame:
+    """corpus_id, refusal of staged corpora that may not be ingested: never blessed, or not what was blessed.
+
+    Hashes are taken over the staged texts, not believed. A corpus with any missing, unexpected or mismatched
+    locator is refused, and nothing of it is written.
+    """
+    corpora = staged.select("corpus_id").distinct()
+    ours = committed.join(corpora, "corpus_id", "left_semi")
+    now = staged.select("corpus_id", "locator", t.fingerprint(F.col("text")).alias("sha256"))
+    n = fingerprint_diff(ours, now).groupBy("corpus_id").agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("missing", "unexpected", "mismatched")])
+    rows = corpora.join(ours.select("corpus_id").distinct().withColumn("known", F.lit(True)), "corpus_id", "left").join(n, "corpus_id", "left")
+    moved = F.format_string("disagrees with what was blessed: %d missing, %d unexpected, %d mismatched", "missing", "unexpected", "mismatched")
+    refusal = F.when(F.col("known").isNull(), "never blessed").when(F.col("missing").isNotNull(), moved)
+    return rows.select("corpus_id", refusal.alias("refusal")).filter("refusal IS NOT NULL")
 
 
 def corpus_status(committed: DataFrame, acquired: DataFrame) -> DataFrame:
@@ -96,8 +133,11 @@ def apply_text(chunks: DataFrame, staged: DataFrame, version: int = t.NORMALISAT
     same = F.col("content_hash") == F.col("o_hash")
     kept = rows.filter("id IS NOT NULL").select("id", "corpus_id", "locator", F.when(same, F.col("o_text")).otherwise(F.col("text")).alias("text"), "content_hash", F.when(same, F.col("o_version")).otherwise(F.lit(version)).alias("normalisation_version"))
     top = chunks.agg(F.max("id")).first()[0] or 0
-    keys = rows.filter("id IS NULL").select("corpus_id", "locator").orderBy("corpus_id", "locator")
-    ids = keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] + top + 1)).toDF("corpus_id string, locator string, id long")
+    # places in a distributed sort: of the row in its partition, after the rows of the partitions before
+    keys = rows.filter("id IS NULL").select("corpus_id", "locator").orderBy("corpus_id", "locator").withColumn("at", F.monotonically_increasing_id())
+    keys = written(keys, "new-chunks").withColumns({"part": F.shiftright("at", 33), "in_part": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    ids = keys.join(before, "part").select("corpus_id", "locator", (F.col("in_part") + F.col("before") + top + 1).alias("id"))
     new = rows.filter("id IS NULL").drop("id").join(ids, ["corpus_id", "locator"]).select("id", "corpus_id", "locator", "text", "content_hash", F.lit(version).alias("normalisation_version"))
     return kept.unionByName(new)
 
@@ -134,17 +174,34 @@ def _fold(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["corpus_id", "words", "batch0", "fill0", "room"])
 
 
+#: Ids of a stretch, within which rows of a length are numbered by one task.
+STRETCH = 1 << 16
+
+
 def batch_pack(backlog: DataFrame, budget: int = BATCH_BUDGET) -> DataFrame:
     """id, corpus_id, words, batch: shortest first, a batch ends when one more would pad it beyond ``budget`` words.
 
     Batches follow from the counts of each length, which are folded corpus by corpus; rows then find their
-    batch by their rank among those of their length, so no corpus is gathered.
+    batch by their rank among those of their length: the rows of earlier stretches of ids, and their place in
+    their own. So neither a corpus nor a length is gathered.
     """
-    rows = backlog.select("id", "corpus_id", t.word_count(F.col("text")).cast("long").alias("words"))
-    counts = rows.groupBy("corpus_id", "words").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(backlog.select("id", "corpus_id", t.word_count(F.col("text")).cast("long").alias("words"), F.floor(F.col("id") / STRETCH).alias("stretch")), "batch-words")
+    parts = rows.groupBy("corpus_id", "words", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    counts = parts.groupBy("corpus_id", "words").agg(F.sum("n").alias("n"))
     starts = counts.groupBy("corpus_id").applyInPandas(lambda pdf: _fold(pdf, budget), "corpus_id string, words long, batch0 long, fill0 long, room long")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("corpus_id", "words").orderBy("id")) - 1).join(starts, ["corpus_id", "words"])
+    before = F.sum("n").over(Window.partitionBy("corpus_id", "words").orderBy("stretch")) - F.col("n")
+    starts = parts.select("corpus_id", "words", "stretch", before.alias("before")).join(starts, ["corpus_id", "words"])
+    place = F.row_number().over(Window.partitionBy("corpus_id", "words", "stretch").orderBy("id")) - 1
+    ranked = rows.withColumn("place", place).join(starts, ["corpus_id", "words", "stretch"])
     full = (F.col("fill0") > 0) & (F.col("fill0") >= F.col("room"))
-    seat = F.col("r") + F.when(full, 0).otherwise(F.col("fill0"))
+    seat = F.col("before") + F.col("place") + F.when(full, 0).otherwise(F.col("fill0"))
     batch = F.col("batch0") + F.when(full, 1).otherwise(0) + F.floor(seat / F.col("room"))
     return ranked.select("id", "corpus_id", "words", batch.cast("long").alias("batch"))
+
+
+def write_embeddings(vectors: DataFrame, model: str, dim: int, path: str) -> None:
+    """Append a batch of vectors (chunk_id, embedding) of ``model``: all of it or, if a vector has another length than ``dim`` or the write fails, nothing."""
+    if odd := vectors.filter(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).take(1):
+        raise ValueError(f"the vector of chunk {odd[0]['chunk_id']} does not have {dim} numbers")
+    rows = vectors.select("chunk_id", F.lit(model).alias("embedding_model"), F.lit(dim).alias("dim"), F.col("embedding").cast("array<float>"))
+    rows.write.mode("append").parquet(path)

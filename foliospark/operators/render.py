@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark import schema as s
 from foliospark.functions import text as t
+from foliospark.operators.verify import looked_up
 
 # What is shown where there is nothing to show.
 REFUSAL = "I can't source this adequately."
@@ -16,14 +17,14 @@ NO_ANSWER = "I couldn't produce an answer for this question."
 _LINES = "array<string>"
 
 
-def render_answers(turns: DataFrame, sources: list[dict], key: str = "request_id") -> DataFrame:
-    """key, line_no, line of turns (key, outcome, answer); ``sources`` (corpus_id, tier, work, edition, label) are a profile's few corpora.
+def render_answers(turns: DataFrame, sources: DataFrame, key: str = "request_id") -> DataFrame:
+    """key, line_no, line of turns (key, outcome, answer); ``sources``: corpus_id, tier, work, edition, label, a row for each corpus.
 
     Slots come in their order, quotes whole. A degraded turn shows the refusal and its confidence, a failed
     generation one line, a silent answer its reason.
     """
-    facts = {c: F.create_map(*[F.lit(x) for r in sources for x in (r["corpus_id"], r.get(c) or "")]) if sources else F.create_map().cast("map<string,string>") for c in ("tier", "work", "edition", "label")}
-    of = lambda c, corpus: F.trim(F.coalesce(F.element_at(facts[c], corpus), F.lit("")))
+    turns = looked_up(turns, sources.select("corpus_id", "tier", "work", "edition", "label"), key, "facts")
+    of = lambda c, corpus: F.trim(F.coalesce(F.element_at(F.col("facts"), corpus)[c], F.lit("")))
     a = F.col("answer")
     none = F.array().cast(_LINES)
     given = lambda cond, *lines: F.when(cond, F.array(*lines)).otherwise(none)

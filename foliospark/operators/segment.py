@@ -82,12 +82,12 @@ def split_runs(rows: DataFrame, key: str, order: str, code: str) -> DataFrame:
 
 
 def out_of_order(rows: DataFrame, key: str, order: str, code: str, canon: list[str]) -> DataFrame:
-    """key, code, at, expected: the first place where a document's codes, by first appearance, leave the canonical order, or where codes are missing."""
+    """key, code, place, expected: the first place where a document's codes, by first appearance, leave the canonical order, or where codes are missing."""
     first = rows.groupBy(key, code).agg(F.min(order).alias("first")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", code))).alias("found"))
     found = first.select(key, F.transform("found", lambda x: x[code]).alias("found"))
     pairs = F.arrays_zip("found", F.array(*map(F.lit, canon)).alias("canon"))
-    wrong = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("at"), x["found"].alias(code), x["canon"].alias("expected"))), lambda x: ~x[code].eqNullSafe(x["expected"]))
-    return found.select(key, F.get(wrong, F.lit(0)).alias("x")).filter("x IS NOT NULL").select(key, F.col(f"x.{code}"), "x.at", "x.expected")
+    wrong = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("place"), x["found"].alias(code), x["canon"].alias("expected"))), lambda x: ~x[code].eqNullSafe(x["expected"]))
+    return found.select(key, F.get(wrong, F.lit(0)).alias("x")).filter("x IS NOT NULL").select(key, F.col(f"x.{code}"), "x.place", "x.expected")
 
 
 def _upto(key: str, *more: str):

@@ -143,16 +143,28 @@ def recall_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", "relevant", "hits", F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"))
 
 
+#: Bins in which values are counted before the bin that holds a rank is looked into.
+BINS = 4096
+
+
 def nearest_rank(samples: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
     """Percentiles without interpolation: the sample at (0-based) n * p // 100 in order.
 
-    Values are counted before they are ranked, so a group costs as many rows as it has different values.
+    Values are counted in bins between a group's least and greatest; only the bin that holds the rank is
+    ordered, by distinct values with their counts.
     """
-    counts = samples.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by)
-    ranked = counts.select(by, value, F.sum("n").over(w.orderBy(value)).alias("upto"), F.sum("n").over(w).alias("all"))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("all") * p / 100), F.col(value)))
-    return ranked.groupBy(by).agg(F.max("all").alias("samples"), *[at(p).alias(f"p{p}") for p in percents])
+    rows = samples.filter(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
+    ends = rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("all")).withColumnRenamed("g", "of")
+    bin_ = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).cast("int")
+    rows = rows.join(ends, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "all", bin_.alias("bin"))
+    counts = rows.groupBy("g", "all", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("bin")))
+    at = counts.select("g", "bin", "n", "upto", F.explode(F.array(*map(F.lit, percents))).alias("p"), "all").withColumn("rank", F.floor(F.col("all") * F.col("p") / 100))
+    at = at.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select(F.col("g").alias("of"), F.col("bin").alias("in_bin"), "p", (F.col("rank") - F.col("upto") + F.col("n")).alias("skip"))
+    inside = rows.join(at, F.col("g").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("in_bin"))).groupBy("g", "all", "p", "skip", "v").agg(F.count(F.lit(1)).alias("n"))
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("g", "p").orderBy("v"))).filter(F.col("upto") > F.col("skip"))
+    found = inside.groupBy("g", "all", "p").agg(F.min("v").alias("v"))
+    return found.groupBy(F.col("g").alias(by)).agg(F.max("all").alias("samples"), *[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
 
 
 def render_candidates(candidates: DataFrame, tiers: DataFrame) -> DataFrame:
@@ -160,7 +172,7 @@ def render_candidates(candidates: DataFrame, tiers: DataFrame) -> DataFrame:
     state = F.when(F.col("included"), "included").otherwise("dropped")
     reason = F.when(F.trim("exclusion_reason") == "", "").otherwise(F.concat(F.lit("  ("), F.trim("exclusion_reason"), F.lit(")")))
     line = F.format_string("    %3d  %.4f  %-8s [%s] %s %s", "rank", F.coalesce("score", F.lit(0.0)), state, F.coalesce("tier", F.lit("unspecified")), "corpus_id", "locator")
-    return candidates.join(F.broadcast(tiers.select("corpus_id", "tier")), "corpus_id", "left").select("query_id", "rank", F.concat(line, reason).alias("line"))
+    return candidates.join(tiers.select("corpus_id", "tier"), "corpus_id", "left").select("query_id", "rank", F.concat(line, reason).alias("line"))
 
 
 def profile_violations(profile: dict, ingested: set[str]) -> list[tuple[str, str]]:

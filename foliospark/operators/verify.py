@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,7 +61,7 @@ def verify_citations(citations: DataFrame, chunks: DataFrame, works: DataFrame,
     """
     tiers = spec.groupBy("corpus_id").agg(F.max_by("tier", "position").alias("spec_tier"))
     have = chunks.select("corpus_id", "locator", F.col("text").alias("chunk_text"), "normalisation_version").join(works.select("corpus_id", "license"), "corpus_id")
-    rows = citations.join(have, ["corpus_id", "locator"], "left").join(F.broadcast(tiers), "corpus_id", "left")
+    rows = citations.join(have, ["corpus_id", "locator"], "left").join(tiers, "corpus_id", "left")
     quote = t.normalise(F.col("quote"))
     rows = rows.withColumn("norm_quote", quote).withColumn("norm_chunk", t.normalise(F.col("chunk_text")))
     resolved = F.col("chunk_text").isNotNull()
@@ -83,19 +85,33 @@ def verify_citations(citations: DataFrame, chunks: DataFrame, works: DataFrame,
     return rows.select(*[F.col(c) for c in citations.columns], *[c.alias(k) for k, c in checks.items()])
 
 
-def _tier(spec: list[tuple[str, str]]):
-    """Tier of a corpus under a profile's few lines; later lines win."""
-    table = F.create_map(*[F.lit(x) for pair in dict(spec).items() for x in pair]) if spec else F.create_map().cast("map<string,string>")
-    return lambda corpus: F.element_at(table, corpus)
+def looked_up(answers: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """``answers`` with ``name``: a map from the corpora that an answer cites to their rows in ``table`` (corpus_id, others). A table of any size is joined, never a literal."""
+    a = F.col("answer")
+    none = F.array().cast("array<string>")
+    of = lambda slot: F.coalesce(F.flatten(F.transform(a[slot], lambda x: F.coalesce(F.transform(x["citations"], lambda c: c["corpus_id"]), none))), none)
+    cited = F.array_distinct(F.concat(*map(of, SLOTS[:3]), F.coalesce(F.transform(a["contested"]["citations"], lambda c: c["corpus_id"]), none)))
+    row = F.struct(*[c for c in table.columns if c != "corpus_id"])
+    named = answers.select(key, F.explode(cited).alias("corpus_id")).join(table, "corpus_id").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("corpus_id", row))).alias(name))
+    return answers.join(named, key, "left")
+
+
+def _tiers(spec: DataFrame) -> DataFrame:
+    """Tier of each corpus of a filter spec (corpus_id, tier, position); later lines win."""
+    return spec.groupBy("corpus_id").agg(F.max_by("tier", "position").alias("tier"))
+
 
+def _tier(corpus: Column) -> Column:
+    return F.element_at(F.col("tiers"), corpus)["tier"]
 
-def answer_failures(answers: DataFrame, results: DataFrame, spec: list[tuple[str, str]], loci: list[tuple[str, str, str]], key: str = "answer_id") -> DataFrame:
+
+def answer_failures(answers: DataFrame, results: DataFrame, spec: DataFrame, loci: list[tuple[str, str, str]], key: str = "answer_id") -> DataFrame:
     """key, ord, code, slot, corpus_id, locator: the answer-level rules that each answer breaks, in order of emission.
 
-    ``spec`` (corpus, tier) and ``loci`` (locus, corpus, locator) are a profile's lines. A ruling counts as cited
-    while uncontested only where its citation passed all four checks in ``results``.
+    ``spec`` (corpus_id, tier, position) is a table, ``loci`` (locus, corpus, locator) a profile's lines. A ruling
+    counts as cited while uncontested only where its citation passed all four checks in ``results``.
     """
-    tier = _tier(spec)
+    tier, answers = _tier, looked_up(answers, _tiers(spec), key, "tiers")
     a = F.col("answer")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     refs = results.filter("failure_detail = ''").select(key, F.struct("slot_order", "i", "j", "corpus_id", "locator").alias("ref"))
@@ -145,9 +161,9 @@ def answer_failures(answers: DataFrame, results: DataFrame, spec: list[tuple[str
     return rows.select(key, F.posexplode(broken).alias("ord", "f")).select(key, "ord", "f.*")
 
 
-def confidence(answers: DataFrame, spec: list[tuple[str, str]], key: str = "answer_id", attempt: str = "attempt") -> DataFrame:
+def confidence(answers: DataFrame, spec: DataFrame, key: str = "answer_id", attempt: str = "attempt") -> DataFrame:
     """Level and reason, from distinct authoritative citations of arguments, the attempt, and what kind of answer it is."""
-    tier = _tier(spec)
+    tier, answers = _tier, looked_up(answers, _tiers(spec), key, "tiers")
     a = F.col("answer")
     cited = F.flatten(F.transform(F.coalesce(a["arguments"], F.array().cast(s.ANSWER["arguments"].dataType.simpleString())), lambda x: F.coalesce(x["citations"], F.array().cast(f"array<{s.CITATION.simpleString()}>"))))
     strong = F.filter(cited, lambda c: F.coalesce(tier(c["corpus_id"]).isin(*AUTHORITY), F.lit(False)))
@@ -190,18 +206,34 @@ def classify_completions(raw: DataFrame) -> DataFrame:
     return raw.select("request_id", code.alias("code"))
 
 
-def quote_contains(chunks: DataFrame, quotes: list[tuple[int, str]], id_col: str = "id") -> DataFrame:
-    """quote_id, id: all chunks that hold each quote, exactly.
+#: Quotes that one scan of the chunks looks for; more are looked for in blocks of so many.
+QUOTE_BLOCK = 50_000
 
-    Quotes are a stated set; one automaton over all of them reads each chunk once, so the work doesn't grow
-    with chunks times quotes. Empty quotes are held by every chunk. Null texts hold nothing.
-    """
-    by: dict[str, list[int]] = {}
-    for q, text in quotes:
-        by.setdefault(text, []).append(q)
-    everywhere = by.pop("", [])
 
+def quote_contains(chunks: DataFrame, quotes: DataFrame | list[tuple[int, str]], id_col: str = "id", block: int = QUOTE_BLOCK) -> DataFrame:
+    """quote_id, id: all chunks that hold each quote (id, text), exactly.
+
+    One automaton over a block of quotes reads each chunk once, so the work doesn't grow with chunks times
+    quotes; quotes of any number come to the driver a block at a time. Empty quotes are held by every chunk.
+    Null texts hold nothing, and null quotes are held by none.
+    """
+    spark = chunks.sparkSession
+    rows = iter(quotes) if isinstance(quotes, list) else (tuple(r) for r in quotes.toLocalIterator())
+    out = None
+    while part := list(islice(rows, block)):
+        by: dict[str, list[int]] = {}
+        for q, text in part:
+            if text is not None:
+                by.setdefault(text, []).append(q)
+        found = chunks.select(F.col(id_col).cast("long"), "text").mapInArrow(_search(spark.sparkContext.broadcast(by)), "quote_id long, id long")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "quote_id long, id long") if out is None else out
+
+
+def _search(shared):
     def run(batches):
+        by = dict(shared.value)
+        everywhere = by.pop("", [])
         automaton = ahocorasick.Automaton()
         for text, ids in by.items():
             automaton.add_word(text, ids)
@@ -215,4 +247,4 @@ def quote_contains(chunks: DataFrame, quotes: list[tuple[int, str]], id_col: str
                     rows += [(q, own) for q in sorted(found | {*everywhere})]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["quote_id", "id"])
 
-    return chunks.select(F.col(id_col).cast("long"), "text").mapInArrow(run, "quote_id long, id long")
+    return run

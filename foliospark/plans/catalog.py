@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark import schema
 from foliospark.functions import text as t
 from foliospark.functions import vectors
 from foliospark.operators import corpus, ingest, render, retrieve, segment, trace, verify
@@ -64,26 +65,47 @@ def enum_label(x):
 _NUMERALS = ("repeat('M', n // 1000) || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[n // 100 % 10 + 1] || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[n // 10 % 10 + 1] || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[n % 10 + 1]")
 
 
+def _numeral(n):
+    digit = lambda place, names: F.element_at(F.array(*map(F.lit, names.split(","))), (F.floor(n / place) % 10 + 1).cast("int"))
+    return F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), digit(100, ",C,CC,CCC,CD,D,DC,DCC,DCCC,CM"), digit(10, ",X,XX,XXX,XL,L,LX,LXX,LXXX,XC"), digit(1, ",I,II,III,IV,V,VI,VII,VIII,IX"))
+
+
 @query(f"SELECT n::int AS n, {_NUMERALS} AS numeral, n::int AS value FROM (SELECT DISTINCT n_chars % 3999 + 1 AS n FROM documents)")
 def roman(x):
     n = x.read("documents").select((F.col("n_chars") % 3999 + 1).cast("int").alias("n")).distinct()
-    digit = lambda place, names: F.element_at(F.array(*map(F.lit, names.split(","))), (F.floor(F.col("n") / place) % 10 + 1).cast("int"))
-    numeral = F.concat(F.repeat(F.lit("M"), F.floor(F.col("n") / 1000).cast("int")), digit(100, ",C,CC,CCC,CD,D,DC,DCC,DCCC,CM"), digit(10, ",X,XX,XXX,XL,L,LX,LXX,LXXX,XC"), digit(1, ",I,II,III,IV,V,VI,VII,VIII,IX"))
-    return n.select("n", numeral.alias("numeral")).withColumn("value", t.roman(F.col("numeral")))
+    return n.select("n", _numeral(F.col("n")).alias("numeral")).withColumn("value", t.roman(F.col("numeral")))
 
 
 @query(with_tables("SELECT corpus_id, count(*) AS chunks, median(words) AS median_words, max(words)::int AS longest_words FROM (SELECT corpus_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words FROM chunks) GROUP BY 1", "chunks"))
 def token_stats(x):
-    return corpus.token_stats(x.chunks)
+    return corpus.token_stats(x.raw_chunks)
 
 
 @query(with_tables(r"""SELECT corpus_id, sum(len(regexp_extract_all(text, '(?i)\bthe\b'))) AS hath, sum(len(regexp_extract_all(text, '(?i)\bhe\b'))) AS doth, sum(len(regexp_extract_all(text, '(?i)\b[0-9A-Za-z_]+ing\b'))) AS eth_verbs,
-    sum(len(regexp_extract_all(text, '(?i)\bis\b'))) AS has, sum(len(regexp_extract_all(text, '(?i)\band\b'))) AS does FROM chunks WHERE corpus_id LIKE '%-en-%' GROUP BY 1""", "chunks"))
+    sum(len(regexp_extract_all(text, '(?i)\bis\b'))) AS has, sum(len(regexp_extract_all(text, '(?i)\band\b'))) AS does FROM chunks GROUP BY 1""", "chunks"))
 def register_profile(x):
     """The counted forms don't occur in the invented texts, so other words stand in for them."""
-    swapped = x.chunks.filter("corpus_id LIKE '%-en-%'")
-    forms = dict(zip(corpus.REGISTER_FORMS, (r"(?i)\bthe\b", r"(?i)\bhe\b", r"(?i)\b\w+ing\b", r"(?i)\bis\b", r"(?i)\band\b"), strict=True))
-    return corpus.register_profile(swapped, forms)
+    word = "[0-9A-Za-z_]"
+    forms = {name: f"(?i)(?<!{word}){form}(?!{word})" for name, form in zip(corpus.REGISTER_FORMS, ("the", "he", f"{word}+ing", "is", "and"), strict=True)}
+    return corpus.register_profile(x.chunks, forms)
+
+
+def _visible() -> str:
+    out = "text"
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;"), (None, None)):
+        out = f"replace({out}, '{plain}', '{escaped}')" if plain else f"""replace(replace({out}, chr(10), '<span class="ws">¶</span>' || chr(10)), chr(9), '<span class="ws" title="U+0009">␣</span>')"""
+    return out
+
+
+@query(f"SELECT doc_id, {_visible()} AS html FROM documents")
+def visible_whitespace(x):
+    return x.read("documents").select("doc_id", t.visible(F.col("text")).alias("html"))
+
+
+@query("SELECT * FROM (VALUES ('tr', 'named'), ('critical', 'named'), ('majority', 'named')) v(value, only_in)")
+def enum_domain(x):
+    """Text forms that are named and of which no work is; no work has one that isn't named."""
+    return schema.domain_differences(list(schema.TEXT_FORMS), x.works, "text_form")
 
 
 # --- corpus ------------------------------------------------------------------
@@ -114,9 +136,9 @@ def works_by_ids(x):
     return corpus.works_by_ids(x.works.select("corpus_id", "work", "author", "license", "n"), x.spec.filter("tier = 'binding'"))
 
 
-@query(with_tables("SELECT corpus_id, corpus_id IN (SELECT c.corpus_id FROM chunks c JOIN vectors v ON v.chunk_id = c.id WHERE v.chunk_id < 50) AS found FROM works", "works", "chunks", "vectors"))
+@query(with_tables("SELECT corpus_id, corpus_id IN (SELECT c.corpus_id FROM chunks c JOIN vectors v ON v.chunk_id = c.id) AS found FROM works", "works", "chunks", "vectors"))
 def corpus_exists(x):
-    return corpus.corpus_exists(x.works, corpus.chunk_metadata(x.chunks, x.works, x.embeddings.filter("chunk_id < 50")))
+    return corpus.corpus_exists(x.works, corpus.chunk_metadata(x.chunks, x.works, x.embeddings))
 
 
 @query(with_tables("SELECT 'DOC ' || id % 100 AS locator, count(DISTINCT corpus_id) AS corpora, min(corpus_id) AS first_corpus, max(corpus_id) AS last_corpus FROM chunks GROUP BY 1 HAVING count(DISTINCT corpus_id) > 1", "chunks"))
@@ -188,12 +210,17 @@ def diff_summary(x):
     return ingest.diff_summary(_diff(x))
 
 
-@query(with_tables("""SELECT corpus_id, coalesce(a, 0) AS committed_count, coalesce(b, 0) AS acquired_count, coalesce(m, 0) AS missing, coalesce(u, 0) AS unexpected, coalesce(i, 0) AS mismatched,
-    coalesce(a, 0) = coalesce(b, 0) AS count_ok, coalesce(a, 0) = coalesce(b, 0) AND coalesce(m, 0) + coalesce(u, 0) + coalesce(i, 0) = 0 AS ok
+_COUNTED = """SELECT corpus_id, coalesce(a, 0) AS committed_count, coalesce(b, 0) AS acquired_count, coalesce(m, 0) AS missing, coalesce(u, 0) AS unexpected, coalesce(i, 0) AS mismatched
     FROM (SELECT corpus_id, count(*) AS a FROM existing GROUP BY 1) FULL JOIN (SELECT corpus_id, count(*) AS b FROM staged GROUP BY 1) USING (corpus_id)
-    LEFT JOIN (SELECT corpus_id, count_if(class = 'missing') AS m, count_if(class = 'unexpected') AS u, count_if(class = 'mismatched') AS i FROM d GROUP BY 1) USING (corpus_id)""", "existing", "staged", d=_DIFF))
+    LEFT JOIN (SELECT corpus_id, count_if(class = 'missing') AS m, count_if(class = 'unexpected') AS u, count_if(class = 'mismatched') AS i FROM d GROUP BY 1) USING (corpus_id)"""
+_EDITION = """SELECT e.corpus_id, CASE WHEN s.content_hash IS NULL THEN 'gone' WHEN s.content_hash <> e.expected_sha256 THEN 'changed' ELSE 'matches' END AS edition
+    FROM manifests e LEFT JOIN staged s ON s.corpus_id = e.corpus_id AND s.locator = e.diagnostic"""
+
+
+@query(with_tables("""SELECT n.*, committed_count = acquired_count AS count_ok, coalesce(edition, 'unblessed') AS edition, edition IS NOT NULL AND corpus_id LIKE 'src2%' AS upstream_drifted,
+    committed_count = acquired_count AND missing + unexpected + mismatched = 0 AND coalesce(edition, '') = 'matches' AS ok FROM n LEFT JOIN w USING (corpus_id)""", "existing", "staged", "manifests", d=_DIFF, n=_COUNTED, w=_EDITION))
 def verify_report(x):
-    return ingest.verify_report(_diff(x), x.prints(x.existing), x.prints(x.staged))
+    return ingest.verify_report(_diff(x), x.prints(x.existing), x.prints(x.staged), x.manifests, x.fetched)
 
 
 @query(with_tables("""SELECT DISTINCT s.corpus_id, CASE WHEN s.corpus_id NOT IN (SELECT corpus_id FROM k) THEN 'unblessed' WHEN s.corpus_id IN (SELECT corpus_id FROM e) THEN 'drifted' ELSE 'blessed' END AS status FROM staged s""", "existing", "staged",
@@ -211,9 +238,34 @@ def chunk_blessed_flag(x):
     return ingest.blessed_flag(x.staged, x.prints(x.existing))
 
 
-@query(f"SELECT doc_id, {norm('text')} = {norm('text || chr(32)')} AS matches FROM documents")
+_STORED = "SELECT id, locator, CASE WHEN id % 7 = 0 THEN 'old ' || text ELSE text END AS text FROM staged"
+
+
+@query(with_tables(f"SELECT o.id AS doc_id, {norm('d.text')} = o.text AS matches FROM o JOIN documents d ON 'DOC ' || d.doc_id = o.locator", "staged", o=_STORED))
 def raw_matches_stage(x):
-    return x.read("documents").select("doc_id", (t.normalise(F.concat("text", F.lit(" "))) == t.normalise(F.col("text"))).alias("matches"))
+    """What is staged, some of it of an older edition, against the raw table."""
+    stored = x.staged.select("locator", F.when(F.col("id") % 7 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text")).alias("stored"))
+    raw = x.read("documents").select("doc_id", F.concat(F.lit("DOC "), F.col("doc_id").cast("string")).alias("locator"), "text")
+    return raw.join(stored, "locator").select("doc_id", (t.normalise(F.col("text")) == F.col("stored")).alias("matches"))
+
+
+_BLESSED = "SELECT * FROM existing WHERE corpus_id NOT LIKE 'src3-%'"
+
+
+@query(with_tables("""SELECT corpus_id, refusal FROM (SELECT s.corpus_id, CASE WHEN s.corpus_id NOT IN (SELECT corpus_id FROM b) THEN 'never blessed'
+    WHEN m + u + i > 0 THEN 'disagrees with what was blessed: ' || m || ' missing, ' || u || ' unexpected, ' || i || ' mismatched' END AS refusal FROM (SELECT DISTINCT corpus_id FROM staged) s LEFT JOIN
+    (SELECT corpus_id, count_if(a IS NULL) AS u, count_if(z IS NULL) AS m, count_if(a <> z) AS i FROM (SELECT coalesce(b.corpus_id, s.corpus_id) AS corpus_id, b.content_hash AS a, sha256(s.text) AS z FROM b FULL JOIN staged s ON b.corpus_id = s.corpus_id AND b.locator = s.locator) GROUP BY 1) USING (corpus_id)) WHERE refusal IS NOT NULL""",
+    "existing", "staged", b=_BLESSED))
+def ingest_refusals(x):
+    """The hashes that staged records carry are all wrong here: they are not looked at."""
+    return ingest.ingest_refusals(x.staged.withColumn("content_hash", F.lit("not this")), x.prints(x.existing).filter("corpus_id NOT LIKE 'src3-%'"))
+
+
+@query(with_tables("""SELECT corpus_id, unnest(list_filter([CASE WHEN n % 3 = 0 THEN 'license' END, CASE WHEN n % 4 = 0 AND author IS NOT NULL OR n % 4 = 1 AND author IS NULL THEN 'author' END], lambda f: f IS NOT NULL)) AS field FROM
+    (SELECT corpus_id, n, author FROM works)""", "works"))
+def manifest_mismatch(x):
+    other = x.works.select("corpus_id", F.when(F.col("n") % 3 == 0, "other").otherwise(F.col("license")).alias("license"), F.when(F.col("n") % 4 == 0, None).when((F.col("n") % 4 == 1) & F.col("author").isNull(), "someone").otherwise(F.col("author")).alias("author"))
+    return ingest.manifest_mismatches(x.works, other, ["license", "author"])
 
 
 _PLAN = """SELECT coalesce(s.corpus_id, e.corpus_id) AS corpus_id, coalesce(s.locator, e.locator) AS locator, CASE WHEN e.id IS NULL THEN 'insert' WHEN s.id IS NULL THEN 'delete' WHEN e.content_hash <> s.content_hash THEN 'update'
@@ -235,24 +287,26 @@ def plan_tally(x):
     return ingest.plan_tally(_plan(x))
 
 
-@query(with_tables("SELECT corpus_id, 2 AS stored, 1 AS staged FROM chunks WHERE id % 25 = 0 GROUP BY 1 HAVING count_if(id % 50 <> 0) = 0", "chunks"))
+@query(with_tables("SELECT corpus_id, 2 AS stored, 1 AS staged FROM chunks GROUP BY 1 HAVING count_if(corpus_id NOT LIKE 'src2%' AND normalisation_version <> 2) = 0", "chunks"))
 def contract_change(x):
-    return ingest.contract_change(x.chunks.filter("id % 25 = 0"))
+    """All chunks of some corpora are of the older contract, of others some."""
+    version = F.when(F.col("corpus_id").startswith("src2"), 2).when(F.col("id") % 50 == 0, 2).otherwise(1)
+    return ingest.contract_change(x.narrow_chunks.withColumn("normalisation_version", version))
 
 
 @query(with_tables("""SELECT corpus_id, count_if(words > 600) AS over, count(*) AS chunks, array_to_string(list_transform(list_slice(list_sort(list({'l': locator, 'w': words}) FILTER (WHERE words > 600)), 1, 10), lambda r: r.l || ' (' || r.w || ')'), ', ') AS sample FROM w GROUP BY 1 HAVING count_if(words > 600) > 0""", "staged",
                    w="SELECT corpus_id, locator, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS words FROM staged"))
 def over_limit(x):
-    return ingest.over_limit(x.staged, 600)
+    return ingest.over_limit(x.raw_chunks.filter("id % 10 <> 2"), 600)
 
 
-_APPLIED = """SELECT coalesce(e.id, (SELECT max(id) FROM existing) + row_number() OVER (PARTITION BY e.id IS NULL ORDER BY s.corpus_id, s.locator)) AS id, s.corpus_id, s.locator, s.content_hash,
+_APPLIED = """SELECT s.text, coalesce(e.id, (SELECT max(id) FROM existing) + row_number() OVER (PARTITION BY e.id IS NULL ORDER BY s.corpus_id, s.locator)) AS id, s.corpus_id, s.locator, s.content_hash,
     CASE WHEN e.content_hash = s.content_hash THEN e.normalisation_version ELSE 1 END AS normalisation_version FROM staged s LEFT JOIN existing e ON e.corpus_id = s.corpus_id AND e.locator = s.locator"""
 
 
 @query(with_tables(_APPLIED, "staged", "existing"))
 def apply_text(x):
-    return ingest.apply_text(x.existing, x.staged).drop("text")
+    return ingest.apply_text(x.existing, x.staged)
 
 
 @query(with_tables("SELECT chunk_id, embedding_model FROM vectors WHERE chunk_id NOT IN (SELECT a.id FROM a JOIN existing e ON e.id = a.id AND e.content_hash = a.content_hash)", "staged", "existing", "vectors", a=_APPLIED))
@@ -273,7 +327,7 @@ def works_upsert(x):
                    f=f"""SELECT id, corpus_id, words, r, 0::bigint AS batch, 1::bigint AS fill FROM o WHERE r = 1 UNION ALL
                    SELECT o.id, o.corpus_id, o.words, o.r, CASE WHEN (f.fill + 1) * o.words > {PACK} THEN f.batch + 1 ELSE f.batch END, CASE WHEN (f.fill + 1) * o.words > {PACK} THEN 1 ELSE f.fill + 1 END FROM f JOIN o ON o.corpus_id = f.corpus_id AND o.r = f.r + 1"""))
 def batch_pack(x):
-    return ingest.batch_pack(x.chunks, PACK)
+    return ingest.batch_pack(x.raw_chunks, PACK)
 
 
 @query(with_tables("SELECT corpus_id, locator, locator || '  ' || content_hash AS value FROM chunks", "chunks"))
@@ -289,7 +343,7 @@ def fingerprint_parse(x):
 
 # --- retrieval -----------------------------------------------------------------
 
-_SCORES = "SELECT q.vec_id AS query_id, v.chunk_id, c.corpus_id, c.locator, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) AS score FROM embeddings q, vectors v JOIN chunks c ON c.id = v.chunk_id WHERE q.vec_id < 10"
+_SCORES = "SELECT q.vec_id AS query_id, v.chunk_id, c.corpus_id, c.locator, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) AS score FROM embeddings q, vectors v JOIN chunks c ON c.id = v.chunk_id WHERE q.vec_id % 100 = 0"
 _HITS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE corpus_id IN (SELECT corpus_id FROM spec)) WHERE rank <= {TOP_K}"
 
 
@@ -297,7 +351,7 @@ def _hits(x):
     return retrieve.search(x.embeddings, x.narrow_chunks, x.queries, x.spec, MODEL, TOP_K)
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10)
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
 SELECT query_id, id, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20""")
 def knn_topk(x):
     found = vectors.knn(x.read("embeddings"), x.queries, TOP_K, id_col="vec_id")
@@ -359,11 +413,31 @@ def prompt_passages(x):
     return retrieve.prompt_passages(_candidates(x), x.chunks, "%%%").withColumn("passages", F.col("passages").cast("long"))
 
 
+_PROMPT = f"""{_FOLD}, p AS (SELECT f.*, t.tier, w.work, c.text, row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank) AS i FROM f JOIN chunks c ON c.id = f.chunk_id LEFT JOIN spec t ON t.corpus_id = f.corpus_id LEFT JOIN works w ON w.corpus_id = f.corpus_id WHERE included),
+b AS (SELECT query_id, string_agg('PASSAGE ' || i || chr(10) || 'corpus_id: ' || corpus_id || chr(10) || 'locator: ' || locator || chr(10) || 'tier: ' || coalesce(tier, 'unspecified') || chr(10) || 'work: ' || coalesce(work, '') || chr(10) || '<<<' || chr(10) || text || chr(10) || '>>>', chr(10) || chr(10) ORDER BY i) AS shown,
+    bool_or(contains(text, '<<<') OR contains(text, '>>>')) AS refused FROM p GROUP BY 1),
+l AS (SELECT CASE WHEN id = 12 THEN 'locus-a' ELSE 'locus-b' END AS locus, corpus_id, locator FROM chunks WHERE id IN (12, 14) UNION ALL SELECT 'locus-c', 'src0-en-invented', 'DOC -1')
+SELECT q.vec_id AS query_id, 'Cite.' || chr(10) || chr(10) || 'CORPORA IN SCOPE, AND THE STANCE TAKEN TOWARD EACH' || chr(10) || (SELECT string_agg('- ' || corpus_id || ' (' || tier || ')', chr(10) ORDER BY position, corpus_id) FROM spec) || chr(10) || chr(10)
+    || 'QUESTIONS THIS TRADITION HOLDS OPEN' || chr(10) || (SELECT string_agg('- ' || locus || ': established by ' || corpus_id || ' ' || locator, chr(10) ORDER BY locus) FROM l) || chr(10) || 'Take no side.' AS system,
+    CASE WHEN q.vec_id % 200 = 0 THEN '- it failed' || chr(10) || chr(10) ELSE '' END || coalesce(shown, 'No passages were retrieved for this question.') || chr(10) || chr(10) || 'QUESTION' || chr(10) || 'what is ' || q.vec_id AS "user", coalesce(refused, false) AS refused
+    FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) q LEFT JOIN b ON b.query_id = q.vec_id"""
+
+
+@query(_PROMPT)
+def build_prompt(x):
+    queries = x.queries.select(F.col("vec_id").alias("query_id"), F.concat(F.lit(" what is "), F.col("vec_id").cast("string")).alias("query"))
+    rows = _candidates(x).filter("included").select("query_id", "rank", "chunk_id", "corpus_id", "locator")
+    texts = x.raw_chunks.select(F.col("id").alias("chunk_id"), "text")
+    rows = rows.join(texts, "chunk_id").withColumn("text", t.normalise(F.col("text"))).join(x.spec.select("corpus_id", "tier"), "corpus_id", "left").join(x.works.select("corpus_id", "work"), "corpus_id", "left")
+    failures = queries.filter("query_id % 200 = 0").select("query_id", F.lit(0).alias("ord"), F.lit("- it failed").alias("line"))
+    return retrieve.build_prompts(queries, rows, x.spec, x.loci, "Cite.", "Take no side.", failures=failures)
+
+
 @query(with_tables("""SELECT query_id, relevant, hits, round(hits / relevant, 6) AS recall FROM (SELECT g.query_id, count(*) AS relevant, count(h.chunk_id) AS hits
-    FROM (SELECT q.vec_id AS query_id, v.chunk_id FROM embeddings q JOIN vectors v ON v.label = q.label AND v.chunk_id <> q.vec_id WHERE q.vec_id < 10) g LEFT JOIN (SELECT * FROM h WHERE rank <= 10) h ON h.query_id = g.query_id AND h.chunk_id = g.chunk_id GROUP BY 1)""", "chunks", "vectors", "spec", s=_SCORES, h=_HITS))
+    FROM (SELECT q.vec_id AS query_id, v.chunk_id FROM embeddings q JOIN vectors v ON v.label = q.label AND v.chunk_id <> q.vec_id WHERE q.vec_id % 100 = 0) g LEFT JOIN (SELECT * FROM h WHERE rank <= 10) h ON h.query_id = g.query_id AND h.chunk_id = g.chunk_id GROUP BY 1)""", "chunks", "vectors", "spec", s=_SCORES, h=_HITS))
 def recall_at_k(x):
-    q = x.read("embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = x.embeddings.select("chunk_id", "label").join(F.broadcast(q), "label").filter("query_id <> chunk_id").select("query_id", "chunk_id")
+    q = x.read("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = x.embeddings.select("chunk_id", "label").join(q, "label").filter("query_id <> chunk_id").select("query_id", "chunk_id")
     return trace.recall_at_k(_hits(x), relevant, 10)
 
 
@@ -395,7 +469,7 @@ _ITEMS = with_tables("SELECT * FROM v", "citations", "works", "spec", v=_checked
 
 
 def _verified(x, opt_in=False):
-    return verify.verify_citations(x.citations, x.chunks, x.works, x.spec, opt_in)
+    return verify.verify_citations(x.citations, x.raw_chunks, x.works, x.spec, opt_in)
 
 
 def _pick(columns: str) -> str:
@@ -434,8 +508,7 @@ def license_gate(x):
 
 @query(with_tables("SELECT q.item_id AS quote_id, c.id FROM quotes q JOIN chunks c ON contains(c.text, q.text)", "quotes", "chunks"))
 def quote_contains(x):
-    items = x.read("benchmark").select("item_id", t.normalise(F.col("text")).alias("text"))
-    return verify.quote_contains(x.chunks.select("id", "text"), [tuple(r) for r in items.limit(100_000).collect()])
+    return verify.quote_contains(x.chunks.select("id", "text"), x.quotes)
 
 
 @query(_pick("count(*) AS citations, round(count_if(NOT locator_resolved) / count(*), 6) AS locator_resolved_failed, round(count_if(NOT quote_matched) / count(*), 6) AS quote_matched_failed, round(count_if(NOT tier_permitted) / count(*), 6) AS tier_permitted_failed, round(count_if(NOT license_permitted) / count(*), 6) AS license_permitted_failed"))
@@ -452,7 +525,7 @@ def citations_exploded(x):
 
 
 def _results(x):
-    return verify.verify_citations(verify.exploded(x.answers, ["answer_id"]), x.chunks, x.works, x.spec)
+    return verify.verify_citations(verify.exploded(x.answers, ["answer_id"]), x.raw_chunks, x.works, x.spec)
 
 
 _RESULTS = {"e": _PLACED, "v": _checked("e", "answer_id, slot_order, i, j")}
@@ -484,7 +557,7 @@ _RULED = with_tables("SELECT 1", "placed", "works", "spec", "loci", "answer_fact
 
 
 def _failures(x):
-    return verify.answer_failures(x.answers, _results(x), x.spec_lines, x.loci_lines)
+    return verify.answer_failures(x.answers, _results(x), x.spec, x.loci_lines)
 
 
 @query(_RULED + " SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY step, nth) - 1)::int AS ord, code, slot, corpus_id, locator FROM rules")
@@ -507,7 +580,7 @@ def failures_by_code(x):
         CASE WHEN is_contested THEN 'contested locus ' || locus ELSE 'not contested' END, CASE WHEN NOT ({blank('reason')}) THEN 'no_answer_reason set' END) AS reason, n::int AS authoritative
     FROM (SELECT f.*, (SELECT count(DISTINCT c.corpus_id || '|' || c.locator) FROM cited c JOIN spec s USING (corpus_id) WHERE c.answer_id = f.answer_id AND c.slot = 'arguments' AND s.tier IN ('binding', 'governing')) AS n FROM answer_facts f)""", "answer_facts", "works", "spec"))
 def confidence(x):
-    return verify.confidence(x.answers, x.spec_lines)
+    return verify.confidence(x.answers, x.spec)
 
 
 _OUTCOMES = """SELECT request_id, CASE WHEN one = 'passed' THEN 'verified' WHEN two = 'passed' THEN 'regenerated' WHEN two = 'generation-failed' THEN 'generation-failed' WHEN two = 'failed' THEN 'degraded' END AS outcome, CASE WHEN one = 'passed' THEN 1 ELSE 2 END AS attempts, one = 'generation-failed' AS first_generation_failed
@@ -591,15 +664,19 @@ def profile_violations(x):
     return x.spark.createDataFrame(trace.profile_violations(_PROFILE, known), "rule string, subject string")
 
 
-@query(with_tables("""SELECT answer_id, CASE WHEN answer_id % 10 = 3 THEN 1 WHEN answer_id % 10 = 4 THEN 4 WHEN reason <> '' THEN 5
+@query(with_tables("""SELECT f.answer_id, CASE WHEN f.answer_id % 10 = 3 THEN 1 WHEN f.answer_id % 10 = 4 THEN 4 WHEN reason <> '' THEN 5
     ELSE CASE WHEN position <> '' THEN 3 ELSE 0 END + CASE WHEN cited_arguments + bare > 0 THEN 2 + 2 * (cited_arguments + bare) ELSE 0 END + CASE WHEN n_descriptions > 0 THEN 2 + 2 * n_descriptions ELSE 0 END + CASE WHEN n_contrary > 0 THEN 2 + 2 * n_contrary ELSE 0 END
-        + CASE WHEN is_contested THEN 2 + (debate <> '')::int ELSE 0 END + 2 + (SELECT count(*) * 2 + count(w.corpus_id) FROM cited c LEFT JOIN works w ON w.corpus_id = c.corpus_id WHERE c.answer_id = f.answer_id AND (c.slot <> 'contested' OR f.is_contested)) END AS lines FROM answer_facts f""", "answer_facts", "works"))
+        + CASE WHEN is_contested THEN 2 + (debate <> '')::int ELSE 0 END + 2 + (SELECT count(*) * 2 + count(w.corpus_id) FROM cited c LEFT JOIN works w ON w.corpus_id = c.corpus_id WHERE c.answer_id = f.answer_id AND (c.slot <> 'contested' OR f.is_contested)) END AS lines,
+    coalesce(CASE WHEN f.answer_id % 10 NOT IN (3, 4) AND reason = '' THEN (SELECT string_agg('     [' || coalesce(s.tier, 'unspecified') || '] ' || p.corpus_id || ' ' || p.locator || coalesce(chr(10) || '       ' || w.work || ' (first)', '') || chr(10) || '       "' || trim(p.quote, ' ') || '"', chr(10) ORDER BY slot_order, place)
+        FROM placed p LEFT JOIN works w ON w.corpus_id = p.corpus_id LEFT JOIN spec s ON s.corpus_id = p.corpus_id WHERE p.answer_id = f.answer_id AND (p.slot <> 'contested' OR f.is_contested)) END, '') AS cited FROM answer_facts f""", "answer_facts", "works", "spec", "placed"))
 def render_answer(x):
-    """Lines of each answer; every tenth turn is a failed generation, every tenth degraded."""
+    """Lines of each answer, and those that show its citations; every tenth turn is a failed generation, every tenth degraded."""
     i = F.col("answer_id") % 10
     turns = x.answers.select("answer_id", "answer", F.when(i == 3, "generation-failed").when(i == 4, "degraded").otherwise("verified").alias("outcome"))
-    sources = [r.asDict() | {"edition": "first"} for r in x.works.select("corpus_id", "work").limit(10_000).collect()]
-    return render.render_answers(turns, sources, "answer_id").groupBy("answer_id").agg(F.count(F.lit(1)).alias("lines"))
+    sources = x.works.join(x.spec.select("corpus_id", "tier"), "corpus_id", "left").select("corpus_id", "tier", "work", "edition", F.lit("").alias("label"))
+    shown = F.col("line").rlike(r'^     (\[|  )') & ~F.col("line").rlike("^     [wt]$")
+    lines = F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("line_no", "line")))), lambda r: r["line"])
+    return render.render_answers(turns, sources, "answer_id").groupBy("answer_id").agg(F.count(F.lit(1)).alias("lines"), F.array_join(lines, "\n").alias("cited"))
 
 
 # --- segmentation and pages -----------------------------------------------------------------
@@ -676,22 +753,54 @@ def page_links(x):
     return files.page_links(x.read("pages"))
 
 
-@query(f"""WITH l AS ({_LINES}) SELECT doc_id, 'WCF ' || (line_no // 7 + 1) || '.' || CASE WHEN line_no % 7 <= 3 THEN 1 ELSE 2 END AS locator, string_agg(CASE WHEN line_no % 7 IN (1, 4) THEN 'x' ELSE 'y' END || line, chr(10) ORDER BY line_no) AS text FROM l WHERE line_no % 7 <> 0 AND line_no < 63 GROUP BY 1, 2""")
+def _made(rows):
+    """Documents of changed lines (doc_id, line_no, line)."""
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
+
+
+#: Chapters of seven lines, numbered anew after 300; every twelfth has no section numbers, all have a navigation line.
+_ROMAN_PLACE = "SELECT doc_id, line, line_no, line_no % 7 AS r, (line_no // 7) % 300 + 1 AS c FROM l"
+
+
+@query(f"""WITH l AS ({_LINES}), p AS ({_ROMAN_PLACE}) SELECT doc_id, 'WCF ' || c || '.' || CASE WHEN r <= 2 OR c % 12 = 0 THEN 1 ELSE 2 END AS locator, string_agg(CASE WHEN r IN (1, 4) AND c % 12 <> 0 THEN 'x' ELSE 'y' END || line, chr(10) ORDER BY line_no) AS text FROM p WHERE r NOT IN (0, 3) GROUP BY 1, 2""")
 def segment_roman_sections(x):
-    rows = segment.lines(x.read("documents")).filter("line_no < 63")
-    chapter = "element_at(array('I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'), cast(floor(line_no / 7) AS int) + 1)"
-    rows = rows.withColumn("line", F.expr(_STRUCTURE.replace("(line_no // 7 + 1)", chapter)))
-    made = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
-    return segment.segment_roman_sections(made)
+    rows = segment.lines(x.read("documents")).withColumns({"r": F.col("line_no") % 7, "c": (F.floor(F.col("line_no") / 7) % 300 + 1).cast("int")})
+    line = F.when(F.col("r") == 0, F.concat(F.lit("Chapter "), _numeral(F.col("c")))).when(F.col("r") == 3, "Previous | Next | Contents")
+    line = line.when(F.col("r").isin(1, 4) & (F.col("c") % 12 != 0), F.concat(F.when(F.col("r") == 1, "I").otherwise("II"), F.lit(". x"), "line")).otherwise(F.concat(F.lit("y"), "line"))
+    return segment.segment_roman_sections(_made(rows.select("doc_id", "line_no", line.alias("line"))))
 
 
-@query(f"""WITH l AS ({_LINES}) SELECT doc_id, 'Inst. 1.1.' || (line_no + 1) || '.p1' AS locator, 'x' || trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM l""")
+@query(f"""WITH l AS ({_LINES}) SELECT doc_id, 'Inst. 1.1.' || (line_no + 1) || '.p1' AS locator, 'x' || trim(regexp_replace(line, '\\s+$', '')) AS text FROM l UNION ALL SELECT doc_id, 'Inst. Pref.1.p' || i, ['one of ' || doc_id, 'two'][i] FROM documents, range(1, 3) r(i)""")
 def segment_books(x):
-    """One chapter of each document, its sections listed by number before they are set out."""
-    rows = segment.lines(x.read("documents")).select("doc_id", "line_no", F.concat((F.col("line_no") + 1).cast("string"), F.lit(". x"), "line").alias("line"), F.concat((F.col("line_no") + 1).cast("string"), F.lit(". title")).alias("title"))
+    """A dedication, and one chapter of each document, its sections listed by number before they are set out."""
+    number = (F.col("line_no") + 1).cast("string")
+    rows = segment.lines(x.read("documents")).select("doc_id", "line_no", F.concat(F.lit("   "), number, F.lit(". x"), "line").alias("line"), F.concat(F.lit("   "), number, F.lit(". title")).alias("title"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", c))), lambda r: r[c]), "\n")
-    made = rows.groupBy("doc_id").agg(F.concat(F.lit("BOOK 1\nCHAPTER 1\n"), joined("title"), F.lit("\n\n"), joined("line")).alias("text"))
-    return segment.segment_books(made)
+    front = F.concat(F.lit("   1. one of "), F.col("doc_id").cast("string"), F.lit("\n\ntwo\nINSTITUTES\nBOOK FIRST\nCHAPTER 1\nARGUMENT.\n"))
+    return segment.segment_books(rows.groupBy("doc_id").agg(F.concat(front, joined("title"), F.lit("\n\n"), joined("line")).alias("text")))
+
+
+#: Parts of nine lines, numbered anew after 12; recommendations close the document.
+_HEADED = """SELECT doc_id, (line_no // 9) % 12 + 1 AS c, line_no // 9 AS part, line_no % 9 AS r, line, line_no FROM l"""
+_ROMANS = "['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII']"
+
+
+@query(f"""WITH l AS ({_LINES}), p AS ({_HEADED}) SELECT doc_id, 'GA28 ' || {_ROMANS}[c] || CASE r WHEN 2 THEN '.1' WHEN 4 THEN '.A.1' WHEN 6 THEN '.A.1.1' ELSE '.A.1.2' END AS locator, 'z' || trim(line) AS text FROM p WHERE r IN (2, 4, 6, 8)
+UNION ALL SELECT doc_id, 'GA28 Rec.1', 'Do so.' FROM documents UNION ALL SELECT doc_id, 'GA28 Rec.2', 'Or not.' FROM documents""")
+def segment_headed(x):
+    r = F.col("line_no") % 9
+    roman = F.element_at(F.array(*map(F.lit, "I II III IV V VI VII VIII IX X XI XII".split())), (F.floor(F.col("line_no") / 9) % 12 + 1).cast("int"))
+    line = F.when(r == 0, F.concat(F.lit("# "), roman, F.lit(". Part"))).when(r == 3, "# A. Sub").when(r == 5, "# 1. Third").when(r == 7, "# Conclusion").when(r == 1, "").otherwise(F.concat(F.lit("z"), F.trim("line")))
+    made = _made(segment.lines(x.read("documents")).select("doc_id", "line_no", line.alias("line")))
+    return segment.segment_headed(made.withColumn("text", F.concat("text", F.lit("\n# RECOMMENDATIONS\nWe recommend:\n1. Do so.\n2. Or not."))))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, ['A', 'B', 'C'][(turn * (conv_id % 3 + 1)) % 3 + 1] AS code FROM conversations), f AS (SELECT conv_id, list(code ORDER BY first) AS found FROM (SELECT conv_id, code, min(turn) AS first FROM c GROUP BY 1, 2) GROUP BY 1),
+i AS (SELECT conv_id, found, i - 1 AS p FROM f, range(1, 4) r(i) WHERE found[i] IS DISTINCT FROM ['A', 'B', 'C'][i])
+SELECT conv_id, found[min(p) + 1] AS code, min(p)::int AS place, ['A', 'B', 'C'][min(p) + 1] AS expected FROM i GROUP BY conv_id, found""")
+def canonical_order(x):
+    code = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("turn") * (F.col("conv_id") % 3 + 1) % 3 + 1).cast("int"))
+    return segment.out_of_order(x.read("conversations").select("conv_id", "turn", code.alias("code")), "conv_id", "turn", "code", ["A", "B", "C"])
 
 
 @query("SELECT conv_id AS doc_id, string_agg('line ' || turn, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn > 0 AND turn % 3 <> 2 GROUP BY 1")
@@ -702,17 +811,17 @@ def page_lines(x):
     return segment.page_lines(pages, "^PART I$", "^APPENDIX", "^RUNNING HEAD$|^CHAPTER$", "^DIVIDER$", "^CHAPTER$")
 
 
-@query()
-def html_extract(x):
-    return html.html_extract(x.read("pages"))
+_ARTICLE = r"regexp_extract(html, '<article>(.*)</article>', 1, 's')"
+_BROKEN = rf"regexp_replace(regexp_replace({_ARTICLE}, '\s+', ' ', 'g'), '</?(p|br|h1)[^>]*>', chr(10), 'g')"
 
 
-@query()
-def segment_headed(x):
-    return segment.segment_headed(x.read("documents"))
+@query(rf"""WITH b AS (SELECT page_id, replace(regexp_replace(regexp_replace({_BROKEN}, '<[^>]*>', '', 'g'), '&amp;?', '&', 'g'), '&quot;', '"') AS body FROM pages)
+SELECT page_id, coalesce(list_aggregate(list_filter(list_transform(string_split(body, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), 'string_agg', chr(10)), '') AS text FROM b""")
+def html_extract(x):
+    return html.html_extract(x.read("pages"))
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(text, '\[\d+\]', '', 'g') AS text FROM documents")
 def text_region(x):
     made = x.read("documents").select("doc_id", F.concat(F.lit("front\nSTART\n"), "text", F.lit("[1]\nEND\nback")).alias("text"))
     return segment.text_region(made, "START", "END")

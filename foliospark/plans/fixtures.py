@@ -44,6 +44,12 @@ class Fixtures:
         rows = self.read("documents").select(F.col("doc_id").alias("id"), self._corpus_id().alias("corpus_id"), F.concat(F.lit("DOC "), F.col("doc_id").cast("string")).alias("locator"), t.normalise(F.col("text")).alias("text"))
         return rows.withColumns({"content_hash": t.fingerprint(F.col("text")), "normalisation_version": F.when(F.col("id") % 50 == 0, 2).otherwise(1)})
 
+    @property
+    def raw_chunks(self) -> DataFrame:
+        """Chunks with texts as they came, for operators that normalise what they read, or for which NFC makes no difference."""
+        rows = self.read("documents").select(F.col("doc_id").alias("id"), self._corpus_id().alias("corpus_id"), F.concat(F.lit("DOC "), F.col("doc_id").cast("string")).alias("locator"), t.without_format_characters(F.col("text")).alias("text"))
+        return rows.withColumn("normalisation_version", F.when(F.col("id") % 50 == 0, 2).otherwise(1))
+
     @property
     def narrow_chunks(self) -> DataFrame:
         """Chunks without anything that texts are read for."""
@@ -60,14 +66,9 @@ class Fixtures:
         return self.works.filter("n % 6 <> 5").select("corpus_id", tier.alias("tier"), F.col("n").alias("position"))
 
     @property
-    def spec_lines(self) -> list[tuple[str, str]]:
-        """A profile's lines, a few dozen."""
-        return [(r["corpus_id"], r["tier"]) for r in self.spec.orderBy("corpus_id").limit(10_000).collect()]
-
-    @property
-    def queries(self) -> list[tuple[int, list[float]]]:
-        """Ten stated query vectors."""
-        return [(r["vec_id"], r["embedding"]) for r in self.read("embeddings").filter("vec_id < 10").select("vec_id", "embedding").collect()]
+    def queries(self) -> DataFrame:
+        """The stated query vectors: of every id that 100 divides."""
+        return self.read("embeddings").filter("vec_id % 100 = 0").select("vec_id", "embedding")
 
     @property
     def loci(self) -> DataFrame:
@@ -92,13 +93,28 @@ class Fixtures:
     def prints(chunks: DataFrame) -> DataFrame:
         return chunks.select("corpus_id", "locator", F.col("content_hash").alias("sha256"))
 
+    @property
+    def quotes(self) -> DataFrame:
+        return self.read("benchmark").select("item_id", t.normalise(F.col("text")).alias("text"))
+
+    @property
+    def manifests(self) -> DataFrame:
+        """corpus_id, diagnostic, expected_sha256, upstream_sha256: each blessed corpus's first record, as it was read."""
+        first = self.existing.groupBy("corpus_id").agg(F.min_by(F.struct("locator", "content_hash"), "id").alias("d"))
+        return first.select("corpus_id", F.col("d.locator").alias("diagnostic"), F.col("d.content_hash").alias("expected_sha256"), F.sha2(F.col("corpus_id").cast("binary"), 256).alias("upstream_sha256"))
+
+    @property
+    def fetched(self) -> DataFrame:
+        now = F.concat("corpus_id", F.when(F.col("corpus_id").startswith("src2"), "!").otherwise(""))
+        return self.works.select("corpus_id", F.sha2(now.cast("binary"), 256).alias("upstream_sha256"))
+
     @property
     def citations(self) -> DataFrame:
         """One citation of each benchmark item: the first document that holds it, or none."""
         from foliospark.operators.verify import quote_contains
 
-        items = self.read("benchmark").select("item_id", t.normalise(F.col("text")).alias("text"))
-        held = quote_contains(self.chunks.select("id", "text"), [tuple(r) for r in items.limit(100_000).collect()]).groupBy("quote_id").agg(F.min("id").alias("id"))
+        items = self.quotes
+        held = quote_contains(self.chunks.select("id", "text"), items).groupBy("quote_id").agg(F.min("id").alias("id"))
         rows = items.join(held, items["item_id"] == held["quote_id"], "left").join(self.narrow_chunks, "id", "left")
         quote = F.when(F.col("item_id") % 10 == 9, F.substring("text", 1, 20)).when(F.col("item_id") % 10 == 8, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
         return rows.select(
@@ -110,10 +126,10 @@ class Fixtures:
     def cited(self) -> DataFrame:
         """Flat citations of invented answers, one of each assistant turn: answer_id, turn, slot, corpus_id, locator, quote."""
         turns = self.read("conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("answer_id"), F.col("turn").cast("int").alias("turn")).distinct()
-        doc = F.when(F.col("answer_id") % 6 == 1, 12).otherwise((F.col("answer_id") * 13 + F.col("turn") * 7) % 1200)
+        doc = F.when(F.col("answer_id") % 6 == 1, 12).otherwise(F.col("answer_id") * 13 + F.col("turn") * 7)
         rows = turns.withColumn("cite", doc)
-        chunks = self.chunks.filter("id < 1200").select(F.col("id").alias("cite"), "corpus_id", "locator", "text")
-        rows = rows.join(chunks, "cite", "left")
+        chunks = self.raw_chunks.select(F.col("id").alias("cite"), "corpus_id", "locator", "text")
+        rows = rows.join(chunks, "cite", "left").withColumn("text", t.normalise(F.col("text")))  # of what is cited only
         way = (F.col("answer_id") + F.col("turn")) % 9
         body = F.coalesce("text", F.lit("nothing like it was ever written in any of the documents"))
         quote = F.when(way == 0, F.substring(body, 1, 20)).when(way == 1, F.concat(F.substring(body, 1, 59), F.lit("§"))).otherwise(F.substring(body, 1, 60))
@@ -173,6 +189,7 @@ SQL = {
     "loci": "SELECT CASE WHEN id = 12 THEN 'locus-a' ELSE 'locus-b' END AS locus, corpus_id, locator FROM chunks WHERE id IN (12, 14) UNION ALL SELECT 'locus-c', 'src0-en-invented', 'DOC -1'",
     "staged": "SELECT * FROM chunks WHERE id % 10 <> 2",
     "existing": "SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN sha256('old ' || text) ELSE content_hash END AS content_hash) FROM chunks WHERE id % 10 <> 1",
+    "manifests": """SELECT corpus_id, 'DOC ' || min(id) AS diagnostic, arg_min(content_hash, id) AS expected_sha256 FROM existing GROUP BY 1""",
     "quotes": f"SELECT item_id, {norm('text')} AS text FROM benchmark",
     "citations": """SELECT q.item_id, coalesce(c.corpus_id, 'src0-en-invented') AS corpus_id, coalesce(c.locator, 'DOC -' || q.item_id) AS locator, CASE WHEN q.item_id % 2 = 0 THEN 'arguments' ELSE 'descriptions' END AS slot,
         CASE WHEN q.item_id % 10 = 9 THEN substr(q.text, 1, 20) WHEN q.item_id % 10 = 8 THEN q.text || 'x' ELSE q.text END AS quote
@@ -181,7 +198,7 @@ SQL = {
         coalesce(c.corpus_id, 'src0-en-invented') AS corpus_id, coalesce(c.locator, 'DOC -' || t.cite) AS locator,
         CASE (t.answer_id + t.turn) % 9 WHEN 0 THEN substr(t.body, 1, 20) WHEN 1 THEN substr(t.body, 1, 59) || '§' ELSE substr(t.body, 1, 60) END AS quote
         FROM (SELECT u.*, coalesce(k.text, 'nothing like it was ever written in any of the documents') AS body FROM
-            (SELECT DISTINCT conv_id AS answer_id, turn::int AS turn, CASE WHEN conv_id % 6 = 1 THEN 12 ELSE (conv_id * 13 + turn * 7) % 1200 END AS cite FROM conversations WHERE role = 'assistant') u
+            (SELECT DISTINCT conv_id AS answer_id, turn::int AS turn, CASE WHEN conv_id % 6 = 1 THEN 12 ELSE conv_id * 13 + turn * 7 END AS cite FROM conversations WHERE role = 'assistant') u
             LEFT JOIN chunks k ON k.id = u.cite) t LEFT JOIN chunks c ON c.id = t.cite""",
     "placed": """SELECT *, (row_number() OVER (PARTITION BY answer_id, slot ORDER BY turn) - 1)::int AS place, list_position(['arguments', 'descriptions', 'contrary_positions', 'contested'], slot) - 1 AS slot_order FROM cited""",
     "answer_facts": """SELECT answer_id, answer_id % 2 + 1 AS attempt, CASE WHEN answer_id % 3 = 0 THEN 'a position' ELSE '' END AS position, count_if(slot = 'arguments') AS cited_arguments, CASE WHEN answer_id % 8 = 5 THEN 1 ELSE 0 END AS bare,
@@ -193,7 +210,7 @@ SQL = {
         FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS attempt FROM conversations WHERE role = 'assistant') WHERE attempt <= 2""",
 }
 _NEEDS = {
-    "spec": ["works"], "loci": ["chunks"], "staged": ["chunks"], "existing": ["chunks"], "citations": ["quotes", "chunks"], "cited": ["chunks"], "placed": ["cited"], "answer_facts": ["cited"],
+    "spec": ["works"], "loci": ["chunks"], "staged": ["chunks"], "existing": ["chunks"], "manifests": ["existing"], "citations": ["quotes", "chunks"], "cited": ["chunks"], "placed": ["cited"], "answer_facts": ["cited"],
 }
 
 

@@ -131,6 +131,33 @@ def test_nearest_rank(spark):
     assert got == {"a": (40, values[20], values[38]), "b": (1, 3.0, 3.0)}
 
 
+def test_nearest_rank_in_bins(spark):
+    r = random.Random(2)
+    values = {k: [r.gauss(0, 1) ** 5 for _ in range(n)] for k, n in (("a", 3000), ("b", 1), ("c", 7))}
+    frame = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    got = {x["k"]: (x["p1"], x["p50"], x["p99"]) for x in trace.nearest_rank(frame, "k", "v", (1, 50, 99)).collect()}
+    assert got == {k: tuple(sorted(vs)[len(vs) * p // 100] for p in (1, 50, 99)) for k, vs in values.items()}
+
+
+def test_quotes_and_queries_in_blocks(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "abcd"), (2, "bcx")], "id long, text string")
+    quotes = spark.createDataFrame([(i, "b" if i % 2 else "cd") for i in range(7)] + [(9, None)], "q long, text string")
+    assert {tuple(r) for r in quote_contains(frame, quotes, block=2).collect()} == {(i, c) for i in range(7) for c in ((1, 2) if i % 2 else (1,))}
+    monkeypatch.setattr("foliospark.functions.vectors.QUERY_BLOCK", 2)
+    rows = spark.createDataFrame([(i, basis(i % 8)) for i in range(16)], "chunk_id long, embedding array<float>")
+    got = knn(rows, rows.filter("chunk_id < 5"), 2).collect()
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == [(i, i + 8 * k, k + 1) for i in range(5) for k in (0, 1)]
+
+
+def test_vectors_are_written_whole_or_not(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "chunk_id long, embedding array<double>")
+    ingest.write_embeddings(rows, "m", 2, f"{tmp_path}/v")
+    ingest.write_embeddings(rows.withColumn("chunk_id", rows["chunk_id"] + 2), "m", 2, f"{tmp_path}/v")
+    with pytest.raises(ValueError, match="chunk"):
+        ingest.write_embeddings(rows, "m", 3, f"{tmp_path}/v")
+    assert spark.read.parquet(f"{tmp_path}/v").count() == 4
+
+
 def test_profiles():
     good = {"profile": "p", "scripture": {"corpus_id": "s-t"}, "corpora": [{"id": "a-b", "stance": "contrary", "label": "l"}], "contested": [{"locus": "x", "ruling_source": {"corpus_id": "s-t", "locator": "L"}}]}
     assert trace.profile_violations(good, {"a-b", "s-t"}) == []
@@ -199,7 +226,7 @@ def test_rendered_answers(spark):
     rows = [(1, "verified", full), (2, "degraded", (None, None, None, None, None, None, ("low", "none"))), (3, "generation-failed", None), (4, "verified", ("", [], [], [], None, "nothing", ("low", "silent")))]
     frame = spark.createDataFrame(rows, "request_id int, outcome string, answer " + s.ANSWER.simpleString())
     out: dict = {}
-    for r in render_answers(frame, [{"corpus_id": "a-b", "tier": "binding", "work": "W", "edition": "1st", "label": "seen"}]).orderBy("request_id", "line_no").collect():
+    for r in render_answers(frame, spark.createDataFrame([("a-b", "binding", "W", "1st", "seen")], "corpus_id string, tier string, work string, edition string, label string")).orderBy("request_id", "line_no").collect():
         out.setdefault(r["request_id"], []).append(r["line"])
     assert out[1] == ["position", "  It is so.", "", "arguments", "  1. Claim", "     why", "     [binding] a-b L 1", "       W (1st)", "       binding: seen", '       "a quote"', "", "contrary positions", "  1. Else", "     held by: these, those", "", "confidence", "  high — two"]
     assert out[2] == ["I can't source this adequately.", "", "confidence", "  low — none"] and out[3] == ["I couldn't produce an answer for this question."]
