@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.storage import shared_dir as shared_dir
+from foliospark.storage import written
+
 #: Largest number of (narrow, fixed-width) rows that is broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 200_000
 #: And of bytes, by the size of its files.
@@ -23,26 +21,6 @@ HUB = 2048
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="foliospark-")
-            atexit.register(shutil.rmtree, _local[app], True)
-        found = f"file://{_local[app]}"
-    return found.rstrip("/")
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of the file system that Spark would take it to be on."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,11 +29,8 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later stages survive lost executors and never recompute it."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return written(df, name)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -171,9 +171,18 @@ def _doc_windows(batches, sizes: list[tuple[int, bool]], known: np.ndarray | Non
         shift = np.uint64(64 - min(24, 4 + len(known).bit_length()))
         maybe = np.zeros(1 << (64 - int(shift)), bool)
         maybe[known.view(np.uint64) >> shift] = True
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), _SLOTS)
+
+    def out(rows):
+        for lo in range(0, len(rows), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo:lo + 20_000], strict=True), kinds, strict=True)], names=["doc_id", "mark", "window", "place", "filled"])
+
+    rows = []
     for b in pieces(batches):
-        rows = []
         for doc, text, mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if len(rows) >= 20_000:
+                yield from out(rows)
+                rows = []
             form = Template(text)
             for size, exact in sizes:
                 at, h = runs(form, size) if exact else windows(form.kind, form.hashes, size)
@@ -187,11 +196,7 @@ def _doc_windows(batches, sizes: list[tuple[int, bool]], known: np.ndarray | Non
                     hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                     at, h = at[hit], h[hit]
                 rows += [(doc, mark, w, a, [] if exact else form.slots(a, size)) for a, w in zip(at.tolist(), h.tolist(), strict=True)]
-        for lo in range(0, max(1, len(rows)), 20_000):
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), _SLOTS)
-            part = rows[lo:lo + 20_000]
-            columns = zip(*part, strict=True) if part else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "mark", "window", "place", "filled"])
+    yield from out(rows)
 
 
 def consistent(hits: list[dict]) -> set[int]:
@@ -234,7 +239,10 @@ def _judge(batches):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", run: int = 0) -> DataFrame:
-    """doc_id, mark (XXH64 of the text), item_ids, share: the documents that hold benchmark items."""
+    """doc_id, mark (XXH64 of the text), item_ids, share: the documents that hold benchmark items.
+
+    What is gathered for a document and an item is bounded by the document: a hit for each window of its text.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
     items = cut(items.mapInArrow(lambda it: _item_windows(it, run), f"item_id long, {_WINDOWS}, n int"), "items")
     sizes = sorted(map(tuple, items.select("size", "exact").distinct().collect()))  # WINDOW or less, of runs ``run`` or less

@@ -32,6 +32,8 @@ from foliospark.llm.components import components
 SEED, PIVOTS = 42, 16
 #: Rows of a bucket's block; a task holds two blocks at a time. Where shingle sets are compared, which are larger than fingerprints, the second.
 BLOCK, SET_BLOCK = 2048, 256
+#: Rows of a group that is compared together with other small ones.
+FEW = 24
 #: The radius of wide fingerprints lies so many standard deviations above what the threshold stands for.
 SLACK = 6.0
 #: Shingles that more documents begin with are put last in the order, at most so many of them (8 bytes each in every task); what is put last changes costs, not results.
@@ -266,8 +268,15 @@ def _compare(batches, width: int, radius: int, least: float):
         node, n = rows.column(5).to_numpy(), rows.num_rows
         fps, table, sets = _words(rows.column(6), width), _table(rows.column(7), n), _sets(rows.columns[8:])
         starts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1))))
+        sizes = np.diff(np.append(starts, n))
+        own, few = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= FEW, sizes)
         links = []
-        for lo, hi in zip(starts, [*starts[1:], n], strict=True):
+        for lag in range(1, min(FEW, n)):  # all small groups at once
+            a = np.flatnonzero((own[:-lag] == own[lag:]) & few[:-lag] & (probe[:-lag] != probe[lag:]) & (node[:-lag] != node[lag:]))
+            if len(a):
+                a, b = _close(fps, table, a, a + lag, radius, sets, least)
+                links += zip(a.tolist(), b.tolist(), strict=True)
+        for lo, hi in zip(starts[sizes > FEW], (starts + sizes)[sizes > FEW], strict=True):
             at = np.arange(lo, hi)
             links += _probe(node, loose, at[probe[lo:hi]], at[~probe[lo:hi]], fps, table, radius, sets, least)
         return pa.RecordBatch.from_arrays([pa.array([int(node[x[i]]) for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
