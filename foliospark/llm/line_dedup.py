@@ -26,9 +26,9 @@ LEAST_CHARS, NEAR_CHARS = 25, 40
 WHOLE = {"least": 1, "near": 25}
 EDITS = 2
 #: Lines of a bucket's block; a task compares two blocks at a time.
-BLOCK = 256
-#: Keys of more lines are split by what is around the segment, so often at most.
-SPLIT, SPLITS = 256, 2
+BLOCK = 1024
+#: Keys of more lines are split by what is around the segment, so often at most: fewer are compared in less time than it takes to split them.
+SPLIT, SPLITS = 1024, 2
 _SEED = 42
 
 
@@ -193,21 +193,32 @@ def _verify(batches, edits: int):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["u", "v"])
 
 
+def _spectra(lines: list[str]) -> np.ndarray:
+    """How often each line has the characters of each of 64 kinds; an edit changes two counts by one at most."""
+    out = np.zeros((len(lines), 64), np.int32)
+    for row, line in zip(out, lines, strict=True):
+        row += np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64).astype(np.int32)
+    return out
+
+
 def _forest(rows: list[tuple[int, str]], edits: int):
-    """Links that connect what is within ``edits`` in a group: breadth first among lines of like length."""
-    left = sorted(set(rows), key=lambda r: (len(r[1]), r))
-    while left:
+    """Links that connect what is within ``edits`` in a group: breadth first among lines whose characters differ little enough."""
+    rows = sorted(set(rows))
+    if len(rows) < 2:
+        return
+    spectra, left = _spectra([line for _, line in rows]), np.arange(len(rows))
+    while len(left) > 1:
         queue, left = [left[0]], left[1:]
-        while queue and left:
-            own, line = queue.pop()
-            rest = []
-            for r in left:
-                if within(line, r[1], edits):
-                    yield own, r[0]
-                    queue.append(r)
-                else:
-                    rest.append(r)
-            left = rest
+        while queue and len(left):
+            at = queue.pop()
+            own, line = rows[at]
+            gap = spectra[left] - spectra[at]
+            like = (np.abs(gap).sum(axis=1) <= 2 * edits) & (np.abs(gap.sum(axis=1)) <= edits)
+            found = [i for i in left[like].tolist() if within(line, rows[i][1], edits)]
+            if found:
+                yield from ((own, rows[i][0]) for i in found)
+                queue += found
+                left = left[~np.isin(left, found)]
 
 
 def _compare(batches, edits: int):
@@ -239,11 +250,20 @@ def _again(batches, edits: int):
 
 
 def _met(keyed: DataFrame, key: str) -> DataFrame:
-    """u, v, n for each key that two different lines have; n counts lines that several workers saw more than once."""
-    met = keyed.groupBy(key).agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n")).filter("u <> v")
+    """u, v, n, s for each key that two different lines have; n counts lines that several workers saw more than once, s sums parts of ids."""
+    part = F.try_sum(F.shiftright("id", 24))
+    met = keyed.groupBy(key).agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n"), part.alias("s")).filter("u <> v")
     return cut(met, "lines-met")
 
 
+def _crowds(met: DataFrame, key: str, most: int | None) -> DataFrame:
+    """key, n of the keys that more than two lines have. Keys of at most ``most`` lines (None: all) are compared whole: of those with the same lines one will do."""
+    crowds = met.filter("n > 2").withColumn("s", F.coalesce("s", F.xxhash64(key)))
+    whole = crowds if most is None else crowds.filter(F.col("n") <= most)
+    found = whole.groupBy("u", "v", "n", "s").agg(F.min(key).alias(key)).select(key, "n")
+    return cut(found if most is None else found.unionByName(crowds.filter(F.col("n") > most).select(key, "n")), "lines-crowds")
+
+
 def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """u, v (ids of lines): links that connect all lines within ``edits`` of each other; and id, more of the lines that were read.
 
@@ -255,8 +275,7 @@ def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int =
     keyed = seen.select("id", F.explode("keys").alias("key"))
     met = _met(keyed, "key")
     pairs = met.filter("n = 2").select("u", "v").distinct()
-    crowds = cut(met.filter("n > 2").select("key", "n"), "lines-crowds")
-    crowded = cut(meet(keyed, crowds, "key").select("key", "n", "id").distinct(), "lines-crowded")
+    crowded = cut(meet(keyed, _crowds(met, "key", SPLIT), "key").select("key", "n", "id").distinct(), "lines-crowded")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("id")).distinct()
     wanted = lines.join(sized(cut(ids, "lines-candidates"), NARROW_ROWS), "id", "left_semi")
     wanted = wanted.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.pos", "id", "more")).alias("wanted"))
@@ -269,13 +288,13 @@ def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int =
     links = near(pairs)
     rows = crowded.filter(F.col("n") <= SPLIT).select(F.array("key").alias("path"), "n", "id")
     large = crowded.filter(F.col("n") > SPLIT).select(F.array("key").alias("path"), "n", "id")
-    for _ in range(SPLITS):
+    for more in reversed(range(SPLITS)):
         if large.isEmpty():
             break
         split = cut(large.join(own, "id").select("id", "path", "line").mapInArrow(lambda it: _again(it, edits), "id long, path array<long>"), "lines-split")
         met = _met(split, "path")
         links = links.unionByName(near(met.filter("n = 2").select("u", "v").distinct()))
-        again = cut(meet(split, cut(met.filter("n > 2").select("path", "n"), "lines-crowds"), "path").select("path", "n", "id").distinct(), "lines-crowded")
+        again = cut(meet(split, _crowds(met, "path", SPLIT if more else None), "path").select("path", "n", "id").distinct(), "lines-crowded")
         rows, large = rows.unionByName(again.filter(F.col("n") <= SPLIT)), again.filter(F.col("n") > SPLIT)
     rows = rows.unionByName(large).withColumn("key", F.xxhash64("path"))
     blocks = F.ceil(F.col("n") / BLOCK)
