@@ -250,18 +250,20 @@ def _again(batches, edits: int):
 
 
 def _met(keyed: DataFrame, key: str) -> DataFrame:
-    """u, v, n, s for each key that two different lines have; n counts lines that several workers saw more than once, s sums parts of ids."""
-    part = F.try_sum(F.shiftright("id", 24))
-    met = keyed.groupBy(key).agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n"), part.alias("s")).filter("u <> v")
+    """u, v, n for each key that two different lines have; n counts lines that several workers saw more than once."""
+    met = keyed.groupBy(key).agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n")).filter("u <> v")
     return cut(met, "lines-met")
 
 
-def _crowds(met: DataFrame, key: str, most: int | None) -> DataFrame:
-    """key, n of the keys that more than two lines have. Keys of at most ``most`` lines (None: all) are compared whole: of those with the same lines one will do."""
-    crowds = met.filter("n > 2").withColumn("s", F.coalesce("s", F.xxhash64(key)))
-    whole = crowds if most is None else crowds.filter(F.col("n") <= most)
-    found = whole.groupBy("u", "v", "n", "s").agg(F.min(key).alias(key)).select(key, "n")
-    return cut(found if most is None else found.unionByName(crowds.filter(F.col("n") > most).select(key, "n")), "lines-crowds")
+def _crowded(keyed: DataFrame, met: DataFrame, key: str, most: int | None) -> DataFrame:
+    """key, n, id: the lines of keys that more than two have. Keys of at most ``most`` lines (None: all) are compared whole: of those with the same lines one will do."""
+    crowds = cut(met.filter("n > 2").select(key, "n"), "lines-crowds")
+    rows = cut(meet(keyed, crowds, key).select(key, "n", "id").distinct(), "lines-crowded")
+    whole = rows if most is None else rows.filter(F.col("n") <= most)
+    sets = whole.groupBy(key).agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("lines"), F.try_sum(F.shiftright("id", 24)).alias("s"))
+    sets = sets.withColumn("s", F.coalesce("s", F.xxhash64(key))).groupBy("u", "v", "lines", "s").agg(F.min(key).alias(key))
+    found = meet(whole, cut(sets.select(key, "lines"), "lines-sets"), key, "lines").select(key, "n", "id")
+    return cut(found if most is None else found.unionByName(rows.filter(F.col("n") > most)), "lines-crowded")
 
 
 def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +277,7 @@ def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int =
     keyed = seen.select("id", F.explode("keys").alias("key"))
     met = _met(keyed, "key")
     pairs = met.filter("n = 2").select("u", "v").distinct()
-    crowded = cut(meet(keyed, _crowds(met, "key", SPLIT), "key").select("key", "n", "id").distinct(), "lines-crowded")
+    crowded = _crowded(keyed, met, "key", SPLIT)
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("id")).distinct()
     wanted = lines.join(sized(cut(ids, "lines-candidates"), NARROW_ROWS), "id", "left_semi")
     wanted = wanted.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.pos", "id", "more")).alias("wanted"))
@@ -294,7 +296,7 @@ def near_lines(base: DataFrame, seen: DataFrame, lines: DataFrame, edits: int =
         split = cut(large.join(own, "id").select("id", "path", "line").mapInArrow(lambda it: _again(it, edits), "id long, path array<long>"), "lines-split")
         met = _met(split, "path")
         links = links.unionByName(near(met.filter("n = 2").select("u", "v").distinct()))
-        again = cut(meet(split, _crowds(met, "path", SPLIT if more else None), "path").select("path", "n", "id").distinct(), "lines-crowded")
+        again = _crowded(split, met, "path", SPLIT if more else None)
         rows, large = rows.unionByName(again.filter(F.col("n") <= SPLIT)), again.filter(F.col("n") > SPLIT)
     rows = rows.unionByName(large).withColumn("key", F.xxhash64("path"))
     blocks = F.ceil(F.col("n") / BLOCK)
