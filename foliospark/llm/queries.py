@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import langid, quality, toxicity
+from foliospark.llm import conversations_sql, langid, quality, toxicity
 from foliospark.llm.common import bucket
+from foliospark.llm.conversations import damage, repair
 from foliospark.llm.decontaminate import RUN, contamination
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.line_dedup import WHOLE, dedup_lines
@@ -73,6 +74,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_index(read_warc(spark, archive_pages(table(spark, sf_dir, "pages"))))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")), present="present")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -84,12 +89,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op12_conversations": op12_conversations,
 }
 
+
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm""",
+    "op12_conversations": conversations_sql.SQL,
 }
