@@ -14,6 +14,7 @@ from foliospark.llm.decontaminate import RUN, contamination
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.line_dedup import WHOLE, dedup_lines
 from foliospark.llm.mixing import mix
+from foliospark.llm.outliers import judge
 from foliospark.llm.pii import find_pii, pii_digest
 from foliospark.llm.simhash import fingerprint_hex, simhash_groups
 from foliospark.llm.warc import archive_pages, page_index, read_warc
@@ -74,6 +75,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_index(read_warc(spark, archive_pages(table(spark, sf_dir, "pages"))))
 
 
+def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")), present="present")
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_outliers": op11_outliers,
     "op12_conversations": op12_conversations,
 }
 
