@@ -18,7 +18,7 @@ def test_entry(spark):
 
 
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
-    for name in ("foliospark", "__spark_entry__.py"):
+    for name in ("foliospark", "jobs", "__spark_entry__.py"):
         source = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / name)
     shutil.rmtree(tmp_path / "foliospark" / "llm", ignore_errors=True)
