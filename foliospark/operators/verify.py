@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,47 +200,3 @@ def classify_completions(raw: DataFrame) -> DataFrame:
     kind = F.schema_of_variant(parsed)
     code = F.when(F.coalesce("choices", F.lit(0)) < 1, "empty").when(F.col("finish_reason") == "length", "truncated").when(parsed.isNull(), "not-json").when(~F.startswith(kind, F.lit("OBJECT")), "not-an-object")
     return raw.select("request_id", code.alias("code"))
-
-
-#: Quotes that one scan of the chunks looks for; more are looked for in blocks of so many.
-QUOTE_BLOCK = 50_000
-
-
-def quote_contains(chunks: DataFrame, quotes: DataFrame | list[tuple[int, str]], id_col: str = "id", block: int = QUOTE_BLOCK) -> DataFrame:
-    """quote_id, id: all chunks that hold each quote (id, text), exactly.
-
-    One automaton over a block of quotes reads each chunk once, so the work doesn't grow with chunks times
-    quotes; quotes of any number come to the driver a block at a time. Empty quotes are held by every chunk.
-    Null texts hold nothing, and null quotes are held by none.
-    """
-    spark = chunks.sparkSession
-    rows = iter(quotes) if isinstance(quotes, list) else (tuple(r) for r in quotes.toLocalIterator())
-    out = None
-    while part := list(islice(rows, block)):
-        by: dict[str, list[int]] = {}
-        for q, text in part:
-            if text is not None:
-                by.setdefault(text, []).append(q)
-        found = chunks.select(F.col(id_col).cast("long"), "text").mapInArrow(_search(spark.sparkContext.broadcast(by)), "quote_id long, id long")
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], "quote_id long, id long") if out is None else out
-
-
-def _search(shared):
-    def run(batches):
-        by = dict(shared.value)
-        everywhere = by.pop("", [])
-        automaton = ahocorasick.Automaton()
-        for text, ids in by.items():
-            automaton.add_word(text, ids)
-        if by:
-            automaton.make_automaton()
-        for b in batches:
-            rows = []
-            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text is not None:
-                    found = {q for _, ids in (automaton.iter(text) if by else ()) for q in ids}
-                    rows += [(q, own) for q in sorted(found | {*everywhere})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["quote_id", "id"])
-
-    return run

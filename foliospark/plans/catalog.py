@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from foliospark import schema
 from foliospark.functions import text as t
 from foliospark.functions import vectors
-from foliospark.operators import corpus, ingest, render, retrieve, segment, trace, verify
+from foliospark.operators import corpus, ingest, quotes, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
 from foliospark.sources import files, html
+from foliospark.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -508,7 +509,7 @@ def license_gate(x):
 
 @query(with_tables("SELECT q.item_id AS quote_id, c.id FROM quotes q JOIN chunks c ON contains(c.text, q.text)", "quotes", "chunks"))
 def quote_contains(x):
-    return verify.quote_contains(x.chunks.select("id", "text"), x.quotes)
+    return quotes.quote_contains(written(x.chunks.select("id", "text"), "texts"), x.quotes)
 
 
 @query(_pick("count(*) AS citations, round(count_if(NOT locator_resolved) / count(*), 6) AS locator_resolved_failed, round(count_if(NOT quote_matched) / count(*), 6) AS quote_matched_failed, round(count_if(NOT tier_permitted) / count(*), 6) AS tier_permitted_failed, round(count_if(NOT license_permitted) / count(*), 6) AS license_permitted_failed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark import schema as s
 from foliospark.functions import text as t
+from foliospark.storage import written
 
 MODEL, OTHER_MODEL = "m1", "m0"
 TOP_K = 20
@@ -111,10 +112,11 @@ class Fixtures:
     @property
     def citations(self) -> DataFrame:
         """One citation of each benchmark item: the first document that holds it, or none."""
-        from foliospark.operators.verify import quote_contains
+        from foliospark.operators.quotes import quote_contains
 
         items = self.quotes
-        held = quote_contains(self.chunks.select("id", "text"), items).groupBy("quote_id").agg(F.min("id").alias("id"))
+        texts = written(self.chunks.select("id", "text"), "texts")  # they are read twice, and normalised once
+        held = quote_contains(texts, items).groupBy("quote_id").agg(F.min("id").alias("id"))
         rows = items.join(held, items["item_id"] == held["quote_id"], "left").join(self.narrow_chunks, "id", "left")
         quote = F.when(F.col("item_id") % 10 == 9, F.substring("text", 1, 20)).when(F.col("item_id") % 10 == 8, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
         return rows.select(

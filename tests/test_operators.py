@@ -4,7 +4,8 @@ import pytest
 
 from foliospark.functions.vectors import knn
 from foliospark.operators import ingest, retrieve, segment, trace
-from foliospark.operators.verify import quote_contains, turn_outcomes
+from foliospark.operators.quotes import quote_contains
+from foliospark.operators.verify import turn_outcomes
 
 
 def basis(i, n=8):
@@ -142,7 +143,7 @@ def test_nearest_rank_in_bins(spark):
 def test_quotes_and_queries_in_blocks(spark, monkeypatch):
     frame = spark.createDataFrame([(1, "abcd"), (2, "bcx")], "id long, text string")
     quotes = spark.createDataFrame([(i, "b" if i % 2 else "cd") for i in range(7)] + [(9, None)], "q long, text string")
-    assert {tuple(r) for r in quote_contains(frame, quotes, block=2).collect()} == {(i, c) for i in range(7) for c in ((1, 2) if i % 2 else (1,))}
+    assert {tuple(r) for r in quote_contains(frame, quotes).collect()} == {(i, c) for i in range(7) for c in ((1, 2) if i % 2 else (1,))}
     monkeypatch.setattr("foliospark.functions.vectors.QUERY_BLOCK", 2)
     rows = spark.createDataFrame([(i, basis(i % 8)) for i in range(16)], "chunk_id long, embedding array<float>")
     got = knn(rows, rows.filter("chunk_id < 5"), 2).collect()
