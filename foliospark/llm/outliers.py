@@ -40,7 +40,7 @@ LEAST, SUPPORT, TAIL = 100, 0.75, 1e-5
 FLOOR = {"x_length": 0.1, "x_symbols": 0.05, "x_capitals": 0.1, "x_digits": 0.1, "x_lines": 0.15, "x_windows": 0.15}
 UNIT = 1024
 #: Concentration steps at most; they end before when the logarithm of no determinant falls by as much.
-STEPS, LEAST_FALL = 12, 1e-4
+STEPS, LEAST_FALL = 6, 1e-3
 _BINS = 64
 NAMES = list(FLOOR)
 P = len(NAMES)
@@ -200,17 +200,13 @@ def group_estimates(rows: DataFrame) -> DataFrame:
         edge = bins.withColumn("upto", upto).filter(F.col("upto") >= F.ceil(F.col("n") * SUPPORT)).groupBy("key").agg(F.min("bin").alias("edge"))
         edges = cut(now.join(edge, "key"), "outlier-edges")
         inner = meet(twice, edges, "key").filter(F.floor(F.log2(_distance() + 1e-9) * _BINS) <= F.col("edge"))
-        new = _estimated(inner.groupBy("key").agg(*_moments()), ["key"], _shrunk(SUPPORT))
-        before = now.select("key", F.col("det").alias("was"))
-        new = cut(both.join(new, "key").join(before, "key"), "outlier-step")
-        falls = F.col("det") < F.col("was") - LEAST_FALL
-        if step == 0:  # starts are no estimates from SUPPORT of the rows: the first step always counts
-            now = new.drop("was")
-            continue
-        if not new.filter(falls).take(1):
+        new = _estimated(inner.groupBy("key").agg(*_moments()), ["key"], _shrunk(SUPPORT)).select("key", F.struct(*_FIT, "det").alias("new"))
+        # the starts are no estimates from SUPPORT of the rows: what follows them always counts
+        falls = F.lit(step == 0) | (F.col("new.det") < F.col("det") - LEAST_FALL)
+        both = now.join(new, "key").withColumn("falls", falls)
+        now = cut(both.select("key", "g", "n", "falls", *[F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*_FIT, "det")]), "outlier-step")
+        if not now.filter("falls").take(1):
             break
-        kept = new.filter(falls).drop("was").unionByName(now.join(new.filter(~falls).select("key"), "key", "left_semi"))
-        now = cut(kept, "outlier-now")
     best = now.groupBy("g").agg(F.min_by(F.struct("n", *_FIT), F.struct("det", "key")).alias("e")).select("g", "e.*")
     raw = cut(best, "outlier-raw")
     inside = meet(rows, raw, "g").filter(_distance() <= quantile(0.025))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import ODD, docs
 
 from foliospark.llm import outliers
@@ -91,9 +92,13 @@ def groups():
     return rows
 
 
-def test_estimates_against_a_slow_version(spark):
-    rows = groups()
-    got = {r.doc_id: r for r in judge(docs(spark, rows), "doc_id").collect()}
+@pytest.fixture(scope="module")
+def judged(spark):
+    return {r.doc_id: r for r in judge(docs(spark, groups()), "doc_id").collect()}
+
+
+def test_estimates_against_a_slow_version(judged):
+    rows, got = groups(), judged
     for where in (range(0, 400), range(400, 600), range(600, 800)):
         ids = [r[0] for r in rows if r[0] in where]
         x = np.array([vector(r[1]) for r in rows if r[0] in where])
@@ -101,8 +106,8 @@ def test_estimates_against_a_slow_version(spark):
     assert all(got[800 + i].distance is None and got[800 + i].kept for i in range(5))  # too few to judge
 
 
-def test_planted_outliers_go_and_clean_documents_stay(spark):
-    got = {r.doc_id: r.kept for r in judge(docs(spark, groups()), "doc_id").collect()}
+def test_planted_outliers_go_and_clean_documents_stay(judged):
+    got = {i: r.kept for i, r in judged.items()}
     assert not any(got[200 + i] for i in range(30)) and not any(got[300 + i] for i in range(20))
     assert all(got[i] for i in range(150)) and all(got[400 + i] for i in range(120)) and all(got[600 + i] for i in range(130))
 
@@ -114,13 +119,11 @@ def test_copies_of_one_text_do_not_make_outliers_of_the_rest(spark):
     assert all(r.kept for r in judge(docs(spark, rows), "doc_id").collect())
 
 
-def test_empty_table_reruns_and_a_plan_without_python(spark):
+def test_empty_table_reruns_and_a_plan_without_python(spark, judged):
     assert judge(docs(spark, []), "doc_id").collect() == []
-    rows = groups()
-    once, again = (judge(docs(spark, rows), "doc_id").orderBy("doc_id").collect() for _ in range(2))
-    assert once == again
-    plan = judge(docs(spark, rows), "doc_id")._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    df = judge(docs(spark, groups()).repartition(7), "doc_id")
+    assert {r.doc_id: r for r in df.collect()} == judged
+    assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
 
 
 def test_quantiles():
