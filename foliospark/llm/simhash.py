@@ -8,7 +8,7 @@ Which pairs are looked at follows from keys that close pairs must share, so that
 radius of 64-bit fingerprints, segments: of enough of them, some must be equal. For a similarity threshold,
 the first shingles of each set in an order that all sets share: sets that overlap enough meet in those, and a
 document's keys are a share of its shingles whatever the size of the corpus. Any order will do; it is that of
-their hashes, with shingles that very many documents begin with put last. Pairs so found are discarded by
+their hashes, with shingles that very many of them have put last. Pairs so found are discarded by
 pivots at a radius far above what the threshold stands for, and then the sets themselves are compared.
 
 A bucket of any size is first compared with one of its rows; only rows that are not close to it are compared
@@ -36,8 +36,8 @@ BLOCK, SET_BLOCK = 2048, 256
 FEW = 24
 #: The radius of wide fingerprints lies so many standard deviations above what the threshold stands for.
 SLACK = 6.0
-#: Shingles that more documents begin with are put last in the order, at most so many of them (8 bytes each in every task); what is put last changes costs, not results.
-HEAVY, HEAVY_KEYS = 1024, 1 << 20
+#: Shingles that more nodes have are put last in the order, at most so many of them (8 bytes each in every task); what is put last changes costs, not results.
+HEAVY, HEAVY_KEYS = 256, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -164,25 +164,42 @@ def _read(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return base.join(wanted, base["doc_id"].eqNullSafe(wanted["d"]) & (base["mark"] == wanted["m"])).drop("doc_id", "mark", "d", "m")
 
 
-def _keyed(base: DataFrame, marked: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
-    """key, node: the first shingles of every node, with those that are the first of very many put last."""
-    keyed = marked.select(F.explode("keys").alias("key"), "node")
-    heavy = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY)
-    heavy = cut(heavy.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS).select("key"), "simhash-heavy")
+def _keyed(base: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """key, node: the first shingles of every node (node, first, keys); a node that begins with one of very many nodes' has the rarer ones first.
+
+    For those nodes all shingles are counted, not only first ones: what a template's texts share would else take
+    the place of what was put last.
+    """
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    heavy = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY), "simhash-heavy")
     if heavy.isEmpty():
         return keyed
-    late = np.sort(heavy.toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-    again = cut(keyed.join(sized(heavy, HEAVY_KEYS), "key", "left_semi").select("node").distinct(), "simhash-again")
+
+    def whole(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column(1), _lists([shingle_set(t, words) for t in b.column(0).to_pylist()])], names=["node", "shingles"])
+
+    def sets_of(some):
+        texts = _read(base, nodes.select("node", "first").join(sized(some, NARROW_ROWS), "node", "left_semi"))
+        return cut(texts.select("text", "node").mapInArrow(whole, "node long, shingles array<long>"), "simhash-whole")
+
+    first = cut(meet(keyed, heavy, "key").select("node").distinct(), "simhash-again")
+    sets = sets_of(first)
+    common = sets.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY)
+    common = cut(common.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS), "simhash-common")
+    # others that begin with one of these follow the same order
+    more = cut(meet(keyed, common, "key").select("node").distinct().join(sized(first, NARROW_ROWS), "node", "left_anti"), "simhash-again")
+    sets, again = sets.unionByName(sets_of(more)), sized(cut(first.unionByName(more), "simhash-again"), NARROW_ROWS)
+    late = keyed.sparkSession.sparkContext.broadcast(np.sort(common.select("key").toArrow().column(0).to_numpy().view(np.uint64)))
 
     def run(batches):
         for b in pieces(batches):
-            found = [first_shingles(shingle_set(t, words), least, late) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), _lists(found)], names=["node", "keys"])
+            flat, ends = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
+            found = [first_shingles(flat[lo:hi], least, late.value) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["node", "keys"])
 
-    texts = _read(base, nodes.select("node", "first").join(sized(again, NARROW_ROWS), "node", "left_semi"))
-    other = cut(texts.select("text", "node").mapInArrow(run, "node long, keys array<long>"), "simhash-rekeyed")
-    kept = marked.join(sized(again, NARROW_ROWS), "node", "left_anti").select(F.explode("keys").alias("key"), "node")
-    return kept.unionByName(other.select(F.explode("keys").alias("key"), "node"))
+    other = cut(sets.mapInArrow(run, "node long, keys array<long>"), "simhash-rekeyed")
+    return nodes.join(again, "node", "left_anti").select("node", "keys").unionByName(other).select(F.explode("keys").alias("key"), "node")
 
 
 def _close(fps, table, a, b, radius, sets=None, least=0.0):
@@ -362,13 +379,13 @@ def _resembling(base: DataFrame, nodes: DataFrame, placed: DataFrame, words: int
 def _pivots(batches, width: int):
     for b in batches:
         table = pivot_table(_words(b.column(1), width)).astype("<i2") if b.num_rows else np.zeros((0, PIVOTS), "<i2")
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in table], pa.binary())], names=["node", "fp", "first", "copies", "pivots"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in table], pa.binary())], names=[*b.schema.names, "pivots"])
 
 
 _FIRST = "struct<last:boolean,doc_id:bigint,mark:bigint>"
 
 
-def _grouped(docs: DataFrame, words: int, radius: int, similarity: float | None, width: int, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, words: int, radius: int, similarity: float | None, width: int, id_col: str, text_col: str, slack: float | None = SLACK) -> DataFrame:
     """doc_id, mark, fp, first (the least document of the group, by id, nulls last, and text hash) of every row."""
     base = _base(docs, id_col, text_col)
     if similarity is None:
@@ -376,15 +393,17 @@ def _grouped(docs: DataFrame, words: int, radius: int, similarity: float | None,
         marked = cut(fingerprints(base, words, width), "simhash-docs")
     else:
         share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ at the threshold
-        radius = math.ceil(64 * width * share + SLACK * math.sqrt(64 * width * share * (1 - share)))
+        radius = 64 * width if slack is None else math.ceil(64 * width * share + slack * math.sqrt(64 * width * share * (1 - share)))
         marked = cut(shingled(base, words, width, similarity), "simhash-docs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    nodes = marked.groupBy("node", "fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).select("node", "fp", F.col("first").cast(_FIRST), "copies")
-    nodes = cut(nodes.mapInArrow(lambda it: _pivots(it, width), f"node long, fp binary, first {_FIRST}, copies long, pivots binary"), "simhash-nodes")
+    keys = [] if similarity is None else [F.any_value("keys").alias("keys")]  # the same in all of a node's documents
+    nodes = marked.groupBy("node", "fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *keys)
+    nodes = nodes.select("node", "fp", F.col("first").cast(_FIRST), "copies", *(["keys"] if keys else []))
+    nodes = cut(nodes.mapInArrow(lambda it: _pivots(it, width), f"node long, fp binary, first {_FIRST}, copies long, {'keys array<long>, ' if keys else ''}pivots binary"), "simhash-nodes")
     if similarity is None:
         placed = components(link(nodes, _segments(nodes, radius), width, radius))
     else:
-        placed = components(link(nodes, _keyed(base, marked, nodes, words, similarity), width, radius))
+        placed = components(link(nodes, _keyed(base, nodes, words, similarity), width, radius))
         placed = components(_resembling(base, nodes, placed, words, width, radius, similarity))
     placed = cut(placed, "simhash-placed")
     labels = cut(nodes.select("node", "first").join(placed, "node").groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-labels")
@@ -408,19 +427,20 @@ def _segments(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def simhash_groups(
-    docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None, width: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None, width: int = 4, id_col: str = "doc_id", text_col: str = "text", slack: float | None = SLACK
 ) -> DataFrame:
     """doc_id, fp (binary, little-endian words), component_id of every row of ``docs``; other columns are not read.
 
     Without ``similarity``: 64-bit fingerprints of shingles of ``words`` words, linked at ``radius`` or fewer
     differing bits, all links found. With it: linked where the shingle sets resemble each other by at least
     ``similarity``. All such pairs share a key and are compared, but for those whose fingerprints of ``width``
-    words lie SLACK standard deviations beyond what the threshold stands for; there are no false links.
+    words lie ``slack`` standard deviations beyond what the threshold stands for (none with ``slack`` None: then
+    every pair that shares a key is compared); there are no false links.
 
     component_id is the smallest doc_id reachable (nulls come last; null if all are). Null and empty texts
     have fingerprint zero and are linked like others. Rows with equal texts, or equal ids, get a row each.
     """
-    return _grouped(docs, words, radius, similarity, width, id_col, text_col).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    return _grouped(docs, words, radius, similarity, width, id_col, text_col, slack).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

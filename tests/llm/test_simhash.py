@@ -3,7 +3,9 @@ import random
 import numpy as np
 import xxhash
 from helpers import ODD, docs
+from pyspark.sql import functions as F
 
+from foliospark.llm import simhash
 from foliospark.llm.components import components
 from foliospark.llm.simhash import _probe, first_shingles, fingerprint_hex, near_dedup, pivot_table, segment_keys, shingle_set, simhash_groups
 
@@ -142,6 +144,34 @@ def test_common_passage(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_templates_propose_pairs_in_proportion(spark, monkeypatch):
+    """Texts that share a form and fill it with their own words: what is proposed grows with the texts, and copies among them are found."""
+    monkeypatch.setattr("foliospark.llm.simhash.HEAVY", 32)
+    proposed, plain = [], simhash.link
+
+    def link(nodes, keyed, width, radius):
+        n = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        proposed.append(n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0])
+        return plain(nodes, keyed, width, radius)
+
+    monkeypatch.setattr("foliospark.llm.simhash.link", link)
+    r = random.Random(9)
+    form = [f"form{i}" for i in range(60)]
+    for n in (300, 1200):
+        rows = [(i, " ".join(form[:30] + [f"own{r.randrange(10**6)}" for _ in range(22)] + form[30:])) for i in range(n)]
+        rows += [(10**6 + i, rows[i][1]) for i in range(n)] + [(2 * 10**6 + i, rows[i][1] + " more") for i in range(0, n, 10)]
+        got = {x["doc_id"]: x["component_id"] for x in simhash_groups(docs(spark, rows), words=5, similarity=0.8).collect()}
+        assert got == {d: d % 10**6 for d, _ in rows}
+    assert proposed[1] <= 6 * proposed[0]  # four times the texts
+
+
+def test_no_radius_at_all(spark):
+    rows = edited(random.Random(3), 30, 0.04)
+    want, _ = jaccard_groups(rows, 5, 0.8)
+    got = simhash_groups(docs(spark, rows), words=5, similarity=0.8, slack=None).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == want
+
+
 def test_similarity(spark):
     r = random.Random(4)
     rows = []
