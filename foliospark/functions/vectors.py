@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.storage import written
-
-#: Query vectors that one scan serves at most; more are scanned in blocks of so many.
+#: Query vectors that go to every task at most; more are dealt out with the vectors.
 QUERY_BLOCK = 1024
 
 
@@ -30,57 +26,47 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _blocks(queries: DataFrame | list):
-    """Lists of at most about QUERY_BLOCK (id, vector); of a table, one at a time comes to the driver."""
-    if isinstance(queries, list):
-        yield from (queries[lo:lo + QUERY_BLOCK] for lo in range(0, len(queries), QUERY_BLOCK))
-        return
-    own, vector = queries.columns
-    n = -(-queries.count() // QUERY_BLOCK)
-    packed = queries.groupBy(F.pmod(F.xxhash64(own), F.lit(max(n, 1))).alias("block")).agg(F.collect_list(F.struct(own, vector)).alias("rows"))
-    for block in packed.toLocalIterator():
-        yield sorted(tuple(r) for r in block["rows"])
-
-
 def knn(vectors: DataFrame, queries: DataFrame | list, k: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: the ``k`` rows of highest cosine for each query, ties to the smaller id; exact.
 
-    ``queries``: a list, or a table of ids and vectors, which is worked off in blocks: a scan of the vectors for
-    each. Each batch keeps its own best ``k`` of each query, so the shuffle carries k rows a batch and query. Rows
-    without a vector, or of another length than the queries, are no neighbours. ``k`` under 1 or no queries
-    give no rows.
+    ``queries``: a list, or a table of ids and vectors. Up to QUERY_BLOCK go to every task, which scans its vectors
+    once and keeps its own best ``k`` of each query, so the shuffle carries k rows a batch and query. More are dealt out
+    with the vectors (``ball_knn``). Rows without a vector, or of another length than the queries, are no
+    neighbours. ``k`` under 1 or no queries give no rows.
     """
     schema = "query_id long, id long, score double"
-    empty = vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
-    if k < 1:
-        return empty
+    spark = vectors.sparkSession
+    if isinstance(queries, list) and len(queries) > QUERY_BLOCK:
+        queries = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id long, v array<double>")
+    if not isinstance(queries, list):
+        few = queries.limit(QUERY_BLOCK + 1).collect()
+        if len(few) > QUERY_BLOCK:
+            from foliospark.operators.neighbours import ball_knn
+
+            return ball_knn(vectors, queries, k, id_col, vector_col)
+        queries = [(r[0], r[1]) for r in few]
+    if k < 1 or not queries:
+        return spark.createDataFrame([], f"{schema}, rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    done = []
-    for part in _blocks(queries):
-        ids = np.array([q for q, _ in part], np.int64)
-        matrix = np.array([v for _, v in part], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def run(batches, ids=ids, matrix=matrix):
-            for b in batches:
-                keep = np.flatnonzero(pc.fill_null(pc.list_value_length(b.column(1)), -1).to_numpy(zero_copy_only=False) == matrix.shape[1])
-                if not len(keep):
-                    continue
-                rows = b.take(pa.array(keep))
-                own = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                norms = np.linalg.norm(data, axis=1)
-                scores = (data @ matrix.T) / np.where(norms == 0, np.nan, norms)[:, None]
-                for j, q in enumerate(ids):
-                    s = scores[:, j]
-                    good = np.flatnonzero(~np.isnan(s))
-                    top = good[np.lexsort((own[good], -s[good]))[:k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(own[top]), pa.array(s[top])], names=["query_id", "id", "score"])
-
-        found = vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, schema)
-        done.append(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-        if len(done) == 2:
-            done[0] = written(done[0], "neighbours")
-        if len(done) > 1:
-            done[-1] = written(done[-1], "neighbours")
-    return reduce(DataFrame.unionByName, done) if done else empty
+    ids = np.array([q for q, _ in queries], np.int64)
+    matrix = np.array([v for _, v in queries], np.float64)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def run(batches):
+        for b in batches:
+            keep = np.flatnonzero(pc.fill_null(pc.list_value_length(b.column(1)), -1).to_numpy(zero_copy_only=False) == matrix.shape[1])
+            if not len(keep):
+                continue
+            rows = b.take(pa.array(keep))
+            own = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+            norms = np.linalg.norm(data, axis=1)
+            scores = (data @ matrix.T) / np.where(norms == 0, np.nan, norms)[:, None]
+            for j, q in enumerate(ids):
+                s = scores[:, j]
+                good = np.flatnonzero(~np.isnan(s))
+                top = good[np.lexsort((own[good], -s[good]))[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(own[top]), pa.array(s[top])], names=["query_id", "id", "score"])
+
+    found = vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, schema)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

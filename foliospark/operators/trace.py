@@ -143,6 +143,16 @@ def recall_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", "relevant", "hits", F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"))
 
 
+def recall_by_label(hits: DataFrame, labels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``recall_at_k`` where a query (query_id, label) is relevant to all other chunks (chunk_id, label) of its label: counted by label, pairs are never made."""
+    n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
+    own = queries.join(labels.select(F.col("chunk_id").alias("query_id"), "label"), ["query_id", "label"], "left_semi").select("query_id", F.lit(1).alias("own"))
+    met = hits.filter((F.col("rank") <= k) & (F.col("chunk_id") != F.col("query_id"))).select("query_id", "chunk_id").join(labels, "chunk_id").join(queries, ["query_id", "label"], "left_semi")
+    rows = queries.join(n, "label").join(own, "query_id", "left").join(met.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")), "query_id", "left").na.fill(0, ["own", "hits"])
+    rows = rows.withColumn("relevant", F.col("of_label") - F.col("own")).filter("relevant > 0")
+    return rows.select("query_id", "relevant", "hits", F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"))
+
+
 #: Bins in which values are counted before the bin that holds a rank is looked into.
 BINS = 4096
 

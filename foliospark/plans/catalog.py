@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliospark import schema
 from foliospark.functions import text as t
 from foliospark.functions import vectors
-from foliospark.operators import corpus, ingest, quotes, render, retrieve, segment, trace, verify
+from foliospark.operators import corpus, ingest, neighbours, quotes, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
 from foliospark.sources import files, html
 from foliospark.storage import written
@@ -355,7 +355,7 @@ def _hits(x):
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
 SELECT query_id, id, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20""")
 def knn_topk(x):
-    found = vectors.knn(x.read("embeddings"), x.queries, TOP_K, id_col="vec_id")
+    found = neighbours.ball_knn(x.read("embeddings"), x.queries, TOP_K, id_col="vec_id")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -437,9 +437,9 @@ def build_prompt(x):
 @query(with_tables("""SELECT query_id, relevant, hits, round(hits / relevant, 6) AS recall FROM (SELECT g.query_id, count(*) AS relevant, count(h.chunk_id) AS hits
     FROM (SELECT q.vec_id AS query_id, v.chunk_id FROM embeddings q JOIN vectors v ON v.label = q.label AND v.chunk_id <> q.vec_id WHERE q.vec_id % 100 = 0) g LEFT JOIN (SELECT * FROM h WHERE rank <= 10) h ON h.query_id = g.query_id AND h.chunk_id = g.chunk_id GROUP BY 1)""", "chunks", "vectors", "spec", s=_SCORES, h=_HITS))
 def recall_at_k(x):
-    q = x.read("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = x.embeddings.select("chunk_id", "label").join(q, "label").filter("query_id <> chunk_id").select("query_id", "chunk_id")
-    return trace.recall_at_k(_hits(x), relevant, 10)
+    labels = x.embeddings.select("chunk_id", "label")
+    queries = x.read("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return trace.recall_by_label(_hits(x), labels, queries, 10)
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x * 3.0)::double * (x * 3.0)::double)) / list_sum(list_transform(embedding, lambda x: (x * 3.0)::double * (x * 3.0)::double)), 6) AS norm, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) AS first FROM embeddings""")
