@@ -7,6 +7,7 @@ tables into cells).
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from html.parser import HTMLParser
 from itertools import groupby, zip_longest
@@ -48,25 +49,31 @@ class _Lexer(HTMLParser):
 
 
 def tokens(page: str) -> list[Token]:
-    """A closing tag matches the last open one of its name; what is never closed ends with the page."""
+    """A closing tag matches the last open one of its name; what is open inside it ends there too, and what is never closed with the page."""
     lexer = _Lexer()
     lexer.feed(page)
     lexer.close()
-    ends, waiting = [len(lexer.found)] * len(lexer.found), {}
+    ends, waiting, stack = [len(lexer.found)] * len(lexer.found), {}, []
     for at, (tag, opens, _, _) in enumerate(lexer.found):
         if opens:
             waiting.setdefault(tag, []).append(at)
+            stack.append(at)
         elif tag and waiting.get(tag):
-            ends[waiting[tag].pop()] = at
+            match, inner = waiting[tag][-1], len(lexer.found)
+            while inner > match:
+                inner = stack.pop()
+                ends[inner] = at
+                waiting[lexer.found[inner][0]].pop()
     return [Token(*t, end) for t, end in zip(lexer.found, ends, strict=True)]
 
 
 def _reach(page: list[Token], span: range, test: Callable[[Token], bool]) -> list[range]:
-    """The outermost stretches within ``span`` that tokens passing ``test`` open, tags included."""
+    """The outermost stretches within ``span`` that tokens passing ``test`` open, their own tags included."""
     out, after = [], span.start
     for at in span:
         if at >= after and page[at].opens and test(page[at]):
-            after = min(page[at].end + 1, span.stop)
+            end = page[at].end
+            after = min(end + (end < len(page) and page[end].tag == page[at].tag), span.stop)
             out.append(range(at, after))
     return out
 
@@ -102,17 +109,11 @@ def _bold(part: list[Token]) -> str:
     return _text(out)
 
 
-def _lines(page: list[Token], at: list[int], breaks: frozenset, marked: bool) -> list[str]:
-    """Lines of the tokens ``at``; a table among them is read down its columns."""
-    first = next((i for i, x in enumerate(at) if page[x].tag == "table" and page[x].opens), None)
-    if first is not None:
-        after = next((i for i, x in enumerate(at) if i > first and x >= page[at[first]].end), len(at))
-        rows, before = [], first + 1
-        for i in [*(i for i in range(first + 1, after) if page[at[i]].tag == "tr" and page[at[i]].opens), after]:
-            rows.append(_lines(page, at[before:i], breaks | {"td", "th", "tr"}, marked))
-            before = i
-        columns = [cell for column in zip_longest(*rows[1:]) for cell in column if cell is not None]
-        return _lines(page, at[:first], breaks, marked) + rows[0] + columns + _lines(page, at[after + 1:], breaks, marked)
+#: Tables inside each other that are read down their columns; deeper ones are read as they stand.
+DEEPEST = 20
+
+
+def _flat(page: list[Token], at: list[int], breaks: frozenset, marked: bool) -> list[str]:
     out = []
     for broken, part in groupby((page[x] for x in at), key=lambda t: t.tag in breaks):
         part = [] if broken else [*part]
@@ -121,6 +122,27 @@ def _lines(page: list[Token], at: list[int], breaks: frozenset, marked: bool) ->
     return out
 
 
+def _table(page: list[Token], at: list[int], breaks: frozenset, marked: bool, depth: int) -> list[str]:
+    """Lines of what is inside a table: what stands before its rows, then its cells, column by column."""
+    edges = [i for i, x in enumerate(at) if page[x].tag == "tr" and page[x].opens]
+    rows = [_lines(page, at[lo:hi], breaks | {"td", "th", "tr"}, marked, depth + 1) for lo, hi in zip([0, *edges], [*edges, len(at)], strict=True)]
+    return rows[0] + [cell for column in zip_longest(*rows[1:]) for cell in column if cell is not None]
+
+
+def _lines(page: list[Token], at: list[int], breaks: frozenset, marked: bool, depth: int = 0) -> list[str]:
+    """Lines of the tokens ``at``, one stretch or table after another."""
+    out, begin, i = [], 0, 0
+    while i < len(at):
+        token = page[at[i]]
+        if token.tag != "table" or not token.opens or depth >= DEEPEST:
+            i += 1
+            continue
+        after = bisect_left(at, token.end, i + 1)
+        out += _flat(page, at[begin:i], breaks, marked) + _table(page, at[i + 1:after], breaks, marked, depth)
+        begin = i = after + (after < len(at) and at[after] == token.end)
+    return out + _flat(page, at[begin:], breaks, marked)
+
+
 def html_lines(page: str | None, containers: Callable[[Token], bool] | str = "article", wanted: str | None = None, dropped: Callable[[Token], bool] | frozenset = DROPPED,
                breaks: frozenset = BREAKS, titles: frozenset = frozenset(), marked: bool = False, every: bool = False) -> list[str]:
     """Lines inside the containers (a tag, perhaps of the class ``wanted``, or a test of tokens), the first or ``every`` one.
@@ -134,7 +156,7 @@ def html_lines(page: str | None, containers: Callable[[Token], bool] | str = "ar
     spans = _reach(all_, range(len(all_)), holds)
     out = []
     for span in spans if every else spans[:1]:
-        inside = range(span.start + 1, span.stop)
+        inside = range(span.start + 1, min(all_[span.start].end, span.stop))
         kept = _without([*inside], _reach(all_, inside, drops))
         for title in _reach(all_, inside, lambda t: t.tag in titles):
             for at in title:

@@ -159,3 +159,18 @@ def test_a_broken_turn_is_refused(spark, tmp_path):
     spark.createDataFrame([turn(1, " ")], TURN).write.parquet(f"{tmp_path}/in")
     with pytest.raises(Exception, match="responses_query_check"):
         write_turns(spark.readStream.schema(TURN).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+
+
+def test_pages_of_many_and_of_deep_tables():
+    cell = "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>"
+    assert html.html_lines(f"<article>{cell * 5000}</article>") == ["a", "c", "b"] * 5000
+    assert html.html_lines("<article>" + "<table>" * 3000 + "x" + "</table>" * 3000 + "y</article>") == ["x", "y"]
+    assert html.html_lines("<article>" + "<table><tr><td>" * 3000 + "x</article>") == ["x"]
+    assert html.html_lines("<article>before<table><tr><td>one<tr><td>two</table>after</article>") == ["before", "one", "two", "after"]
+
+
+def test_unclosed_tags_end_with_what_they_stand_in():
+    assert html.html_lines("<article><p>x<sup>1</p><p>y</p></article>") == ["x", "y"]
+    assert html.html_lines("<article><div>x<nav>menu</div>text</article>") == ["x", "text"]
+    assert html.html_lines("<article><p>a<b>bold</p><p>c</b></p></article>") == ["abold", "c"]
+    assert html.html_lines("<div><article>in<script>1</article>out</div>") == ["in"]
