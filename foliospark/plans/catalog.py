@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliospark import schema
 from foliospark.functions import text as t
 from foliospark.functions import vectors
-from foliospark.operators import corpus, ingest, neighbours, quotes, render, retrieve, segment, trace, verify
+from foliospark.operators import corpus, ingest, neighbours, quotes, refusals, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
 from foliospark.sources import files, html
 from foliospark.storage import written
@@ -714,6 +714,33 @@ def segment_sections(x):
     return segment.segment_sections(made)
 
 
+_FAULTY = """CASE WHEN line_no < 7 AND line_no % 7 = 0 AND doc_id % 5 = 0 OR line_no % 7 = 1 AND doc_id % 4 = 3 THEN 'y' || line WHEN line_no % 7 = 0 THEN 'CHAPTER ' || (part + 1 + CASE WHEN part >= 2 AND doc_id % 3 = 1 THEN 1 ELSE 0 END)
+    WHEN line_no % 7 = 1 THEN '1. x' || line WHEN line_no % 7 = 4 THEN (2 + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END) || '. x' || line ELSE 'y' || line END"""
+
+
+@query(f"""WITH l AS ({_LINES}), n AS (SELECT doc_id, line_no, line_no // 7 AS part, line_no % 7 AS r, doc_id % 5 = 0 AS headless, doc_id % 4 = 3 AS bare FROM l),
+p AS (SELECT *, headless AND part = 0 AS lost, part + 1 + (part >= 2 AND doc_id % 3 = 1)::int AS chapter, part + (part - 1 >= 2 AND doc_id % 3 = 1)::int AS before, 2 + (doc_id % 3 = 2)::int AS second FROM n)
+SELECT doc_id, line_no::int AS line_no, problem FROM (SELECT doc_id, line_no, CASE
+    WHEN r = 0 AND NOT lost THEN CASE WHEN chapter <> CASE WHEN part = 0 OR part = 1 AND headless THEN 1 ELSE before + 1 END THEN 'chapter ' || chapter || ' where ' || CASE WHEN part = 0 OR part = 1 AND headless THEN 1 ELSE before + 1 END || ' was expected' END
+    WHEN lost AND (r = 4 OR r = 1 AND NOT bare) THEN 'a section before any chapter' WHEN lost THEN 'text before any chapter'
+    WHEN r = 4 THEN CASE WHEN second <> CASE WHEN bare THEN 1 ELSE 2 END THEN 'chapter ' || chapter || ' section ' || second || ' where ' || CASE WHEN bare THEN 1 ELSE 2 END || ' was expected' END
+    WHEN bare AND r IN (1, 2, 3) THEN 'text outside a section' END AS problem FROM p) WHERE problem IS NOT NULL""")
+def segment_problems(x):
+    rows = segment.lines(x.read("documents")).withColumn("part", F.floor(F.col("line_no") / 7).cast("int"))
+    return refusals.section_problems(_made(rows.withColumn("line", F.expr(_FAULTY))))
+
+
+@query(f"""WITH l AS ({_LINES}), p AS (SELECT doc_id, line_no, line FROM l)
+SELECT doc_id, line_no::int AS line_no, 'text before any section heading' AS problem FROM p WHERE line_no < doc_id % 3 UNION ALL
+SELECT doc_id, m + d, CASE d WHEN 1 THEN 'recommendation 3 where 2 was expected' ELSE 'recommendation 2 where 4 was expected' END FROM (SELECT doc_id, count(*)::int + 2 AS m FROM p GROUP BY 1), (VALUES (1), (2)) v(d) WHERE doc_id % 2 = 1 UNION ALL
+SELECT doc_id, NULL, '3 recommendations, 2 were expected' FROM p WHERE doc_id % 2 = 1 GROUP BY doc_id""")
+def report_problems(x):
+    rows = segment.lines(x.read("documents"))
+    made = _made(rows.withColumn("line", F.when(F.col("line_no") == F.col("doc_id") % 3, "# I. Part").otherwise(F.concat(F.lit("z"), "line"))))
+    end = F.when(F.col("doc_id") % 2 == 1, "\n# RECOMMENDATIONS\nWe ask:\n1. Do so.\n3. Or not.\n2. Or else.").otherwise("\n# RECOMMENDATIONS\nWe ask:\n1. Do so.\n2. Or not.")
+    return refusals.report_problems(made.withColumn("text", F.concat("text", end)), 2)
+
+
 @query(f"""WITH l AS ({_LINES}) SELECT doc_id, 'WSC Q&A ' || (line_no // 3 + 1) AS locator, string_agg('x' || line, chr(10) ORDER BY line_no) AS text FROM l WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY 1, 2""")
 def segment_questions(x):
     mark = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("Q. "), (F.floor(F.col("line_no") / 3) + 1).cast("string"), F.lit(". x"), "line")).when(F.col("line_no") % 3 == 1, F.concat(F.lit("A. x"), "line")).otherwise(F.concat(F.lit("x"), "line"))

@@ -4,6 +4,7 @@ import pytest
 
 from foliospark.functions.vectors import knn
 from foliospark.operators import ingest, retrieve, segment, trace
+from foliospark.operators import refusals
 from foliospark.operators.quotes import quote_contains
 from foliospark.operators.verify import turn_outcomes
 
@@ -236,3 +237,23 @@ def test_rendered_answers(spark):
     for bad in ("0", "-1", "x", str(2**31)):
         with pytest.raises(ValueError):
             top_k(bad)
+
+
+def test_problems_of_sections_and_reports(spark):
+    docs = spark.createDataFrame([
+        (1, "CHAPTER 1\n1. One.\ngoes on\n2. Two.\nCHAPTER 2\n1. Three."), (2, "loose\nCHAPTER 2\nintro\n1. A\n\n3. B\n4. C\nCHAPTER 3\n2. D"), (3, "1. No chapter."), (4, None), (5, ""), (6, "CHAPTER 99999999999999999999\n1. x"),
+    ], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.problem for r in refusals.section_problems(docs).collect()}
+    assert got == {
+        (2, 0): "text before any chapter", (2, 1): "chapter 2 where 1 was expected", (2, 2): "text outside a section", (2, 5): "chapter 2 section 3 where 2 was expected", (2, 8): "chapter 3 section 2 where 1 was expected",
+        (3, 0): "a section before any chapter", (6, 0): "text before any chapter", (6, 1): "a section before any chapter",
+    }
+    docs = spark.createDataFrame([
+        (1, "# I. One\ntext\n# RECOMMENDATIONS\nWe:\n1. A\n2. B"), (2, "before\n# Title\nstill before\n# II. Two\n# RECOMMENDATIONS\n2. A\n3. B"), (3, None), (4, "# I. " + "long " * 40),
+    ], "doc_id long, text string")
+    rows = refusals.report_problems(docs, 2).collect()
+    assert {(r.doc_id, r.line_no, r.problem) for r in rows} == {
+        (2, 0, "text before any section heading"), (2, 2, "text before any section heading"), (2, 5, "recommendation 2 where 1 was expected"),
+        (3, None, "0 recommendations, 2 were expected"), (4, None, "0 recommendations, 2 were expected"), (4, 0, "text before any section heading"),
+    }
+    assert [tuple(r) for r in refusals.too_long(spark.createDataFrame([(1, "A 1", "abc"), (1, "A 2", "abcd")], "doc_id long, locator string, text string"), 3).collect()] == [(1, "A 2", 4)]
