@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliospark import schema
 from foliospark.functions import text as t
 from foliospark.functions import vectors
-from foliospark.operators import corpus, ingest, neighbours, quotes, refusals, render, retrieve, segment, trace, verify
+from foliospark.operators import corpus, ingest, neighbours, pages, quotes, refusals, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
 from foliospark.sources import files, html
 from foliospark.storage import written
@@ -175,7 +175,23 @@ def sample_refs(x):
 
 @query(with_tables("SELECT corpus_id, locator FROM chunks ORDER BY corpus_id, locator LIMIT 20 OFFSET 60", "chunks"))
 def page_slice(x):
-    return corpus.page_slice(x.narrow_chunks.select("corpus_id", "locator"), ["corpus_id", "locator"], 3, 20)
+    return pages.page_slice(x.narrow_chunks.select("corpus_id", "locator"), ["corpus_id", "locator"], 3, 20)
+
+
+@query(with_tables("SELECT corpus_id, locator FROM chunks QUALIFY (row_number() OVER (ORDER BY corpus_id, locator) - 1) // 50 = (SELECT count(*) * 2 // 3 // 50 FROM chunks)", "chunks"))
+def page_beyond_the_middle(x):
+    rows = x.narrow_chunks.select("corpus_id", "locator")
+    return pages.page_slice(rows, ["corpus_id", "locator"], rows.count() * 2 // 3 // 50, 50)
+
+
+@query(with_tables("""SELECT p.corpus_id, page, pages, place, p.locator, CASE WHEN license NOT IN ('refused', 'local-only') THEN p.text END AS text, e.content_hash = p.content_hash AS blessed,
+    CASE WHEN license = 'refused' THEN 'the licence is `refused`, which permits serving under no configuration' WHEN license = 'local-only' THEN 'the licence is `local-only` and the deployer opt-in is unset, so the default deny applies' END AS withheld
+    FROM (SELECT *, (n + 3) // 4 AS pages, least(2, (n + 3) // 4 - 1) AS page FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY locator) - 1 AS place, count(*) OVER (PARTITION BY corpus_id) AS n FROM staged)) p
+    JOIN works w ON w.corpus_id = p.corpus_id LEFT JOIN existing e ON e.corpus_id = p.corpus_id AND e.locator = p.locator WHERE place // 4 = page""", "staged", "existing", "works"))
+def browse_pages(x):
+    """The third page of each corpus, or its last."""
+    staged = x.staged
+    return pages.browse(staged, x.works, x.prints(x.existing), 2, 4)
 
 
 @query(with_tables(r"SELECT corpus_id, l AS locator, regexp_full_match(l, '\S+( \S+)*') AS locator_ok, regexp_full_match(corpus_id, '[a-z0-9]+(-[a-z0-9]+)+') AS corpus_ok FROM (SELECT corpus_id, CASE id % 4 WHEN 0 THEN locator WHEN 1 THEN ' ' || locator WHEN 2 THEN 'DOC  ' || id ELSE '' END AS l FROM chunks)", "chunks"))

@@ -4,7 +4,7 @@ import pytest
 
 from foliospark.functions.vectors import knn
 from foliospark.operators import ingest, retrieve, segment, trace
-from foliospark.operators import refusals
+from foliospark.operators import pages, refusals
 from foliospark.operators.quotes import quote_contains
 from foliospark.operators.verify import turn_outcomes
 
@@ -257,3 +257,37 @@ def test_problems_of_sections_and_reports(spark):
         (3, None, "0 recommendations, 2 were expected"), (4, None, "0 recommendations, 2 were expected"), (4, 0, "text before any section heading"),
     }
     assert [tuple(r) for r in refusals.too_long(spark.createDataFrame([(1, "A 1", "abc"), (1, "A 2", "abcd")], "doc_id long, locator string, text string"), 3).collect()] == [(1, "A 2", 4)]
+
+
+def test_pages_read_the_parts_that_hold_them(spark, tmp_path):
+    n = 1000
+    frame = spark.createDataFrame([(f"c{i % 3}", i * 37 % n) for i in range(n)], "corpus_id string, k long")
+    want = sorted(map(tuple, frame.collect()))
+    path = f"file://{tmp_path}/pages"
+    pages.write_pages(frame, ["corpus_id", "k"], path, part=100)
+    index = spark.read.parquet(f"{path}/index").orderBy("part").collect()
+    assert len(index) > 5 and index[-1].before + index[-1].n == n
+    for page, size in ((0, 7), (9, 50), (19, 50), (3, 300), (50, 50)):
+        got = pages.read_page(spark, path, ["corpus_id", "k"], page, size)
+        assert sorted(map(tuple, got.collect())) == want[page * size:(page + 1) * size]
+    last = index[-1]
+    spark.createDataFrame([("zz", 1)], "corpus_id string, k long").write.mode("overwrite").parquet(f"{path}/rows/part={last.part}")
+    assert sorted(map(tuple, pages.read_page(spark, path, ["corpus_id", "k"], 5, 50).collect())) == want[250:300]  # what comes after isn't read
+    assert pages.page_slice(frame.filter("k < 0"), ["k"], 0, 5).collect() == []
+
+
+def test_places_in_groups(spark):
+    frame = spark.createDataFrame([("a", f"{i:04d}") for i in range(500)] + [("b", "x"), ("b", "y"), ("c", "z")], "g string, k string").repartition(5)
+    got = {(r.g, r.k): (r.place, r.of) for r in pages.numbered(frame, "g", ["k"]).collect()}
+    assert got == {("a", f"{i:04d}"): (i, 500) for i in range(500)} | {("b", "x"): (0, 2), ("b", "y"): (1, 2), ("c", "z"): (0, 1)}
+
+
+def test_browse_withholds_and_flags(spark):
+    chunks = spark.createDataFrame([("a", f"L {i}", f"t{i}", f"h{i}") for i in range(5)] + [("b", "L 1", "secret", "h"), ("c", "L 1", "odd", "h")], "corpus_id string, locator string, text string, content_hash string")
+    works = spark.createDataFrame([("a", "cc-by"), ("b", "local-only"), ("c", None)], "corpus_id string, license string")
+    prints = spark.createDataFrame([("a", "L 2", "h2"), ("a", "L 3", "other")], "corpus_id string, locator string, sha256 string")
+    got = {(r.corpus_id, r.locator): r for r in pages.browse(chunks, works, prints, 1, 2).collect()}
+    assert set(got) == {("a", "L 2"), ("a", "L 3"), ("b", "L 1"), ("c", "L 1")}
+    assert got["a", "L 2"].blessed is True and got["a", "L 3"].blessed is False and got["b", "L 1"].blessed is None and got["a", "L 2"].text == "t2"
+    assert got["b", "L 1"].text is None and got["b", "L 1"].withheld and got["c", "L 1"].text is None and (got["a", "L 2"].page, got["a", "L 2"].pages, got["b", "L 1"].page) == (1, 3, 0)
+    assert {r.text for r in pages.browse(chunks, works, prints, 0, 2, opt_in=True).collect() if r.corpus_id == "b"} == {"secret"}
