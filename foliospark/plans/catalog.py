@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from foliospark import schema
 from foliospark.functions import text as t
 from foliospark.functions import vectors
-from foliospark.operators import corpus, ingest, neighbours, pages, quotes, refusals, render, retrieve, segment, trace, verify
+from foliospark.operators import corpus, ingest, neighbours, pages, quotes, reconcile, refusals, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
 from foliospark.sources import files, html
-from foliospark.storage import written
+from foliospark.storage import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -222,6 +223,14 @@ def fingerprint_diff(x):
     return _diff(x)
 
 
+@query(with_tables(_DIFF, "existing", "staged"))
+def stored_diff(x):
+    at = f"{shared_dir(x.spark)}/prints-{uuid.uuid4().hex}"
+    for name, rows in (("committed", x.existing), ("acquired", x.staged)):
+        reconcile.write_prints(x.prints(rows), f"{at}/{name}", 1)
+    return reconcile.stored_diff(x.spark, f"{at}/committed", f"{at}/acquired", 1)
+
+
 @query(with_tables("""SELECT class, count(*) AS n, (SELECT string_agg(locator, ', ' ORDER BY locator, corpus_id) FROM (SELECT * FROM d e WHERE e.class = d.class ORDER BY locator, corpus_id LIMIT 10)) AS sample FROM d GROUP BY class""", "existing", "staged", d=_DIFF))
 def diff_summary(x):
     return ingest.diff_summary(_diff(x))
