@@ -75,9 +75,9 @@ def page_slice(rows: DataFrame, keys: list[str], page: int, size: int = 500) ->
     return head.orderBy(*keys).offset(page * size)
 
 
-def token_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks, median and longest word count of each corpus."""
-    words = chunks.select("corpus_id", t.word_count(F.col("text")).alias("words"))
+def token_stats(chunks: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Chunks, median and longest word count of each corpus; of the ``words`` of ``counted`` (corpus_id, words), where a tokenizer has counted them."""
+    words = counted or chunks.select("corpus_id", t.word_count(F.col("text")).alias("words"))
     return words.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("chunks"), F.percentile("words", 0.5).alias("median_words"), F.max("words").alias("longest_words"))
 
 

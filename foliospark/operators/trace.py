@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark import schema as s
+from foliospark.storage import written
 
 
 def _blank(name: str) -> Column:
@@ -153,27 +154,21 @@ def recall_by_label(hits: DataFrame, labels: DataFrame, queries: DataFrame, k: i
     return rows.select("query_id", "relevant", "hits", F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"))
 
 
-#: Bins in which values are counted before the bin that holds a rank is looked into.
-BINS = 4096
-
-
 def nearest_rank(samples: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
     """Percentiles without interpolation: the sample at (0-based) n * p // 100 in order.
 
-    Values are counted in bins between a group's least and greatest; only the bin that holds the rank is
-    ordered, by distinct values with their counts.
+    Distinct values with their counts are dealt out by ranges; a range's values follow on the counts of those before it,
+    so neither a group nor a value that many samples share is gathered, however values are spread.
     """
     rows = samples.filter(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
-    ends = rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("all")).withColumnRenamed("g", "of")
-    bin_ = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).cast("int")
-    rows = rows.join(ends, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "all", bin_.alias("bin"))
-    counts = rows.groupBy("g", "all", "bin").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("bin")))
-    at = counts.select("g", "bin", "n", "upto", F.explode(F.array(*map(F.lit, percents))).alias("p"), "all").withColumn("rank", F.floor(F.col("all") * F.col("p") / 100))
-    at = at.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select(F.col("g").alias("of"), F.col("bin").alias("in_bin"), "p", (F.col("rank") - F.col("upto") + F.col("n")).alias("skip"))
-    inside = rows.join(at, F.col("g").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("in_bin"))).groupBy("g", "all", "p", "skip", "v").agg(F.count(F.lit(1)).alias("n"))
-    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("g", "p").orderBy("v"))).filter(F.col("upto") > F.col("skip"))
-    found = inside.groupBy("g", "all", "p").agg(F.min("v").alias("v"))
+    counts = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = written(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "ranks")
+    of = Window.partitionBy("g")  # a row for each part
+    parts = dealt.groupBy("g", "part").agg(F.sum("n").alias("held"))
+    parts = parts.select(F.col("g").alias("of"), F.col("part").alias("in_part"), (F.sum("held").over(of.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(of).alias("all"))
+    placed = dealt.withColumn("upto", F.sum("n").over(Window.partitionBy("g", "part").orderBy("v"))).join(parts, F.col("g").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part")))
+    placed = placed.withColumn("upto", F.col("upto") + F.col("before")).withColumn("p", F.explode(F.array(*map(F.lit, percents)))).withColumn("rank", F.floor(F.col("all") * F.col("p") / 100))
+    found = placed.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
     return found.groupBy(F.col("g").alias(by)).agg(F.max("all").alias("samples"), *[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
 
 

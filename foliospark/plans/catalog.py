@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark import schema
 from foliospark.functions import text as t
 from foliospark.functions import vectors
-from foliospark.operators import corpus, ingest, neighbours, pages, quotes, reconcile, refusals, render, retrieve, segment, trace, verify
+from foliospark.operators import corpus, embed, ingest, neighbours, pages, quotes, reconcile, refusals, render, retrieve, segment, trace, verify
 from foliospark.plans.fixtures import MODEL, TOP_K, Fixtures, blank, norm, with_tables
 from foliospark.sources import files, html
 from foliospark.storage import shared_dir, written
@@ -356,6 +356,28 @@ def batch_pack(x):
     return ingest.batch_pack(x.raw_chunks, PACK)
 
 
+def _quarters():
+    """An invented tokenizer: words in pieces of four letters."""
+    return lambda texts: [sum(-(-len(w) // 4) for w in x.split(" ")) for x in texts]
+
+
+@query(with_tables("SELECT corpus_id, count(*) AS chunks, median(words) AS median_words, max(words)::bigint AS longest_words FROM (SELECT corpus_id, coalesce(list_sum(list_transform(string_split(text, ' '), lambda w: (length(w) + 3) // 4)), 0)::bigint AS words FROM chunks) GROUP BY 1", "chunks"))
+def token_stats_hook(x):
+    return corpus.token_stats(x.chunks, embed.token_counts(x.chunks, _quarters, "corpus_id"))
+
+
+def _sizes():
+    """An invented embedder: words and characters of a text, and the texts of a batch do not matter."""
+    return lambda texts: [[float(len(x.split())), float(len(x))] for x in texts]
+
+
+@query(with_tables("SELECT id AS chunk_id, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END)::double AS words, length(text)::double AS chars FROM chunks WHERE id NOT IN (SELECT chunk_id FROM vectors)", "chunks", "vectors"))
+def embedded_backlog(x):
+    waiting = written(corpus.embedding_backlog(x.chunks, x.embeddings, MODEL), "backlog")  # texts are read twice, and normalised once
+    made = embed.embed(waiting, _sizes, 2, PACK)
+    return made.select("chunk_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("words", "chars"))])
+
+
 @query(with_tables("SELECT corpus_id, locator, locator || '  ' || content_hash AS value FROM chunks", "chunks"))
 def fingerprint_render(x):
     return files.render_fingerprints(x.chunks)

@@ -291,3 +291,11 @@ def test_browse_withholds_and_flags(spark):
     assert got["a", "L 2"].blessed is True and got["a", "L 3"].blessed is False and got["b", "L 1"].blessed is None and got["a", "L 2"].text == "t2"
     assert got["b", "L 1"].text is None and got["b", "L 1"].withheld and got["c", "L 1"].text is None and (got["a", "L 2"].page, got["a", "L 2"].pages, got["b", "L 1"].page) == (1, 3, 0)
     assert {r.text for r in pages.browse(chunks, works, prints, 0, 2, opt_in=True).collect() if r.corpus_id == "b"} == {"secret"}
+
+
+def test_nearest_rank_of_skewed_values(spark):
+    values = {"a": [0.0] * 5000 + [1e300, -1e300] + [float(i) for i in range(50)], None: [3.0, 1.0, 2.0], "b": [5.0]}
+    frame = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("b", None)], "k string, v double").repartition(6)
+    got = {x["k"]: (x["samples"], x["p50"], x["p99"], x["p100"]) for x in trace.nearest_rank(frame, "k", "v", (50, 99, 100)).collect()}
+    at = lambda vs, p: (sorted(vs)[len(vs) * p // 100] if p < 100 else None)
+    assert got == {k: (len(vs), *(at(vs, p) for p in (50, 99, 100))) for k, vs in values.items()}
