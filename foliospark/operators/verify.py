@@ -101,17 +101,21 @@ def _tier(corpus: Column) -> Column:
     return F.element_at(F.col("tiers"), corpus)["tier"]
 
 
-def answer_failures(answers: DataFrame, results: DataFrame, spec: DataFrame, loci: list[tuple[str, str, str]], key: str = "answer_id") -> DataFrame:
+def answer_failures(answers: DataFrame, results: DataFrame, spec: DataFrame, loci: DataFrame, key: str = "answer_id") -> DataFrame:
     """key, ord, code, slot, corpus_id, locator: the answer-level rules that each answer breaks, in order of emission.
 
-    ``spec`` (corpus_id, tier, position) is a table, ``loci`` (locus, corpus, locator) a profile's lines. A ruling
-    counts as cited while uncontested only where its citation passed all four checks in ``results``.
+    ``spec`` (corpus_id, tier, position) and ``loci`` (locus, corpus_id, locator) are tables, and both are joined; of
+    several rulings of a locus the first by corpus and locator counts. A ruling counts as cited while uncontested
+    only where its citation passed all four checks in ``results``.
     """
     tier, answers = _tier, looked_up(answers, _tiers(spec), key, "tiers")
     a = F.col("answer")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    refs = results.filter("failure_detail = ''").select(key, F.struct("slot_order", "i", "j", "corpus_id", "locator").alias("ref"))
-    rows = answers.join(refs.groupBy(key).agg(F.array_sort(F.collect_list("ref")).alias("refs")), key, "left")
+    rulings = loci.groupBy("locus").agg(F.min(F.struct("corpus_id", "locator")).alias("__ruling"))
+    refs = results.filter("failure_detail = ''").join(loci.select("corpus_id", "locator").distinct(), ["corpus_id", "locator"], "left_semi")  # of rulings only
+    refs = refs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot_order", "i", "j", "corpus_id", "locator"))).alias("refs"))
+    rows = answers.join(refs, key, "left").withColumn("__locus", F.coalesce(a["contested"]["locus"], F.lit("")))
+    rows = rows.join(rulings.withColumnRenamed("locus", "__locus"), "__locus", "left")
     fail = lambda code, slot, corpus=None, locator=None: F.struct(F.lit(code).alias("code"), (slot if isinstance(slot, Column) else F.lit(slot)).alias("slot"), (F.lit("") if corpus is None else corpus).alias("corpus_id"), (F.lit("") if locator is None else locator).alias("locator"))
     kind = "array<struct<code:string,slot:string,corpus_id:string,locator:string>>"
     when = lambda cond, f: F.when(cond, F.array(f)).otherwise(F.array().cast(kind))
@@ -129,15 +133,12 @@ def answer_failures(answers: DataFrame, results: DataFrame, spec: DataFrame, loc
 
     arguments = F.flatten(F.transform(F.transform(F.coalesce(a["arguments"], F.array().cast(s.ANSWER["arguments"].dataType.simpleString())), numbered("arguments")), of_argument))
     contested, n_arguments = F.coalesce(a["contested"]["is_contested"], F.lit(False)), size(a["arguments"])
-    lines = F.array(*[F.struct(F.lit(x).alias("locus"), F.lit(c).alias("corpus_id"), F.lit(p).alias("locator")) for x, c, p in loci]) if loci else F.array().cast("array<struct<locus:string,corpus_id:string,locator:string>>")
-    ruling = F.try_element_at(F.filter(lines, lambda x: x["locus"] == F.coalesce(a["contested"]["locus"], F.lit(""))), F.lit(1))
+    ruling = F.col("__ruling")
     cited = F.try_element_at(F.filter(a["contested"]["citations"], lambda c: (c["corpus_id"] == ruling["corpus_id"]) & (c["locator"] == ruling["locator"])), F.lit(1))
     debate = F.coalesce(a["contested"]["state_of_debate"], F.lit(""))
     rows = rows.withColumns({"__debate": t.normalise(debate), "__quote": t.normalise(F.coalesce(cited["quote"], F.lit("")))})
     debated = F.contains("__debate", "__quote")
-    latest = F.reverse(lines)
-    seen = F.array_distinct(F.transform(F.coalesce("refs", F.array().cast("array<struct<slot_order:int,i:int,j:int,corpus_id:string,locator:string>>")), lambda r: F.struct(r["corpus_id"].alias("corpus_id"), r["locator"].alias("locator"))))
-    held = F.filter(seen, lambda r: F.exists(latest, lambda x: (x["corpus_id"] == r["corpus_id"]) & (x["locator"] == r["locator"])))
+    held = F.array_distinct(F.transform(F.coalesce("refs", F.array().cast("array<struct<slot_order:int,i:int,j:int,corpus_id:string,locator:string>>")), lambda r: F.struct(r["corpus_id"].alias("corpus_id"), r["locator"].alias("locator"))))
     omitted = F.when(contested, F.array().cast(kind)).otherwise(F.transform(held, lambda r: fail("ruling-cited-while-uncontested", "contested.is_contested", r["corpus_id"], r["locator"])))
     reason = F.coalesce(a["no_answer_reason"], F.lit(""))
     content = (n_arguments > 0) | (size(a["descriptions"]) > 0) | (size(a["contrary_positions"]) > 0)

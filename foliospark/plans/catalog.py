@@ -605,7 +605,7 @@ _RULED = with_tables("SELECT 1", "placed", "works", "spec", "loci", "answer_fact
 
 
 def _failures(x):
-    return verify.answer_failures(x.answers, _results(x), x.spec, x.loci_lines)
+    return verify.answer_failures(x.answers, _results(x), x.spec, x.loci)
 
 
 @query(_RULED + " SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY step, nth) - 1)::int AS ord, code, slot, corpus_id, locator FROM rules")

@@ -77,10 +77,6 @@ class Fixtures:
         none = self.spark.createDataFrame([("locus-c", FABRICATED, "DOC -1")], "locus string, corpus_id string, locator string")
         return rows.unionByName(none)
 
-    @property
-    def loci_lines(self) -> list[tuple[str, str, str]]:
-        return [tuple(r) for r in self.loci.orderBy("locus").collect()]
-
     @property
     def staged(self) -> DataFrame:
         return self.chunks.filter("id % 10 <> 2")
