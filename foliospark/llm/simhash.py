@@ -36,8 +36,8 @@ BLOCK, SET_BLOCK = 2048, 256
 FEW = 24
 #: The radius of wide fingerprints lies so many standard deviations above what the threshold stands for.
 SLACK = 6.0
-#: Shingles that more nodes have are put last in the order, at most so many of them (8 bytes each in every task); what is put last changes costs, not results.
-HEAVY, HEAVY_KEYS = 256, 1 << 20
+#: Shingles that more nodes begin with are put last in the order, at most so many of them (8 bytes each in every task) in so many rounds; what is put last changes costs, not results.
+HEAVY, HEAVY_KEYS, ROUNDS = 256, 1 << 20, 12
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -167,39 +167,43 @@ def _read(base: DataFrame, wanted: DataFrame) -> DataFrame:
 def _keyed(base: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
     """key, node: the first shingles of every node (node, first, keys); a node that begins with one of very many nodes' has the rarer ones first.
 
-    For those nodes all shingles are counted, not only first ones: what a template's texts share would else take
-    the place of what was put last.
+    What takes the place of shingles put last may be shared by as many, as in a template's texts, so it is counted
+    again, for ROUNDS at most. A node whose first shingles hold none that is put last has them in any order, so
+    only the others are dealt with anew.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    heavy = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY), "simhash-heavy")
-    if heavy.isEmpty():
-        return keyed
+    spark = base.sparkSession
+    now = counted = nodes.select("node", "keys")
+    late, known, sets = np.zeros(0, np.uint64), None, None
 
     def whole(batches):
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(1), _lists([shingle_set(t, words) for t in b.column(0).to_pylist()])], names=["node", "shingles"])
 
-    def sets_of(some):
-        texts = _read(base, nodes.select("node", "first").join(sized(some, NARROW_ROWS), "node", "left_semi"))
-        return cut(texts.select("text", "node").mapInArrow(whole, "node long, shingles array<long>"), "simhash-whole")
-
-    first = cut(meet(keyed, heavy, "key").select("node").distinct(), "simhash-again")
-    sets = sets_of(first)
-    common = sets.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY)
-    common = cut(common.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS), "simhash-common")
-    # others that begin with one of these follow the same order
-    more = cut(meet(keyed, common, "key").select("node").distinct().join(sized(first, NARROW_ROWS), "node", "left_anti"), "simhash-again")
-    sets, again = sets.unionByName(sets_of(more)), sized(cut(first.unionByName(more), "simhash-again"), NARROW_ROWS)
-    late = keyed.sparkSession.sparkContext.broadcast(np.sort(common.select("key").toArrow().column(0).to_numpy().view(np.uint64)))
-
-    def run(batches):
-        for b in pieces(batches):
-            flat, ends = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
-            found = [first_shingles(flat[lo:hi], least, late.value) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["node", "keys"])
-
-    other = cut(sets.mapInArrow(run, "node long, keys array<long>"), "simhash-rekeyed")
-    return nodes.join(again, "node", "left_anti").select("node", "keys").unionByName(other).select(F.explode("keys").alias("key"), "node")
+    def first(shared):
+        def run(batches):
+            for b in pieces(batches):
+                flat, ends = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
+                found = [first_shingles(flat[lo:hi], least, shared.value) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["node", "keys"])
+
+        return run
+
+    for _ in range(ROUNDS):
+        heavy = counted.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY)
+        heavy = cut((heavy if known is None else heavy.join(known, "key", "left_anti")).orderBy(F.desc("n"), "key").limit(HEAVY_KEYS - len(late)), "simhash-heavy")
+        if heavy.isEmpty():
+            break
+        known = heavy.select("key") if known is None else known.unionByName(heavy.select("key"))
+        late = np.sort(np.concatenate((late, heavy.select("key").toArrow().column(0).to_numpy().view(np.uint64))))
+        again = cut(meet(now.select(F.explode("keys").alias("key"), "node"), heavy, "key").select("node").distinct(), "simhash-again")
+        unread = again if sets is None else cut(again.join(sets.select("node"), "node", "left_anti"), "simhash-unread")
+        texts = _read(base, nodes.select("node", "first").join(sized(unread, NARROW_ROWS), "node", "left_semi"))
+        read = cut(texts.select("text", "node").mapInArrow(whole, "node long, shingles array<long>"), "simhash-whole")
+        sets = read if sets is None else sets.unionByName(read)
+        again = sized(again, NARROW_ROWS)
+        counted = cut(sets.join(again, "node", "left_semi").mapInArrow(first(spark.sparkContext.broadcast(late)), "node long, keys array<long>"), "simhash-rekeyed")
+        now = now.join(again, "node", "left_anti").unionByName(counted)
+    return now.select(F.explode("keys").alias("key"), "node")
 
 
 def _close(fps, table, a, b, radius, sets=None, least=0.0):
