@@ -145,3 +145,19 @@ def test_command_lines(monkeypatch, spark, tmp_path):
     monkeypatch.setattr(settings, "session", lambda name: kept)
     job1_ingest.main(["--documents", docs, "--output", out, "--checkpoint", checkpoint])
     assert len(corpus(spark, out)) == 1 and kept.stopped
+
+
+@needs_tables
+def test_ingest_of_a_table_that_grows_is_the_whole_table(spark, tmp_path):
+    """Two runs over copies of the documents, the second with the rest of them, give what SQL says of all."""
+    docs, out, checkpoint = paths(tmp_path)
+    whole = spark.read.parquet(f"{DIR}/documents.parquet")
+    for part in (whole.filter("doc_id % 3 <> 0"), whole.filter("doc_id % 3 = 0")):
+        part.coalesce(1).write.mode("append").parquet(docs)
+        assert job1_ingest.run(spark, docs, out, checkpoint) == 1
+    assert tally(spark, out)[0][0] + tally(spark, out)[1][0] == job1_ingest.current(spark, out).count()
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    want = c.sql(ORACLE_SQL[job1_ingest.NAME])
+    got = job1_ingest.current(spark, out).withColumn("chars", F.length("text")).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
