@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Version of the normalisation contract.
 NORMALISATION_VERSION = 1
@@ -22,11 +18,13 @@ LANGUAGE = r"^[a-z]{2,3}(-[A-Za-z0-9]{2,8})*$"
 SHA256 = r"^[0-9a-f]{64}$"
 LOCATOR = r"^\S+( \S+)*$"
 
+#: The same whitespace, character by character.
+SPACES = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no such function. ASCII is NFC already."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def nfc(text: Column) -> Column:
+    """Unicode NFC by the ICU classes that Spark comes with for its collations: texts don't leave the JVM. The text must not be null."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
 
 
 def without_format_characters(text: Column) -> Column:
@@ -39,16 +37,22 @@ def trim_space(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return trim_space(F.coalesce(text, F.lit(""))) == ""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{WHITESPACE}]")
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return _single(F.translate(text, SPACES, " " * len(SPACES)))
+
+
+def _single(text: Column) -> Column:
+    """Runs of U+0020 to one, none at the ends; a plain character is matched much faster than a class of ranges."""
+    return F.trim(F.regexp_replace(text, "  +", " "))
 
 
 def normalise(text: Column) -> Column:
     """The contract's steps in order: remove format characters, NFC, whitespace runs to one space, trim. Nothing else."""
-    return squeeze(nfc(without_format_characters(text)))
+    # one translation removes and turns whitespace to U+0020; NFC composes nothing with either and maps whitespace to whitespace
+    return F.when(text.isNotNull(), _single(nfc(F.translate(text, SPACES + REMOVED, " " * len(SPACES)))))
 
 
 def fingerprint(text: Column) -> Column:
@@ -64,7 +68,7 @@ def word_count(text: Column) -> Column:
 def normalisation_report(text: Column) -> dict[str, Column]:
     """What the contract's steps change in a text, as columns by name."""
     stripped = without_format_characters(text)
-    composed = nfc(stripped)
+    composed = F.when(stripped.isNotNull(), nfc(stripped))
     inner = trim_space(composed)
     runs = f"[{WHITESPACE}]+"
     changed = F.filter(F.regexp_extract_all(inner, F.lit(f"({runs})"), 1), lambda r: r != " ")

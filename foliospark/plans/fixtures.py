@@ -74,7 +74,7 @@ class Fixtures:
     @property
     def loci(self) -> DataFrame:
         rows = self.narrow_chunks.filter("id IN (12, 14)").select(F.when(F.col("id") == 12, "locus-a").otherwise("locus-b").alias("locus"), "corpus_id", "locator")
-        none = self.spark.createDataFrame([("locus-c", FABRICATED, "DOC -1")], "locus string, corpus_id string, locator string")
+        none = self.spark.range(1).select(F.lit("locus-c").alias("locus"), F.lit(FABRICATED).alias("corpus_id"), F.lit("DOC -1").alias("locator"))  # no Python worker makes it
         return rows.unionByName(none)
 
     @property
@@ -86,6 +86,13 @@ class Fixtures:
         rows = self.chunks.filter("id % 10 <> 1")
         return rows.withColumn("content_hash", F.when(F.col("id") % 7 == 0, t.fingerprint(F.concat(F.lit("old "), "text"))).otherwise(F.col("content_hash")))
 
+    def hashed(self) -> tuple[DataFrame, DataFrame]:
+        """``staged`` and ``existing`` without texts: every text is normalised and hashed once, and the hashes are written down."""
+        older = F.when(F.col("id") % 7 == 0, t.fingerprint(F.concat(F.lit("old "), "text")))
+        rows = written(self.chunks.withColumn("older", older).drop("text"), "hashed")
+        existing = rows.filter("id % 10 <> 1").withColumn("content_hash", F.coalesce("older", "content_hash"))
+        return rows.filter("id % 10 <> 2").drop("older"), existing.drop("older")
+
     @staticmethod
     def prints(chunks: DataFrame) -> DataFrame:
         return chunks.select("corpus_id", "locator", F.col("content_hash").alias("sha256"))

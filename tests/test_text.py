@@ -1,8 +1,11 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
 from foliospark.operators.verify import classify_completions, licence_refusal
+from foliospark.plans import catalog
 
 WHITESPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 REMOVED = [0xFEFF, 0x200B, 0x200C, 0x200D, 0xAD]
@@ -54,3 +57,17 @@ def test_completions(spark):
     rows = [(0, 0, "stop", "{}"), (1, 1, "length", "{}"), (2, 1, "stop", "{"), (3, 1, "stop", "[1]"), (4, 1, "stop", '"x"'), (5, 1, "stop", "{}"), (6, 1, None, None), (7, None, "length", None)]
     got = {r["request_id"]: r["code"] for r in classify_completions(spark.createDataFrame(rows, "request_id int, choices int, finish_reason string, content string")).collect()}
     assert got == {0: "empty", 1: "truncated", 2: "not-json", 3: "not-an-object", 4: "not-an-object", 5: None, 6: "not-json", 7: "empty"}
+
+
+def test_every_character_as_unicodedata_has_it(spark):
+    known = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    rows = [(i, "".join(f"{c}-a{c}̣́-" for c in known[i:i + 500])) for i in range(0, len(known), 500)]
+    got = {r["i"]: r["y"] for r in spark.createDataFrame(rows, "i int, x string").select("i", t.nfc(F.col("x")).alias("y")).collect()}
+    assert got == {i: unicodedata.normalize("NFC", x) for i, x in rows}
+
+
+@pytest.mark.parametrize("name", ["browse_pages", "chunk_blessed_flag", "omission_check", "render_answer", "apply_text", "stale_vectors"])
+def test_texts_stay_in_the_jvm(spark, name):
+    """No Python worker is given the whole texts of these queries."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan and "ExistingRDD" not in plan
