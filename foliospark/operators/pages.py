@@ -68,10 +68,10 @@ def browse(chunks: DataFrame, works: DataFrame, committed: DataFrame, page: int,
     A corpus with fewer pages shows its last. Where the licence forbids serving, ``withheld`` says why, and there is no text
     at all. ``blessed``: whether a chunk is what was committed, null if nothing was committed for it.
     """
-    rows = numbered(chunks.select("corpus_id", "locator", "content_hash"), "corpus_id", ["locator"]).withColumn("pages", F.ceil(F.col("of") / size))
+    rows = numbered(chunks.select("corpus_id", "locator"), "corpus_id", ["locator"]).withColumn("pages", F.ceil(F.col("of") / size))
     shown = rows.withColumn("page", F.least(F.lit(page).cast("long"), F.col("pages") - 1)).filter(F.floor(F.col("place") / size) == F.col("page"))
     shown = shown.join(works.select("corpus_id", licence_refusal(F.col("license"), opt_in).alias("withheld")), "corpus_id")
     shown = shown.join(committed.select("corpus_id", "locator", "sha256"), ["corpus_id", "locator"], "left")
-    texts = chunks.select("corpus_id", "locator", "text")  # of what is shown only
+    texts = chunks.select("corpus_id", "locator", "text", "content_hash")  # of what is shown only
     shown = shown.join(texts, ["corpus_id", "locator"])
     return shown.select("corpus_id", "page", "pages", "place", "locator", F.when(F.col("withheld").isNull(), F.col("text")).alias("text"), (F.col("sha256") == F.col("content_hash")).alias("blessed"), "withheld")
