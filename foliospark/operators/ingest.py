@@ -126,20 +126,23 @@ def over_limit(staged: DataFrame, limit: int) -> DataFrame:
 def apply_text(chunks: DataFrame, staged: DataFrame, version: int = t.NORMALISATION_VERSION) -> DataFrame:
     """The chunks after ingestion of ``staged``: updated in place, deleted where no longer staged, new ones with ids above all others.
 
-    New ids follow (corpus_id, locator); the ranks come from a distributed sort, not from one task.
+    New ids follow (corpus_id, locator); the ranks come from a distributed sort, not from one task. Where both sides come
+    without texts, so do the chunks; with them, what is staged is read with its texts once.
     """
-    old = chunks.select("id", "corpus_id", "locator", F.col("text").alias("o_text"), F.col("content_hash").alias("o_hash"), F.col("normalisation_version").alias("o_version"))
-    rows = staged.select("corpus_id", "locator", "text", "content_hash").join(old, ["corpus_id", "locator"], "left")
+    text = [c for c in ("text",) if c in staged.columns]
+    old = chunks.select("id", "corpus_id", "locator", *[F.col(c).alias("o_text") for c in text], F.col("content_hash").alias("o_hash"), F.col("normalisation_version").alias("o_version"))
+    rows = staged.select("corpus_id", "locator", *text, "content_hash").join(old, ["corpus_id", "locator"], "left")
     same = F.col("content_hash") == F.col("o_hash")
-    kept = rows.filter("id IS NOT NULL").select("id", "corpus_id", "locator", F.when(same, F.col("o_text")).otherwise(F.col("text")).alias("text"), "content_hash", F.when(same, F.col("o_version")).otherwise(F.lit(version)).alias("normalisation_version"))
     top = chunks.agg(F.max("id")).first()[0] or 0
     # places in a distributed sort: of the row in its partition, after the rows of the partitions before
     keys = rows.filter("id IS NULL").select("corpus_id", "locator").orderBy("corpus_id", "locator").withColumn("at", F.monotonically_increasing_id())
     keys = written(keys, "new-chunks").withColumns({"part": F.shiftright("at", 33), "in_part": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
     before = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
     ids = keys.join(before, "part").select("corpus_id", "locator", (F.col("in_part") + F.col("before") + top + 1).alias("id"))
-    new = rows.filter("id IS NULL").drop("id").join(ids, ["corpus_id", "locator"]).select("id", "corpus_id", "locator", "text", "content_hash", F.lit(version).alias("normalisation_version"))
-    return kept.unionByName(new)
+    rows = rows.join(ids.withColumnRenamed("id", "new_id"), ["corpus_id", "locator"], "left")  # which has only locators that have no id
+    return rows.select(
+        F.coalesce("id", "new_id").alias("id"), "corpus_id", "locator", *[F.when(same, F.col("o_text")).otherwise(F.col(c)).alias(c) for c in text], "content_hash",
+        F.when(same, F.col("o_version")).otherwise(F.lit(version)).alias("normalisation_version"))
 
 
 def stale_vectors(embeddings: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
