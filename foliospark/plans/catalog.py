@@ -337,7 +337,8 @@ def apply_text(x):
 
 @query(with_tables("SELECT chunk_id, embedding_model FROM vectors WHERE chunk_id NOT IN (SELECT a.id FROM a JOIN existing e ON e.id = a.id AND e.content_hash = a.content_hash)", "staged", "existing", "vectors", a=_APPLIED))
 def stale_vectors(x):
-    return ingest.stale_vectors(x.embeddings, x.existing, ingest.apply_text(x.existing, x.staged))
+    staged, existing = x.hashed()
+    return ingest.stale_vectors(x.embeddings, existing, ingest.apply_text(existing, staged))
 
 
 @query(with_tables("""SELECT corpus_id, CASE WHEN n % 4 <> 1 THEN work || ' new' ELSE work END AS work, CASE WHEN n % 4 <> 1 THEN NULL ELSE author END AS author, CASE WHEN n % 4 <> 2 THEN 'then' END AS ingested_at FROM works""", "works"))
