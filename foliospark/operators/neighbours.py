@@ -24,6 +24,8 @@ from foliospark.storage import written
 PIVOTS = 1024
 #: Vectors and queries of a block.
 ROWS, QUERIES = 4096, 1024
+#: Rows of vectors or queries whose angles to all pivots a task holds at once.
+SLICE = 256
 #: Added to bounds: angles of floating point numbers are that exact.
 MARGIN = 1e-6
 #: Scores are told apart to so many decimals; vectors that are equal to those tie, and the smaller id comes first.
@@ -42,12 +44,18 @@ def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(_unit(x) @ _unit(y).T, -1, 1))
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _placed(shared):
     """Rows (id, v) -> id, v, ball, angle; vectors without a direction are left out."""
 
     def run(batches):
-        for b in batches:
-            x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, shared.value.shape[1]))
+        for b in _slices(batches):
+            x = _matrix(b.column(1))
             keep = np.flatnonzero(np.linalg.norm(x, axis=1) > 0)
             angles = _angles(x[keep], shared.value)
             ball = angles.argmin(axis=1) if len(keep) else np.zeros(0, np.int64)
@@ -62,22 +70,23 @@ def _dealt(shared, k: int):
 
     def run(batches):
         pivots, balls, low, high, size = shared.value
-        for b in batches:
+        for b in _slices(batches):
+            angles = _angles(_matrix(b.column(1)), pivots)[:, balls]
             whom, where = [], []
-            if b.num_rows:
-                angles = _angles(_matrix(b.column(1)), pivots)[:, balls]
-                for i, (row, reach) in enumerate(zip(angles, b.column(2).to_pylist(), strict=True)):
-                    order = np.argsort(row, kind="stable")
-                    home = order[:np.searchsorted(np.cumsum(size[order]), k) + 1]
-                    if reach is not None:
-                        gap = np.maximum(row - high, low - row)
-                        near = gap <= reach + MARGIN
-                        near[home] = False
-                        home = np.flatnonzero(near)
-                    whom += [i] * len(home)
-                    where.append(balls[home])
-            rows = b.take(pa.array(whom, pa.int64()))
-            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *where]).astype(np.int32))], names=["query_id", "v", "ball"])
+            for i, (row, reach) in enumerate(zip(angles, b.column(2).to_pylist(), strict=True)):
+                order = np.argsort(row, kind="stable")
+                home = order[:np.searchsorted(np.cumsum(size[order]), k) + 1]
+                if reach is not None:
+                    gap = np.maximum(row - high, low - row)
+                    near = gap <= reach + MARGIN
+                    near[home] = False
+                    home = np.flatnonzero(near)
+                whom.append(np.full(len(home), i))
+                where.append(balls[home])
+            whom, where = np.concatenate(whom), np.concatenate(where).astype(np.int32)
+            for at in range(0, len(whom), ROWS):  # a query's vector goes along to each of its balls
+                rows = b.take(pa.array(whom[at:at + ROWS]))
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(where[at:at + ROWS])], names=["query_id", "v", "ball"])
 
     return run
 

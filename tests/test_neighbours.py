@@ -1,6 +1,9 @@
 """Neighbours through balls against all pairs."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +87,27 @@ def test_recall_by_label_is_recall_of_pairs(spark):
     pairs = queries.join(labels, "label").filter("query_id <> chunk_id").select("query_id", "chunk_id")
     want, got = (sorted(map(tuple, x.collect())) for x in (trace.recall_at_k(hits, pairs, 5), trace.recall_by_label(hits, labels, queries, 5)))
     assert got == want and len(got) == 3
+
+
+def test_few_queries_by_slices(spark, monkeypatch):
+    """Vectors are scored a few at a time, and the best of all slices are kept, equal ones by id."""
+    monkeypatch.setattr(v, "SCORES", 64)
+    rows = clusters(4, 400, 6, 0.3) + [(1000 - i, [1.0, 2.0, 3.0, 4.0, 0.0, 0.0, 0.0, 1.0]) for i in range(90)]
+    odd = [(2000, None), (2001, [1.0, 2.0]), (2002, [0.0] * 8)]
+    queries = rows[::40] + [(-6, [1.0, 2.0, 3.0, 4.0, 0.0, 0.0, 0.0, 1.0])]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], SCHEMA)
+    got = v.knn(frame, queries, 7, id_col="id")
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == brute(rows + odd, queries, 7)
+
+
+def test_queries_are_dealt_out_in_slices(monkeypatch):
+    """A query that meets all balls takes its vector to each of them, but never more than ROWS of these at once."""
+    monkeypatch.setattr(neighbours, "ROWS", 50)
+    r = np.random.default_rng(2)
+    pivots, asked = r.normal(size=(40, 8)), r.normal(size=(700, 8))
+    shared = SimpleNamespace(value=(pivots, np.arange(40), np.zeros(40), np.full(40, np.pi), np.full(40, 3)))
+    batch = pa.record_batch([pa.array(range(700)), pa.array(asked.tolist()), pa.array([3.2] * 700)], names=["query_id", "v", "reach"])
+    got = list(neighbours._dealt(shared, 1)([batch]))
+    assert max(b.num_rows for b in got) <= 50 and sum(b.num_rows for b in got) == 700 * 39
+    placed = list(neighbours._placed(SimpleNamespace(value=pivots))([batch]))
+    assert max(b.num_rows for b in placed) <= neighbours.SLICE and sum(b.num_rows for b in placed) == 700
