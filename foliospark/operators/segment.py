@@ -26,7 +26,7 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _blank(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\s", " ")) == ""
+    return ~line.rlike(r"\S")
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -154,7 +154,9 @@ def segment_books(docs: DataFrame, key: str = "doc_id", prefix: str = "Inst.") -
     by title before setting them out: if after the last number of the count 1, 2, 3 another count gets as far,
     that is the text and the first was the list. Other numbers are part of the prose.
     """
-    rows = lines(docs, key)
+    # dealt out once by document, in as many parts as set: the work on a line is far more than its bytes, by which parts would be joined
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines(docs.select(key, "text").repartition(parts, key), key)
     begun = F.coalesce(F.max(F.when(F.col("line").rlike(BOOKS_BEGIN), 1)).over(_upto(key)), F.lit(0))
     marked = F.coalesce(F.max(F.when(F.col("line").rlike(BOOKS_BEGIN), 1)).over(Window.partitionBy(key)), F.lit(0))
     rows = rows.withColumns({"begun": (begun == 1) | (marked == 0), "is_book": F.col("line").rlike(BOOK)})
@@ -164,13 +166,15 @@ def segment_books(docs: DataFrame, key: str = "doc_id", prefix: str = "Inst.") -
     rows = rows.withColumns({"head": is_chapter | F.col("is_book"), "chapter": F.sum(is_chapter.cast("int")).over(_upto(key, "begun", "book"))})
     rows = rows.filter(~F.col("begun") | (F.col("chapter") > 0)).withColumn("at", F.struct("begun", "book", "chapter"))
     number = F.when(~F.col("head") & F.col("line").rlike(BOOK_SECTION), F.regexp_extract("line", BOOK_SECTION, 1).cast("int"))
+    # a chapter's lines are gathered with its numbers and dealt out again: rows of a document stay in one partition, and none is made twice
+    held = F.when(~F.col("head") & ~F.col("line").rlike(ARGUMENT), F.struct("line_no", "line"))
     found = F.array_sort(F.collect_list(F.when(number.isNotNull(), F.struct("line_no", number.alias("number")))))
-    counts = rows.groupBy(key, "at").agg(found.alias("found")).withColumn("list", _counted(F.col("found")))
+    counts = rows.groupBy(key, "at").agg(found.alias("found"), F.collect_list(held).alias("held")).withColumn("list", _counted(F.col("found")))
     counts = counts.withColumn("body", _counted(F.filter("found", lambda x: x["line_no"] > F.coalesce(F.element_at("list", -1), F.lit(-1)))))
-    counts = counts.select(key, "at", F.when(F.size("body") == F.size("list"), F.col("body")).otherwise(F.col("list")).alias("starts")).filter(F.size("starts") > 0)
-    rows = rows.filter(~F.col("head") & ~F.col("line").rlike(ARGUMENT)).join(counts, [key, "at"])
-    rows = rows.withColumn("section", F.size(F.filter("starts", lambda x: x <= F.col("line_no")))).filter("section > 0")
-    opens = F.array_contains("starts", F.col("line_no"))
+    counts = counts.select(key, "at", "held", F.when(F.size("body") == F.size("list"), F.col("body")).otherwise(F.col("list")).alias("starts"))  # no filter on it: pushed down, it would count anew for every number
+    rows = counts.select(key, "at", "starts", F.explode("held").alias("x")).select(key, "at", "x.*", F.array_contains("starts", F.col("x.line_no")).alias("opens"))
+    rows = rows.withColumn("section", F.count_if("opens").over(_upto(key, "at"))).filter("section > 0")
+    opens = F.col("opens")
     rows = rows.withColumns({"blank": _blank(F.col("line")), "line": F.trim(F.when(opens, F.regexp_replace("line", r"^\s*\d+\.\s+", "")).otherwise(F.regexp_replace("line", r"^\s+|\s+$", "")))})
     w = Window.partitionBy(key, "at", "section").orderBy("line_no")
     rows = rows.withColumn("starts", F.when(~F.col("blank") & F.lag("blank", 1, True).over(w), 1).otherwise(0))

@@ -299,3 +299,13 @@ def test_nearest_rank_of_skewed_values(spark):
     got = {x["k"]: (x["samples"], x["p50"], x["p99"], x["p100"]) for x in trace.nearest_rank(frame, "k", "v", (50, 99, 100)).collect()}
     at = lambda vs, p: (sorted(vs)[len(vs) * p // 100] if p < 100 else None)
     assert got == {k: (len(vs), *(at(vs, p) for p in (50, 99, 100))) for k, vs in values.items()}
+
+
+def test_books_are_dealt_out_once(spark):
+    """Lines are made and dealt out once, by document, and no filter counts sections anew for every number."""
+    docs = spark.createDataFrame([(1, "INSTITUTES\nBOOK FIRST\nCHAPTER 1\n   1. one\n   2. two\n\nmore\n")], "doc_id long, text string")
+    got = segment.segment_books(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Generate posexplode") == 1 and "Join" not in plan
+    assert not [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter " in x and "array_append" in x]
+    assert {tuple(r) for r in got.collect()} == {(1, "Inst. 1.1.1.p1", "one"), (1, "Inst. 1.1.2.p1", "two"), (1, "Inst. 1.1.2.p2", "more")}
