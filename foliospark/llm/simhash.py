@@ -38,6 +38,8 @@ FEW = 24
 SLACK = 6.0
 #: Shingles that more nodes have are put last in the order, at most so many of them (8 bytes each in every task); what is put last changes costs, not results.
 HEAVY, HEAVY_KEYS = 256, 1 << 20
+#: Of every set so many times its first shingles are kept and counted: they hold what takes the place of shingles put last, unless those are a third of them.
+REACH = 1.5
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -109,13 +111,29 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def first_count(size: int, least: float) -> int:
+    """How many shingles a set of ``size`` has first: two sets that resemble each other by ``least`` share one of them."""
+    return size - math.ceil(least * size - 1e-9) + 1 if size else 0
+
+
+def _is_late(shingles: np.ndarray, heavy: np.ndarray | None) -> np.ndarray:
+    if heavy is None or not len(heavy):
+        return np.zeros(len(shingles), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles
+
+
 def first_shingles(shingles: np.ndarray, least: float, heavy: np.ndarray | None = None) -> np.ndarray:
     """Of a sorted set the first in the common order: two sets that resemble each other by ``least`` share one of them."""
-    n = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1 if len(shingles) else 0
-    if heavy is None or not len(heavy):
-        return shingles[:n]
-    late = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles
-    return np.concatenate((shingles[~late], shingles[late]))[:n]
+    late = _is_late(shingles, heavy)
+    return np.concatenate((shingles[~late], shingles[late]))[:first_count(len(shingles), least)]
+
+
+def first_in_reach(reach: np.ndarray, size: int, least: float, heavy: np.ndarray) -> np.ndarray | None:
+    """As ``first_shingles`` of a set of ``size``, of which ``reach`` holds the least hashes; None if some of them lie beyond it."""
+    if len(reach) == size:
+        return first_shingles(reach, least, heavy)
+    found = reach[~_is_late(reach, heavy)][:first_count(size, least)]
+    return found if len(found) == first_count(size, least) else None
 
 
 _MARKED = "doc_id long, mark long, node long, fp binary"
@@ -145,16 +163,18 @@ def fingerprints(base: DataFrame, words: int, width: int = 1) -> DataFrame:
 
 
 def shingled(base: DataFrame, words: int, width: int, least: float) -> DataFrame:
-    """As ``fingerprints``, of shingle sets; node is a hash of the set, and keys are the first shingles by hash."""
+    """As ``fingerprints``, of shingle sets; node is a hash of the set, size its number, and keys are REACH times its first shingles by hash."""
 
     def run(batches):
         for b in pieces(batches):
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             fps = pa.array([fingerprint(x, width).astype("<u8").tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.int64()), fps, _lists([first_shingles(x, least) for x in sets])], names=["doc_id", "mark", "node", "fp", "keys"])
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            reach = _lists([x[:math.ceil(REACH * first_count(len(x), least))] for x in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.int64()), fps, sizes, reach], names=["doc_id", "mark", "node", "fp", "size", "keys"])
 
-    return base.mapInArrow(run, f"{_MARKED}, keys array<long>")
+    return base.mapInArrow(run, f"{_MARKED}, size long, keys array<long>")
 
 
 def _read(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,16 +184,30 @@ def _read(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return base.join(wanted, base["doc_id"].eqNullSafe(wanted["d"]) & (base["mark"] == wanted["m"])).drop("doc_id", "mark", "d", "m")
 
 
+def _arrays(column) -> list[np.ndarray]:
+    """The lists of shingles of an Arrow column."""
+    flat, ends = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [flat[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _keyed(base: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
-    """key, node: the first shingles of every node (node, first, keys); a node that begins with one of very many nodes' has the rarer ones first.
+    """key, node: the first shingles of every node (node, first, size, keys), those of very many nodes put last.
 
-    For those nodes all shingles are counted, not only first ones: what a template's texts share would else take
-    the place of what was put last.
+    Shingles are counted over the reach that every node has in ``keys``, so what is counted is a share of all
+    shingles whatever the size of the corpus. Where too much of its reach is put last, as in a template's texts, a
+    node's whole set is read, and counted too: what such texts share would else take the place of what was put last.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    heavy = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY), "simhash-heavy")
-    if heavy.isEmpty():
-        return keyed
+    reach = nodes.select("node", "size", "keys")
+    spark = base.sparkSession
+
+    def common(keys):
+        return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY)
+
+    def most(counts, n):
+        return cut(counts.orderBy(F.desc("n"), "key").limit(n), "simhash-heavy")
+
+    def hashes(counts):
+        return counts.select("key").toArrow().column(0).to_numpy().view(np.uint64)
 
     def whole(batches):
         for b in pieces(batches):
@@ -183,23 +217,48 @@ def _keyed(base: DataFrame, nodes: DataFrame, words: int, least: float) -> DataF
         texts = _read(base, nodes.select("node", "first").join(sized(some, NARROW_ROWS), "node", "left_semi"))
         return cut(texts.select("text", "node").mapInArrow(whole, "node long, shingles array<long>"), "simhash-whole")
 
-    first = cut(meet(keyed, heavy, "key").select("node").distinct(), "simhash-again")
-    sets = sets_of(first)
-    common = sets.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY)
-    common = cut(common.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS), "simhash-common")
-    # others that begin with one of these follow the same order
-    more = cut(meet(keyed, common, "key").select("node").distinct().join(sized(first, NARROW_ROWS), "node", "left_anti"), "simhash-again")
-    sets, again = sets.unionByName(sets_of(more)), sized(cut(first.unionByName(more), "simhash-again"), NARROW_ROWS)
-    late = keyed.sparkSession.sparkContext.broadcast(np.sort(common.select("key").toArrow().column(0).to_numpy().view(np.uint64)))
-
-    def run(batches):
+    def in_reach(batches, late):
         for b in pieces(batches):
-            flat, ends = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
-            found = [first_shingles(flat[lo:hi], least, late.value) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["node", "keys"])
-
-    other = cut(sets.mapInArrow(run, "node long, keys array<long>"), "simhash-rekeyed")
-    return nodes.join(again, "node", "left_anti").select("node", "keys").unionByName(other).select(F.explode("keys").alias("key"), "node")
+            sizes = b.column(1).to_pylist()
+            yield b.column(0), [first_in_reach(x, n, least, late.value) for x, n in zip(_arrays(b.column(2)), sizes, strict=True)]
+
+    def short_of(late):
+        def run(batches):
+            for node, found in in_reach(batches, late):
+                yield pa.RecordBatch.from_arrays([node.filter(pa.array([x is None for x in found], pa.bool_()))], names=["node"])
+
+        return run
+
+    def first_of(late):
+        def run(batches):
+            for node, found in in_reach(batches, late):
+                lists = _lists([np.zeros(0, np.uint64) if x is None else x for x in found])
+                yield pa.RecordBatch.from_arrays([node, lists, pa.array([x is None for x in found], pa.bool_())], names=["node", "keys", "short"])
+
+        return run
+
+    def first_of_whole(late):
+        def run(batches):
+            for b in pieces(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists([first_shingles(x, least, late.value) for x in _arrays(b.column(1))])], names=["node", "keys"])
+
+        return run
+
+    heavy = most(common(reach.select(F.explode("keys").alias("key"))), HEAVY_KEYS)
+    late, sets = spark.sparkContext.broadcast(np.sort(hashes(heavy))), None
+    short = cut(reach.mapInArrow(short_of(late), "node long"), "simhash-short") if len(late.value) else None
+    if short is not None and not short.isEmpty():
+        sets = sets_of(short)
+        others = common(sets.select(F.explode("shingles").alias("key"))).join(sized(heavy.select("key"), NARROW_ROWS), "key", "left_anti")
+        late = spark.sparkContext.broadcast(np.sort(np.concatenate((late.value, hashes(most(others, HEAVY_KEYS - len(late.value)))))))
+    firsts = cut(reach.mapInArrow(first_of(late), "node long, keys array<long>, short boolean"), "simhash-firsts")
+    keys = firsts.select("node", "keys")
+    if sets is not None:
+        # others of which too much is put last now
+        more = cut(firsts.filter("short").select("node").join(sized(short, NARROW_ROWS), "node", "left_anti"), "simhash-short")
+        sets = sets if more.isEmpty() else sets.unionByName(sets_of(more))
+        keys = keys.unionByName(cut(sets.mapInArrow(first_of_whole(late), "node long, keys array<long>"), "simhash-rekeyed"))
+    return keys.select(F.explode("keys").alias("key"), "node")
 
 
 def _close(fps, table, a, b, radius, sets=None, least=0.0):
@@ -396,10 +455,10 @@ def _grouped(docs: DataFrame, words: int, radius: int, similarity: float | None,
         radius = 64 * width if slack is None else math.ceil(64 * width * share + slack * math.sqrt(64 * width * share * (1 - share)))
         marked = cut(shingled(base, words, width, similarity), "simhash-docs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    keys = [] if similarity is None else [F.any_value("keys").alias("keys")]  # the same in all of a node's documents
+    keys = [] if similarity is None else [F.any_value(c).alias(c) for c in ("size", "keys")]  # the same in all of a node's documents
     nodes = marked.groupBy("node", "fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *keys)
-    nodes = nodes.select("node", "fp", F.col("first").cast(_FIRST), "copies", *(["keys"] if keys else []))
-    nodes = cut(nodes.mapInArrow(lambda it: _pivots(it, width), f"node long, fp binary, first {_FIRST}, copies long, {'keys array<long>, ' if keys else ''}pivots binary"), "simhash-nodes")
+    nodes = nodes.select("node", "fp", F.col("first").cast(_FIRST), "copies", *(["size", "keys"] if keys else []))
+    nodes = cut(nodes.mapInArrow(lambda it: _pivots(it, width), f"node long, fp binary, first {_FIRST}, copies long, {'size long, keys array<long>, ' if keys else ''}pivots binary"), "simhash-nodes")
     if similarity is None:
         placed = components(link(nodes, _segments(nodes, radius), width, radius))
     else:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -165,6 +166,51 @@ def test_templates_propose_pairs_in_proportion(spark, monkeypatch):
     assert proposed[1] <= 6 * proposed[0]  # four times the texts
 
 
+def test_first_shingles_in_reach():
+    """Of a set's least hashes: its first shingles if they hold them all, else nothing; never others."""
+    r = np.random.default_rng(7)
+    for _ in range(400):
+        x = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 60))).astype(np.uint64))
+        heavy = np.sort(r.choice(x, int(len(x) * r.random()), replace=False))
+        reach = x[:math.ceil(simhash.REACH * simhash.first_count(len(x), 0.8))]
+        got, want = simhash.first_in_reach(reach, len(x), 0.8, heavy), first_shingles(x, 0.8, heavy)
+        if got is None:
+            assert not np.isin(want, reach).all() or np.isin(want, heavy).any()
+        else:
+            assert got.tolist() == want.tolist()
+
+
+def test_common_phrase_reads_no_whole_set(spark, monkeypatch):
+    """Texts that share one of their first shingles with very many: it is put last, and only texts that a template gives most of are counted whole."""
+    monkeypatch.setattr("foliospark.llm.simhash.HEAVY", 32)
+    whole, most, plain, link = [0], [], simhash.cut, simhash.link
+
+    def cut(df, name):
+        out = plain(df, name)
+        if name == "simhash-whole":
+            whole.append(out.count())
+        return out
+
+    def counted(nodes, keyed, width, radius):
+        most.append(keyed.groupBy("key").count().agg(F.max("count")).first()[0])
+        return link(nodes, keyed, width, radius)
+
+    monkeypatch.setattr("foliospark.llm.simhash.cut", cut)
+    monkeypatch.setattr("foliospark.llm.simhash.link", counted)
+    r = random.Random(10)
+    phrase = next(p for p in (f"p{i} is what all say" for i in range(10**6)) if shingle_set(p, 5)[0] < 1 << 57)  # among the first of any text
+    rows = [(i, " ".join(f"own{r.randrange(10**6)}" for _ in range(60)) + f" {phrase}") for i in range(300)]
+    rows += [(10**6 + i, rows[i][1] + " more") for i in range(0, 300, 10)]
+    want = {d: d % 10**6 for d, _ in rows}
+    assert {x["doc_id"]: x["component_id"] for x in simhash_groups(docs(spark, rows), words=5, similarity=0.8).collect()} == want
+    assert sum(whole) == 0 and most[0] <= 32
+    form = [f"form{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join(form[:30] + [f"own{r.randrange(10**6)}" for _ in range(10)] + form[30:])) for i in range(40)]
+    want |= {1000 + i: 1000 + i for i in range(40)}
+    assert {x["doc_id"]: x["component_id"] for x in simhash_groups(docs(spark, rows), words=5, similarity=0.8).collect()} == want
+    assert sum(whole) == 40
+
+
 def test_no_radius_at_all(spark):
     rows = edited(random.Random(3), 30, 0.04)
     want, _ = jaccard_groups(rows, 5, 0.8)
